@@ -17,6 +17,7 @@ judged one by one; extra columns of the input are carried along unless their nam
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,78 +64,59 @@ def shape_of(line: str, delimiter: str) -> tuple[str, list[int]]:
 def cheapest_parse(shape: str, fields: int) -> tuple[int, tuple[str, ...]]:
     """Cost and edit operations of the cheapest parse of ``shape`` into ``fields`` fields.
 
-    Each operation names the edit and the field (from 1) it happens in.  Ties prefer keeping a symbol, then deleting
-    it, then inserting one, so the result is the same everywhere.
+    The dynamic program runs over (symbol, finished fields, state) in order of cost, so a well-formed line visits one
+    state per symbol.  Each operation names the edit and the field (from 1) it happens in.  Among equal costs keeping a
+    symbol comes before deleting it and deleting before inserting, so the result is the same everywhere.
     """
-    # (state, finished fields) -> (cost, backward chain of operations)
-    best: dict[tuple[int, int], tuple[int, tuple]] = {(_START, 0): (0, ())}
-    most = fields - 1
-
-    def close(layer: dict) -> dict:
-        """Insertions that read no symbol: a delimiter or a quote is put in front of the next symbol."""
-        frontier = sorted(layer, key=lambda s: layer[s][0])
-        while frontier:
-            state, k = s = frontier.pop(0)
-            cost, chain = layer[s]
-            steps = []
-            if state in (_BARE, _CLOSED, _START) and k < most:
-                steps.append(((_START, k + 1), "insert delimiter"))
-            if state == _QUOTED:
-                steps.append(((_CLOSED, k), "insert quote"))
-            if state == _START:
-                steps.append(((_QUOTED, k), "insert quote"))
-            for to, what in steps:
-                if cost + 1 < layer.get(to, (1 << 30,))[0]:
-                    layer[to] = (cost + 1, (chain, f"{what} in field {k + 1}"))
-                    frontier.append(to)
-        return layer
-
-    i, n = 0, len(shape)
-    pair: dict[tuple[int, int], tuple[int, tuple]] = {}  # states reached two symbols on, by a doubled quote
-    while i < n:
-        best = close(best)
-        c = shape[i]
-        after: dict[tuple[int, int], tuple[int, tuple]] = dict(pair)
-        pair = {}
-
-        def put(layer: dict, to: tuple[int, int], cost: int, chain: tuple) -> None:
-            if cost < layer.get(to, (1 << 30,))[0]:
-                layer[to] = (cost, chain)
-
-        for (state, k), (cost, chain) in best.items():
+    n, most = len(shape), fields - 1
+    came: dict[tuple[int, int, int], tuple[tuple[int, int, int] | None, str]] = {}
+    queue: deque = deque([(0, (0, 0, _START), None, "")])
+    while queue:
+        cost, node, parent, what = queue.popleft()
+        if node in came:
+            continue
+        came[node] = (parent, what)
+        i, k, state = node
+        if i == n and k == most and state != _QUOTED:
+            edits: list[str] = []
+            at: tuple[int, int, int] | None = node
+            while at is not None:
+                at, what = came[at]
+                if what:
+                    edits.append(what)
+            return cost, tuple(reversed(edits))
+        free: list[tuple[int, int, int]] = []
+        if i < n:
+            c = shape[i]
             if c == "x":
-                if state == _QUOTED:
-                    put(after, (state, k), cost, chain)
-                elif state in (_START, _BARE):
-                    put(after, (_BARE, k), cost, chain)
+                if state != _CLOSED:
+                    free.append((i + 1, k, _QUOTED if state == _QUOTED else _BARE))
             elif c == "b":
-                put(after, (state, k), cost, chain)
+                free.append((i + 1, k, state))
             elif c == "d":
                 if state == _QUOTED:
-                    put(after, (state, k), cost, chain)
+                    free.append((i + 1, k, state))
                 elif k < most:
-                    put(after, (_START, k + 1), cost, chain)
-                put(after, (state, k), cost + 1, (chain, f"delete delimiter in field {k + 1}"))
+                    free.append((i + 1, k + 1, _START))
+                queue.append((cost + 1, (i + 1, k, state), node, f"delete delimiter in field {k + 1}"))
             else:
                 if state == _START:
-                    put(after, (_QUOTED, k), cost, chain)
+                    free.append((i + 1, k, _QUOTED))
                 elif state == _QUOTED:
-                    put(after, (_CLOSED, k), cost, chain)
-                    if i + 1 < n and shape[i + 1] == "q":
-                        put(pair, (_QUOTED, k), cost, chain)
-                put(after, (state, k), cost + 1, (chain, f"delete quote in field {k + 1}"))
-        best = after
-        i += 1
-    best = close(best)
-    ends = [best[s, most] for s in (_START, _BARE, _CLOSED) if (s, most) in best]
-    if not ends:
-        return n + 1, ("no parse",)
-    cost, chain = min(ends, key=lambda e: e[0])
-    edits: list[str] = []
-    while chain:
-        chain, what = chain
-        edits.append(what)
-    return cost, tuple(reversed(edits))
+                    free.append((i + 1, k, _CLOSED))
+                    if shape[i + 1 : i + 2] == "q":
+                        free.append((i + 2, k, _QUOTED))
+                queue.append((cost + 1, (i + 1, k, state), node, f"delete quote in field {k + 1}"))
+        if state == _QUOTED:
+            queue.append((cost + 1, (i, k, _CLOSED), node, f"insert quote in field {k + 1}"))
+        else:
+            if state == _START:
+                queue.append((cost + 1, (i, k, _QUOTED), node, f"insert quote in field {k + 1}"))
+            if k < most:
+                queue.append((cost + 1, (i, k + 1, _START), node, f"insert delimiter in field {k + 1}"))
+        for to in free:
+            queue.appendleft((cost, to, node, ""))
+    return n + 1, ("no parse",)
 
 
 def cut(line: str, delimiter: str) -> list[str]:
