@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import error_parse
+from plumbline.columns import if_finite
+from plumbline.operators import dyadic_quantiles, error_parse, regular_grid, spikes, unit_graph
 from plumbline.plans.catalogue import Catalogue
-from plumbline.session import read
+from plumbline.session import read, shared_folder
 
 catalogue = Catalogue()
 
@@ -61,3 +62,155 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
 def p1_rejected(spark: SparkSession, d: str) -> DataFrame:
     """Every other line with the reason and the number of edits that would make it well formed."""
     return _parsed(spark, d).where(~F.col("valid")).select("line_id", "file_id", "line_no", "line_text", "cost", "reason")
+
+
+def _channels(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return unit_graph.channel_units_from_values(read(spark, d, table), read(spark, d, "recordings"), read(spark, d, "channel_units"))
+
+
+SAMPLE_TABLES = ("generic_samples", "imu_samples")
+
+
+@catalogue.query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Channels stored, wholly or in part, in other than the canonical units."""
+    both = [unit_graph.not_canonical(_channels(spark, d, t)) for t in SAMPLE_TABLES]
+    return both[0].unionByName(both[1])
+
+
+@catalogue.query("p5_channels")
+def p5_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Every channel with its unit, what was stated, and the function into the canonical unit."""
+    both = [unit_graph.with_functions(_channels(spark, d, t)) for t in SAMPLE_TABLES]
+    return both[0].unionByName(both[1])
+
+
+@catalogue.query("p5_converted")
+def p5_converted(spark: SparkSession, d: str) -> DataFrame:
+    """Per recording and channel the range of the values in common units."""
+    parts = []
+    for t in SAMPLE_TABLES:
+        df = unit_graph.to_common_units(read(spark, d, t), _channels(spark, d, t))
+        fields = [f for f in unit_graph.DIMENSION if f in df.columns]
+        long = df.select("dataset_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), if_finite(f).alias("v")) for f in fields])).alias("r"))
+        parts.append(long.groupBy("dataset_id", "r.field_name").agg(F.count("r.v").alias("n"), F.min("r.v").alias("low"), F.max("r.v").alias("high")))
+    return parts[0].unionByName(parts[1]).where("n > 0")
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    return regular_grid.regular_grid(read(spark, d, "generic_samples"), read(spark, d, "recordings"))
+
+
+_P3_SLOTS = """
+  SELECT DISTINCT dataset_id, CAST(floor(timestamp / p + 0.5) AS BIGINT) AS slot_no
+  FROM generic_samples JOIN (SELECT dataset_id, max(nominal_period_s) AS p FROM recordings WHERE nominal_period_s > 0 GROUP BY 1) USING (dataset_id)
+  WHERE isfinite(timestamp) AND isfinite(measurement)"""
+
+
+@catalogue.query(
+    "p3_found",
+    f"""
+WITH s AS ({_P3_SLOTS}),
+n AS (SELECT *, lead(slot_no) OVER (PARTITION BY dataset_id ORDER BY slot_no) AS nxt FROM s)
+SELECT dataset_id, unnest(generate_series(slot_no + 1, nxt - 1)) AS slot_no FROM n WHERE nxt > slot_no + 1
+""",
+)
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Periods between a recording's first and last reading that hold none."""
+    return _grid(spark, d).where(F.col("status") != "observed").select("dataset_id", "slot_no")
+
+
+@catalogue.query("p3_grid")
+def p3_grid(spark: SparkSession, d: str) -> DataFrame:
+    """One row per nominal period of every generic recording."""
+    return _grid(spark, d)
+
+
+@catalogue.query(
+    "p3_summary",
+    f"""
+WITH s AS ({_P3_SLOTS}),
+n AS (SELECT *, lead(slot_no) OVER (PARTITION BY dataset_id ORDER BY slot_no) - slot_no - 1 AS missing FROM s)
+SELECT dataset_id, CAST(count(*) AS BIGINT) AS observed, CAST(coalesce(sum(missing) FILTER (missing <= {regular_grid.MAX_GAP}), 0) AS BIGINT) AS filled,
+       CAST(coalesce(sum(missing) FILTER (missing > {regular_grid.MAX_GAP}), 0) AS BIGINT) AS in_gaps FROM n GROUP BY 1
+""",
+)
+def p3_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Observed, filled and marked periods of each recording."""
+    count = lambda s: F.count(F.when(F.col("status") == s, 1))
+    return _grid(spark, d).groupBy("dataset_id").agg(count("observed").alias("observed"), count("filled").alias("filled"), count("gap").alias("in_gaps"))
+
+
+P4_KEYS = ["sensor_id", "revision"]
+P4_PROBABILITIES = (0.05, 0.5, 0.95)
+P4_FACTOR = 2.75
+
+
+def _p4_digest(spark: SparkSession, d: str) -> DataFrame:
+    return dyadic_quantiles.digest(read(spark, d, "generic_samples"), P4_KEYS, "measurement")
+
+
+def _lopsided(p05: Column, p50: Column, p95: Column) -> Column:
+    return F.greatest(p95 - p50, p50 - p05) > P4_FACTOR * F.least(p95 - p50, p50 - p05)
+
+
+@catalogue.query(
+    "p4_found",
+    f"""
+WITH g AS (SELECT sensor_id, revision, quantile_cont(measurement, [0.05, 0.5, 0.95]) AS q FROM generic_samples
+           WHERE isfinite(measurement) AND sensor_id IS NOT NULL AND revision IS NOT NULL GROUP BY ALL)
+SELECT sensor_id, revision FROM g WHERE greatest(q[3] - q[2], q[2] - q[1]) > {P4_FACTOR} * least(q[3] - q[2], q[2] - q[1])
+""",
+)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Groups with one tail of the distribution much longer than the other.
+
+    The digest's intervals decide; only groups they leave open are ranked exactly.
+    """
+    samples = read(spark, d, "generic_samples").where(F.col("sensor_id").isNotNull() & F.col("revision").isNotNull())
+    shared_folder(spark)
+    # A few rows per group, read by both branches below.
+    marks = dyadic_quantiles.percentiles(dyadic_quantiles.digest(samples, P4_KEYS, "measurement"), P4_KEYS, P4_PROBABILITIES).checkpoint()
+    at = lambda p, c: F.max(F.when(F.col("p") == p, F.col(c)))
+    wide = marks.groupBy(*P4_KEYS).agg(*[at(p, c).alias(f"{c}{i}") for i, p in enumerate(P4_PROBABILITIES) for c in ("low", "high")])
+    up_low, up_high = F.col("low2") - F.col("high1"), F.col("high2") - F.col("low1")
+    down_low, down_high = F.col("low1") - F.col("high0"), F.col("high1") - F.col("low0")
+    yes = (up_low > P4_FACTOR * down_high) | (down_low > P4_FACTOR * up_high)
+    no = (up_high <= P4_FACTOR * down_low) & (down_high <= P4_FACTOR * up_low)
+    judged = wide.select(*P4_KEYS, yes.alias("yes"), (~yes & ~no).alias("open"))
+    still = marks.join(judged.where("open").select(*P4_KEYS), P4_KEYS, "left_semi")
+    exact = dyadic_quantiles.exact_percentiles(samples, still, P4_KEYS, "measurement")
+    exact = exact.groupBy(*P4_KEYS).agg(*[F.max(F.when(F.col("p") == p, F.col("exact"))).alias(f"q{i}") for i, p in enumerate(P4_PROBABILITIES)])
+    return judged.where("yes").select(*P4_KEYS).unionByName(exact.where(_lopsided(F.col("q0"), F.col("q1"), F.col("q2"))).select(*P4_KEYS))
+
+
+@catalogue.query("p4_percentiles")
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per sensor and revision with the interval certain to hold each."""
+    return dyadic_quantiles.percentiles(_p4_digest(spark, d), P4_KEYS, (0.05, 0.25, 0.5, 0.75, 0.95))
+
+
+@catalogue.query("p4_merged_days")
+def p4_merged_days(spark: SparkSession, d: str) -> DataFrame:
+    """The same from digests of single days, merged into those of the whole."""
+    by_day = read(spark, d, "generic_samples").withColumn("day", F.to_date("ingested_at"))
+    days = dyadic_quantiles.digest(by_day, [*P4_KEYS, "day"], "measurement")
+    return dyadic_quantiles.percentiles(dyadic_quantiles.merge(days, P4_KEYS), P4_KEYS, (0.05, 0.25, 0.5, 0.75, 0.95))
+
+
+def _flagged(spark: SparkSession, d: str) -> DataFrame:
+    recordings = read(spark, d, "recordings")
+    generic = spikes.flag_generic(read(spark, d, "generic_samples"), recordings)
+    return generic.unionByName(spikes.flag_inertial(read(spark, d, "imu_samples"), recordings, read(spark, d, "channel_units")))
+
+
+@catalogue.query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Readings that are spikes, stuck or physically impossible."""
+    return _flagged(spark, d).select("row_id", "field_name")
+
+
+@catalogue.query("p2_by_kind")
+def p2_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged readings per recording, channel and kind."""
+    return _flagged(spark, d).groupBy("dataset_id", "field_name", "kind").agg(F.count("*").alias("readings"), F.max("score").alias("highest_score"))
