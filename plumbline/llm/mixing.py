@@ -86,7 +86,7 @@ def mix(sized: DataFrame, targets: DataFrame, ramps: dict[str, float] | None = N
     u = F.col("start") / F.least(F.col("demand"), F.col("available") * F.col("passes"))
     r = F.col("ramp")
     position = F.when(F.abs(r) < 1e-9, u).otherwise(F.try_divide((F.sqrt((1 - r) * (1 - r) + 4 * r * u) - (1 - r)), 2 * r))
-    return rows.select("doc_id", F.col("name").alias("source"), "pass_no", "tokens", position.alias("position")).orderBy("position", "doc_id", "pass_no")
+    return rows.select("doc_id", F.col("name").alias("source"), "pass_no", "tokens", (position + 0.0).alias("position")).orderBy("position", "doc_id", "pass_no")
 
 
 def report(mixed: DataFrame, goals: DataFrame) -> DataFrame:
