@@ -58,8 +58,8 @@ def value_at(codes: np.ndarray) -> np.ndarray:
     y = (codes.astype(np.float64) - _HALF) / _STEPS
     a = np.abs(y)
     with np.errstate(over="ignore"):
-        out = np.where(a > 300, 0.5 * np.exp(np.minimum(a + np.log(_TINY), 709.7)), _TINY * np.sinh(np.minimum(a, 300)))
-    return np.sign(y) * out
+        out = np.where(a > 300, np.exp(a + np.log(_TINY / 2)), _TINY * np.sinh(np.minimum(a, 300)))
+    return np.sign(y) * np.minimum(out, 1.797e308 / (1 + 1e-8))
 
 
 def add_up(g: np.ndarray, level: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -198,10 +198,13 @@ def _ddl(schema: T.StructType) -> str:
 
 
 def percentiles(nodes: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """keys, rows, p, value, low, high: each percentile (linear between ranks) and the interval certain to hold it."""
+    """keys, rows, p, value, low, high, least, most: each percentile (linear between ranks) and the interval certain to hold it.
+
+    ``least`` to ``most`` is certain to hold both order statistics the percentile lies between.
+    """
     keys = list(keys)
     head = T.StructType([nodes.schema[c] for c in keys])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head) + (", " if keys else "") + "rows bigint, p double, value double, low double, high double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head) + (", " if keys else "") + "rows bigint, p double, value double, low double, high double, least double, most double"
     probs = np.asarray(probabilities, float)
 
     def read_off(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
@@ -213,20 +216,24 @@ def percentiles(nodes: DataFrame, keys: Sequence[str], probabilities: Sequence[f
             pos = probs * (total - 1)
             r0 = np.floor(pos)
             part = pos - r0
-            bounds = []
-            for edge in (low[a:b], high[a:b]):
+            bounds, ends = [], []
+            low_edge = low[a:b]
+            for edge in (low_edge, high[a:b]):
                 order = np.argsort(edge, kind="stable")
                 cum = np.cumsum(n[a:b][order])
                 at = lambda r: edge[order][np.minimum(np.searchsorted(cum, r + 1), b - a - 1)]
-                bounds.append(at(r0) * (1 - part) + at(np.minimum(r0 + 1, total - 1)) * part)
+                first, second = at(r0), at(np.minimum(r0 + 1, total - 1))
+                bounds.append(first + (second / 2 - first / 2) * part * 2)
+                ends.append(first if edge is low_edge else second)
             # Codes are floors of a rounded logarithm: one part in 10**9 covers its error.
-            lo, hi = bounds[0] - 1e-9 * np.abs(bounds[0]) - 1e-15, bounds[1] + 1e-9 * np.abs(bounds[1]) + 1e-15
+            lo, least = (x - 1e-9 * np.abs(x) - 1e-15 for x in (bounds[0], ends[0]))
+            hi, most = (x + 1e-9 * np.abs(x) + 1e-15 for x in (bounds[1], ends[1]))
             pick += [a] * len(probs)
             rows += [total] * len(probs)
-            out.append(np.stack([probs, (lo + hi) / 2, lo, hi], axis=1))
+            out.append(np.stack([probs, (lo + hi) / 2, lo, hi, least, most], axis=1))
         res = frame.iloc[pick][keys].reset_index(drop=True)
         res["rows"] = rows
-        res[["p", "value", "low", "high"]] = np.concatenate(out)
+        res[["p", "value", "low", "high", "least", "most"]] = np.concatenate(out)
         return res
 
     if not keys:
@@ -242,11 +249,11 @@ def exact_percentiles(df: DataFrame, brackets: DataFrame, keys: Sequence[str], v
     Only rows inside a bracket are ranked (about 2 eps of a group); rows below it are counted.
     """
     keys = list(keys)
-    marks = brackets.groupBy(*keys).agg(F.collect_list(F.struct("p", "rows", "low", "high")).alias("marks"))  # one entry per probability
+    marks = brackets.groupBy(*keys).agg(F.collect_list(F.struct("p", "rows", "least", "most")).alias("marks"))  # one entry per probability
     rows = df.where(finite(value)).select(*keys, F.col(value).cast("double").alias("v"))
     rows = attach(rows, marks, keys, "inner").select(*keys, "v", F.explode("marks").alias("m"))
-    tag = F.when(F.col("v") < F.col("m.low"), F.lit(None)).otherwise(F.col("v"))
-    rows = rows.where(F.col("v") <= F.col("m.high")).select(*keys, "m.p", "m.rows", tag.alias("v"))
+    tag = F.when(F.col("v") < F.col("m.least"), F.lit(None)).otherwise(F.col("v"))
+    rows = rows.where(F.col("v") <= F.col("m.most")).select(*keys, "m.p", "m.rows", tag.alias("v"))
     counted = rows.groupBy(*keys, "p", "rows", "v").agg(F.count("*").alias("n"))
     w = Window.partitionBy(*keys, "p").orderBy(F.col("v").asc_nulls_first())
     ranked = counted.withColumn("upto", F.sum("n").over(w))

@@ -208,7 +208,7 @@ def parse_issues(lines: DataFrame, issue_types: DataFrame) -> DataFrame:
         (F.col("known_issue").isNull(), F.lit("issue_id is unknown")),
         (~F.col("_severity").isin(*SEVERITIES), F.lit("severity is not info, warning or error")),
         (~(empty(F.col("_affected_rows")) | F.col("_affected_rows").rlike(r"^[0-9]+$")), F.lit("affected_rows is not digits only")),
-        (~(empty(fraction) | F.coalesce((value >= 0) & (value <= 1), F.lit(False))), F.lit("affected_fraction is not a number from 0 to 1")),
+        (fraction.isNotNull() & ~(empty(fraction) | F.coalesce((value >= 0) & (value <= 1), F.lit(False))), F.lit("affected_fraction is not a number from 0 to 1")),
     ]
     reason = F.coalesce(*[F.when(test, why) for test, why in faults])
     valid = F.col("reason").isNull()
