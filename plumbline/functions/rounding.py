@@ -14,7 +14,9 @@ def significant(x: Column, digits: int = 6, zero: float = 1e-11) -> Column:
     y = x * F.lit(_OFF_TIE)
     e = F.lit(digits - 1) - F.floor(F.log10(F.abs(y)))
     up, down = F.pow(F.lit(10.0), e), F.pow(F.lit(10.0), -e)
-    value = F.when(e >= 0, F.floor(y * up + 0.5) / up).otherwise(F.floor(y / down + 0.5) * down)
+    whole = F.when(e >= 0, F.floor(y * up + 0.5)).otherwise(F.floor(y / down + 0.5))
+    # Read back from decimal text: the nearest double, which products with powers of ten are not.
+    value = F.concat(whole.cast("bigint").cast("string"), F.lit("e"), (-e).cast("bigint").cast("string")).cast("double")
     return F.when(F.abs(x) < zero, F.lit(0.0)).when(F.abs(x) < F.lit(float("inf")), value)
 
 
@@ -24,7 +26,7 @@ def significant_sql(x: str, digits: int = 6, zero: float = 1e-11) -> str:
     y = f"v * {_OFF_TIE}"
     return (
         f"list_transform([CAST({x} AS DOUBLE)], lambda v: CASE WHEN v IS NULL OR NOT isfinite(v) THEN NULL WHEN abs(v) < {zero} THEN 0.0 "
-        f"WHEN {e} >= 0 THEN floor({y} * pow(10.0, {e}) + 0.5) / pow(10.0, {e}) ELSE floor({y} / pow(10.0, -{e}) + 0.5) * pow(10.0, -{e}) END)[1]"
+        f"ELSE CAST(CAST(CAST(CASE WHEN {e} >= 0 THEN floor({y} * pow(10.0, {e}) + 0.5) ELSE floor({y} / pow(10.0, -{e}) + 0.5) END AS BIGINT) AS VARCHAR) || 'e' || CAST(CAST(-{e} AS BIGINT) AS VARCHAR) AS DOUBLE) END)[1]"
     )
 
 

@@ -20,6 +20,7 @@ from plumbline.chunks import map_whole_groups
 from plumbline.columns import finite
 from plumbline.joins import attach
 from plumbline.operators.ordered import with_position, with_previous, with_running_sum
+from plumbline.session import shared_folder
 
 CONTINUITY = 1.5
 BIAS_INSTABILITY_FACTOR = 0.664
@@ -55,12 +56,15 @@ def longest_segment(df: DataFrame, keys: Sequence[str], axes: Sequence[str], ord
     rows = with_previous(attach(rows, median, list(keys), "inner"), keys, order, ["t", "ok"])
     step = F.col("t") - F.col("prev_t")
     linked = F.col("ok") & F.coalesce("prev_ok", F.lit(False)) & F.coalesce((step > 0) & (step <= CONTINUITY * F.col("dt")), F.lit(False))
-    rows = with_running_sum(rows, keys, order, {"segment": F.when(linked, 0).otherwise(1).cast("bigint")}).where("ok")
+    # Written once here and below: each step of an ordered column reads its input twice.
+    shared_folder(df.sparkSession)
+    rows = rows.select(*keys, order, *axes, "dt", "dt_cv", "ok", linked.alias("linked")).checkpoint()
+    rows = with_running_sum(rows, keys, order, {"segment": F.when(F.col("linked"), 0).otherwise(1).cast("bigint")}).where("ok").checkpoint()
     sizes = rows.groupBy(*keys, "segment").agg(F.count("*").alias("n"))
     best = sizes.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("segment")).alias("s"))).alias("b"))
     best = best.select(*keys, F.col("b.n").alias("n"), (-F.col("b.s")).alias("segment"))
     chosen = attach(rows, best, [*keys, "segment"], "inner")
-    return with_position(chosen.select(*keys, order, *axes, "dt", "dt_cv", "n"), keys, order).drop(order)
+    return with_position(chosen.select(*keys, order, *axes, "dt", "dt_cv", "n"), keys, order).drop(order).checkpoint()
 
 
 def welch(series: DataFrame, keys: Sequence[str], axes: Sequence[str], segment_length: int = 2048, overlap: float = 0.5, window: str = "hann", even: bool = True, least: int = 32) -> DataFrame:
