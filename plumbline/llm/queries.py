@@ -48,7 +48,7 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
 @catalogue.query("p7_found")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Sources that cannot reach their share."""
-    goals = mixing.plan(tokens.sized(read(spark, d, "documents")), read(spark, d, "mix_targets"), capacity=_capacity(spark, d))
+    goals = mixing.plan(_sized(spark, d), read(spark, d, "mix_targets"), capacity=_capacity(spark, d))
     return goals.where(~F.col("reachable")).select("source")
 
 

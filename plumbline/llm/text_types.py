@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import shared_folder
+
 #: Terminal punctuation of a line, closing quotes and emoji after it included.
 _TERMINAL = r"[.!?…][\"'”’»)\]\p{So}\s]*$"
 #: Marks of list items, tables and menus at the start of a line.
@@ -153,6 +155,8 @@ def posterior(voted: DataFrame) -> tuple[Column, DataFrame]:
 
 def text_types(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """doc_id, the statistics, the votes, ``junk`` (posterior) and ``text_type`` (prose or junk)."""
-    voted = votes(statistics(documents, common_word_table(common_words)))
+    # Written once: texts are read a single time, and no filter on the posterior is pushed down into the statistics.
+    shared_folder(documents.sparkSession)
+    voted = votes(statistics(documents, common_word_table(common_words))).checkpoint()
     chance, _ = posterior(voted)
     return voted.withColumn("junk", chance).withColumn("text_type", F.when(F.col("junk") > 0.5, F.lit("junk")).when(F.col("junk").isNotNull(), F.lit("prose")))
