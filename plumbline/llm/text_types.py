@@ -49,11 +49,15 @@ def statistics(documents: DataFrame, common: list[str]) -> DataFrame:
         F.filter(F.split(F.lower("plain"), r"[^\p{L}\p{M}]+"), lambda w: w != "").alias("words"),
         F.filter(F.transform(F.split("plain", r"\R"), F.trim), lambda x: x != "").alias("lines"),
     )
+    listed = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
+    # The text's own common words, found by hash; its words are then looked up in those few.  The array of one element
+    # binds them to a name: written out inside the inner function they would be found again for every word.
+    own = F.array_intersect("words", listed)
+    common_words = F.transform(F.array(own), lambda few: F.size(F.filter("words", lambda w: F.array_contains(few, w))))[0]
     chars = F.length(F.regexp_replace("plain", r"\s+", ""))
     kept = lambda p: F.length(F.regexp_replace("plain", p, ""))
     per = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)).cast("double")
     n_lines, n_words, n_tokens = F.size("lines"), F.size("words"), F.size("tokens")
-    listed = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
     in_lines = lambda p: F.size(F.filter("lines", lambda x: x.rlike(p)))
     return df.select(
         "doc_id",
@@ -62,13 +66,13 @@ def statistics(documents: DataFrame, common: list[str]) -> DataFrame:
         per(chars, n_tokens).alias("mean_word_length"),
         per(kept(r"[\p{L}\p{M}\p{N}\s.,;:!?'\"()’“”„«»¿¡-]+"), chars).alias("symbol_share"),
         per(in_lines(_TERMINAL), n_lines).alias("terminal_share"),
-        per(F.size(F.filter("words", lambda w: F.array_contains(listed, w))), n_words).alias("common_share"),
+        per(common_words, n_words).alias("common_share"),
         n_lines.alias("line_count"),
         per(n_tokens, n_lines).alias("words_per_line"),
         per(kept(r"[^\p{N}]+"), chars).alias("digit_share"),
         per(kept(r"[^\p{L}\p{M}]+"), chars).alias("letter_share"),
         per(F.length(F.array_join(F.filter("lines", lambda x: x.rlike(_BULLET)), "")), F.length(F.array_join("lines", ""))).alias("bullet_share"),
-        F.size(F.array_intersect("words", listed)).alias("common_kinds"),
+        F.size(own).alias("common_kinds"),
         per(F.size(F.filter("words", lambda w: w.rlike(_ROUGH))), n_words).alias("rough_share"),
         per(F.aggregate("words", F.lit(0), lambda a, w: F.greatest(a, F.length(w))), F.lit(1)).alias("longest_word"),
         F.size(F.array_distinct("words")).alias("distinct_words"),
