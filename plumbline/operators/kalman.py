@@ -138,17 +138,22 @@ def _regress(e, h):
     return a, b, res, clipped_scale(res)[1]
 
 
-def _jump_excursions(y, s1, longest=3, k=6.0):
-    """Samples between two opposite jumps of more than k*s1 that lie at most ``longest`` samples apart."""
+def _suspects(y, longest=3, k=6.0):
+    """Runs of up to ``longest`` samples that lie off the line between their neighbours, all on one side.
+
+    "Off" is more than k times what the same statistic usually is in the source; only a start for the filter, which
+    judges these samples again.
+    """
     length = y.shape[0]
     out = np.zeros(y.shape, bool)
     for w in range(1, longest + 1):
         if length < w + 2:
             break
-        up, down = y[1 : length - w] - y[: length - w - 1], y[w + 1 :] - y[w : length - 1]
-        base = np.abs(y[w + 1 :] - y[: length - w - 1])
-        least = np.minimum(np.abs(up), np.abs(down))
-        hit = (up * down < 0) & (least > k * s1) & (base < 0.5 * least)
+        left, right = y[: length - w - 1], y[w + 1 :]
+        off = np.stack([y[1 + j : length - w + j] - (left + (right - left) * (j + 1) / (w + 1)) for j in range(w)])
+        _, usual = clipped_scale(off[w // 2])
+        one_side = (off > 0).all(axis=0) | (off < 0).all(axis=0)
+        hit = one_side & (np.abs(off).min(axis=0) > k * np.where(np.isfinite(usual), usual, np.inf))
         for j in range(w):
             out[1 + j : length - w + j] |= hit
     return out
@@ -189,7 +194,7 @@ def standardised_innovations(y, t, x, trend, threshold, rounds=4, span=8):
             _, s1 = clipped_scale(np.diff(e, axis=0))
             _, s2 = clipped_scale(e[2:] - 2 * e[1:-1] + e[:-2])
             s = np.minimum(s1 / np.sqrt(2), s2 / np.sqrt(6))
-            out = _jump_excursions(e, np.where(np.isfinite(s1), s1, np.inf))
+            out = _suspects(e)
             second_sd = 3 * s1
         else:
             center, _, res, s = _regress(e, h)
