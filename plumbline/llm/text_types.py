@@ -87,7 +87,7 @@ FUNCTIONS: dict[str, tuple[str, str]] = {
     "common": ("letter_words >= 3 AND common_share >= 0.2", "letter_words >= 6 AND common_share < 0.1"),
     "kinds": ("common_kinds >= 5", "letter_words >= 15 AND common_kinds <= 2 AND common_kinds <= 0.15 * distinct_words"),
     "rough": ("letter_words >= 4 AND rough_share <= 0.08", "letter_words >= 5 AND rough_share > 0.2"),
-    "letters": ("letter_share >= 0.85", "letter_share < 0.65"),
+    "letters": ("letter_share >= 0.85", "word_count > 0 AND letter_share < 0.65"),
     "symbols": ("symbol_share <= 0.02", "symbol_share > 0.08"),
     "digits": ("digit_share <= 0.05", "digit_share > 0.15"),
     "lines": ("words_per_line >= 5", "line_count >= 4 AND words_per_line < 4"),
