@@ -68,7 +68,7 @@ def longest_segment(df: DataFrame, keys: Sequence[str], axes: Sequence[str], ord
 
 
 def welch(series: DataFrame, keys: Sequence[str], axes: Sequence[str], segment_length: int = 2048, overlap: float = 0.5, window: str = "hann", even: bool = True, least: int = 32) -> DataFrame:
-    """keys, axis, k, frequency, psd, segments, length: the averaged one-sided spectral density.
+    """keys, axis, bin, frequency, psd, segments, length: the averaged one-sided spectral density.
 
     ``series`` has keys, ``pos`` (0, 1, ..), ``dt``, ``n`` and the axes (see :func:`longest_segment`).  Segments of
     min(``segment_length``, n) samples, made even above 32 if ``even``, lose their mean and are tapered.
@@ -105,17 +105,17 @@ def welch(series: DataFrame, keys: Sequence[str], axes: Sequence[str], segment_l
                 power[:, 1:] *= 2
             bins = power.shape[1]
             part = frame.iloc[np.repeat(some, bins)][[*keys, "segments", "length", "dt"]].reset_index(drop=True)
-            part["k"] = np.tile(np.arange(bins), len(some))
+            part["bin"] = np.tile(np.arange(bins), len(some))
             for j, name in enumerate(names):
                 part[name] = power[:, :, j].ravel()
             parts.append(part)
-        return pd.concat(parts, ignore_index=True) if parts else frame.iloc[:0].assign(k=0)
+        return pd.concat(parts, ignore_index=True) if parts else frame.iloc[:0].assign(bin=0)
 
-    schema = f"{keyed}, segments bigint, length bigint, dt double, k bigint, " + ", ".join(f"{n} double" for n in names)
+    schema = f"{keyed}, segments bigint, length bigint, dt double, bin bigint, " + ", ".join(f"{n} double" for n in names)
     spectra = map_whole_groups(df.select(*keys, "seg", "pos", "segments", "length", "dt", *names), [*keys, "seg"], ["pos"], transform, schema)
-    mean = spectra.groupBy(*keys, "k", "segments", "length", "dt").agg(*[F.avg(n).alias(n) for n in names])
-    long = mean.select(*keys, "k", "segments", "length", "dt", F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), F.col(n).alias("psd")) for n in names])).alias("v"))
-    return long.select(*keys, F.col("v.axis").alias("axis"), "k", (F.col("k") / (F.col("length") * F.col("dt"))).alias("frequency"), F.col("v.psd").alias("psd"), "segments", "length")
+    mean = spectra.groupBy(*keys, "bin", "segments", "length", "dt").agg(*[F.avg(n).alias(n) for n in names])
+    long = mean.select(*keys, "bin", "segments", "length", "dt", F.explode(F.array(*[F.struct(F.lit(n).alias("axis"), F.col(n).alias("psd")) for n in names])).alias("v"))
+    return long.select(*keys, F.col("v.axis").alias("axis"), "bin", (F.col("bin") / (F.col("length") * F.col("dt"))).alias("frequency"), F.col("v.psd").alias("psd"), "segments", "length")
 
 
 def spectrum_metrics(spectrum: DataFrame, keys: Sequence[str], min_frequency: float = 0.1, peak_ratio: float = 10.0, max_peaks: int = 5) -> DataFrame:
@@ -124,7 +124,7 @@ def spectrum_metrics(spectrum: DataFrame, keys: Sequence[str], min_frequency: fl
     Peaks are above the bin before and not below the bin after, at least ``peak_ratio`` times the median.
     """
     by = [*keys, "axis"]
-    w = Window.partitionBy(*by).orderBy("k")
+    w = Window.partitionBy(*by).orderBy("bin")
     df = spectrum.withColumns({"p_psd": F.lag("psd").over(w), "p_f": F.lag("frequency").over(w)})
     area = F.sum((F.col("psd") + F.col("p_psd")) / 2 * (F.col("frequency") - F.col("p_f")))
     # Peaks need both neighbours at or above the lowest frequency analysed.
@@ -133,7 +133,7 @@ def spectrum_metrics(spectrum: DataFrame, keys: Sequence[str], min_frequency: fl
     top = top.select(*by, F.coalesce("median_psd", F.lit(0.0)).alias("median_psd"), (-F.col("d.f")).alias("dominant_frequency"), F.col("d.psd").alias("dominant_psd"))
     peaks = high.join(top.select(*by, "median_psd"), by).where((F.col("psd") > F.col("left")) & (F.col("psd") >= F.col("right")) & (F.col("median_psd") > 0) & (F.col("psd") >= peak_ratio * F.col("median_psd")))
     found = peaks.groupBy(*by).agg(F.slice(F.sort_array(F.collect_list(F.struct("psd", "frequency")), asc=False), 1, max_peaks).alias("peaks"))
-    base = df.groupBy(*by).agg(F.first("segments").alias("segment_count"), F.first("length").alias("segment_length"), F.min(F.when(F.col("k") == 1, F.col("frequency"))).alias("frequency_resolution"), F.sqrt(F.greatest(area, F.lit(0.0))).alias("integrated_rms"))
+    base = df.groupBy(*by).agg(F.first("segments").alias("segment_count"), F.first("length").alias("segment_length"), F.min(F.when(F.col("bin") == 1, F.col("frequency"))).alias("frequency_resolution"), F.sqrt(F.greatest(area, F.lit(0.0))).alias("integrated_rms"))
     out = base.join(top, by).join(found, by, "left")
     return out.withColumns(
         {
