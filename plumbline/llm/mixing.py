@@ -45,9 +45,9 @@ def plan(sized: DataFrame, targets: DataFrame, total: int | None = None, capacit
         F.max_by("source", "target_share").alias("source"), F.max("target_share").alias("share"), F.max_by("max_repeats", "target_share").alias("repeats")
     )
     have = fit.groupBy(source_key("source").alias("key")).agg(F.sum("tokens").alias("available"))
-    size = fit.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total")) if total is None else fit.sparkSession.range(1).select(F.lit(total).cast("bigint").alias("total"))
-    # One row each: the catalogue of sources is as small as the mix has sources.
-    df = wanted.join(have.where(F.col("key").isNotNull()), "key", "left").join(F.broadcast(size), how="left")
+    if total is None:
+        total = fit.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    df = wanted.join(have.where(F.col("key").isNotNull()), "key", "left").withColumn("total", F.lit(total).cast("bigint"))
     repeats = F.greatest(F.coalesce("repeats", F.lit(0)), F.lit(0))
     df = df.select("key", "source", "share", repeats.alias("repeats"), F.coalesce("available", F.lit(0)).alias("available"), (F.col("share") * F.col("total")).alias("demand"), "total")
     return df.withColumn("reachable", F.col("available") * F.col("repeats") >= F.col("demand"))
@@ -92,8 +92,8 @@ def mix(sized: DataFrame, targets: DataFrame, ramps: dict[str, float] | None = N
 def report(mixed: DataFrame, goals: DataFrame) -> DataFrame:
     """source, target_share, reached_share, tokens, documents, passes, reachable."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), F.max("pass_no").alias("passes"))
-    all_tokens = got.agg(F.sum("tokens").alias("mixed"))
-    df = goals.select("source", F.col("share").alias("target_share"), "reachable").join(got, "source", "left").join(F.broadcast(all_tokens), how="left")
+    df = goals.select("source", F.col("share").alias("target_share"), "reachable").join(got, "source", "left")
+    df = df.withColumn("mixed", F.sum("tokens").over(Window.partitionBy()))  # one row per source
     zero = F.lit(0)
     share = F.coalesce(F.try_divide(F.col("tokens"), F.col("mixed")), F.lit(0.0))
     return df.select("source", "target_share", share.alias("reached_share"), *[F.coalesce(c, zero).alias(c) for c in ("tokens", "documents", "passes")], "reachable")
