@@ -168,10 +168,37 @@ def _shifted(z, by):
     return out
 
 
+def _fill_reference(y, t, x, x_mean, short=6):
+    """``x`` with every missing reference of a source that has others filled from its neighbours in time.
+
+    Between two references the line through them is taken, at either end the nearest one.  Where at most ``short`` rows
+    in a row lack the reference, a step may lie anywhere among them: of the values between both neighbours the one that
+    explains the reading best (after bias and gain of the source) is taken, so no step of the reference is an excursion.
+    """
+    with_ref = np.isfinite(x)
+    gap = ~with_ref & np.isfinite(t) & with_ref.any(axis=0)
+    if not gap.any():
+        return x
+    a, b, _, _ = _regress(y - x, np.where(with_ref, x - x_mean, 0.0))
+    b = np.clip(np.nan_to_num(b), -0.5, 0.5)
+    row = np.arange(len(x))[:, None]
+    before = np.maximum.accumulate(np.where(with_ref, row, -1), axis=0)
+    after = np.minimum.accumulate(np.where(with_ref, row, len(x))[::-1], axis=0)[::-1]
+    before, after = np.where(before < 0, after, before), np.where(after >= len(x), before, after)
+    before, after = np.clip(before, 0, len(x) - 1), np.clip(after, 0, len(x) - 1)
+    left, right = np.take_along_axis(x, before, axis=0), np.take_along_axis(x, after, axis=0)
+    t0, t1 = np.take_along_axis(t, before, axis=0), np.take_along_axis(t, after, axis=0)
+    share = np.where(t1 > t0, (t - t0) / np.where(t1 > t0, t1 - t0, 1.0), 0.5)
+    line = left + (right - left) * np.clip(share, 0.0, 1.0)
+    best = np.clip((y - a + b * x_mean) / (1 + b), np.minimum(left, right), np.maximum(left, right))
+    return np.where(gap, np.where((after - before - 1 <= short) & np.isfinite(best), best, line), x)
+
+
 def standardised_innovations(y, t, x, trend, threshold, rounds=4, span=8):
     """Standardised leave-one-out innovations of each sample of each source (column), flagged updates withheld.
 
-    ``y``, ``t``, ``x``: (time, source) matrices padded with NaN; ``x`` is the reference, NaN where absent.
+    ``y``, ``t``, ``x``: (time, source) matrices padded with NaN; ``x`` is the reference, NaN where absent; a source that
+    has any is compared with references filled from their neighbours where they are missing.
     Returns z of the same shape (NaN where y is NaN).  Sources of fewer than 8 samples get zeros: nothing is known
     about their normal behaviour.
     """
@@ -185,9 +212,11 @@ def standardised_innovations(y, t, x, trend, threshold, rounds=4, span=8):
         known = np.isfinite(y)
         with_ref = np.isfinite(x)
         has_ref = with_ref.any(axis=0)
+        x_mean = np.where(with_ref, x, 0.0).sum(axis=0) / np.maximum(with_ref.sum(axis=0), 1)
+        x = _fill_reference(y, t, x, x_mean)
+        with_ref = np.isfinite(x)
         e = np.where(with_ref | ~has_ref, y - np.where(has_ref & with_ref, x, 0.0), np.nan)
         known = known & np.isfinite(e)
-        x_mean = np.where(with_ref, x, 0.0).sum(axis=0) / np.maximum(with_ref.sum(axis=0), 1)
         h = np.where(with_ref & has_ref, x - x_mean, 0.0)
         center, sd = clipped_scale(e)
         if trend:

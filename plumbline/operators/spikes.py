@@ -13,7 +13,8 @@ the gain on the reference for generic sensors, a local linear trend for inertial
 Recordings are cut into blocks of ``block_rows`` rows; each block also sees ``halo_rows`` rows of its neighbours, so a
 recording that holds a third of all rows is spread over many tasks while its edges are judged like its middle.
 
-Defined results: NULL and NaN readings are never flagged; a delivery repeated with the same time and value gets the
+Defined results: NULL and NaN readings are never flagged; a reading whose reference alone is missing is compared with the
+references around it in time; a delivery repeated with the same time and value gets the
 verdict of the first; sources of fewer than 8 readings have no normal behaviour, so only impossible readings are
 flagged; rows without timestamp take the time of the row before; rows without recording form one source; without a
 range nothing is impossible but infinities; extra columns are ignored.

@@ -76,6 +76,25 @@ def test_nulls_repeats_and_empty(spark):
     assert flagged(spark, rows(1, y, r), ranges=[(9, 0.0, 1.0)]) == {50: "spike"}
 
 
+def test_readings_without_reference_are_judged(spark):
+    y, r = source(9, ref=True)
+    r[70:75] += 30  # a step of the reference, one of its rows without one
+    y[70:75] += 30.3
+    y[40] += 4
+    y[120] -= 4
+    y[200:202] += 4
+    y[299] += 4
+    data = rows(1, y, r)
+    for i in (20, 40, 70, 74, 120, 121, 150, *range(198, 206), 299):
+        data[i] = (*data[i][:5], float("nan") if i == 120 else None)
+    assert flagged(spark, data) == {i: "spike" for i in (40, 120, 200, 201, 299)}
+    lonely, none = source(10)
+    lonely[90] += 4
+    data = rows(1, lonely, none)
+    data[10] = (*data[10][:5], 50.0)  # one reference in the whole recording
+    assert flagged(spark, data) == {90: "spike"}
+
+
 def test_one_sided_noise_is_normal():
     rng = np.random.default_rng(7)
     y = rng.beta(0.4, 2.5, (400, 5)) * 3
