@@ -77,8 +77,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 @catalogue.query("p8_types")
 def p8_types(spark: SparkSession, d: str) -> DataFrame:
-    """Text type of every document with the posterior."""
-    return _types(spark, d).select("doc_id", "text_type", F.round("junk", 6).alias("junk"))
+    """Text type of every document with the posterior and the statistics asked for."""
+    known = lambda c: F.when(~F.col("absent"), c)
+    shares = [known(F.round(c, 6)).alias(c) for c in ("mean_word_length", "symbol_share", "terminal_share", "common_share")]
+    return _types(spark, d).select("doc_id", "text_type", F.round("junk", 6).alias("junk"), known(F.col("word_count")).alias("word_count"), *shares)
 
 
 @catalogue.query("p8_accuracies")

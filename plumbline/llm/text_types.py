@@ -2,7 +2,7 @@
 
 Statistics are built-in expressions over the whole text.  Thresholds on them are noisy labelling functions, each voting
 prose, junk or nothing.  Their accuracies are learned without labels by expectation-maximisation on their agreements:
-votes are counted per pattern of votes in Spark (at most 3**11 patterns, whatever the input), the iterations run on
+votes are counted per pattern of votes in Spark (at most 3**12 patterns, whatever the input), the iterations run on
 those counts, and the learned log-odds are applied to every document as one expression.  The posterior is the text type.
 
 Defined results: a NULL text has no statistics and no type (NULL posterior); an empty or blank text counts as prose
@@ -94,6 +94,7 @@ FUNCTIONS: dict[str, tuple[str, str]] = {
     "bullets": ("bullet_share <= 0.3", "line_count >= 3 AND bullet_share >= 0.7"),
     "lengths": ("mean_word_length BETWEEN 2.5 AND 8.5", "mean_word_length > 11 OR (word_count >= 5 AND mean_word_length < 2)"),
     "variety": ("letter_words >= 8 AND distinct_words >= 0.5 * letter_words OR distinct_words >= 20", "letter_words >= 10 AND distinct_words <= 0.25 * letter_words AND distinct_words < 10"),
+    "endings": ("letter_words >= 3 AND terminal_share >= 0.5", "line_count >= 4 AND terminal_share <= 0.1"),
     "separators": ("separators_per_word <= 0.12", "word_count >= 4 AND separators_per_word > 0.3"),
 }
 
