@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import rounded
 from plumbline.operators import diagnostics, generic_tools, imu_tools, spectral, unit_graph
+from plumbline.operators.spikes import full_scale
 from plumbline.plans import metrics
 from plumbline.plans.catalogue import Catalogue
 from plumbline.plans.sensor_queries import _ACCURACY, IMU_SAMPLES, KEY, PAIRS, generic, imu
@@ -46,6 +47,54 @@ def common_units(spark: SparkSession, d: str) -> DataFrame:
     return unit_graph.to_common_units(samples, channels).checkpoint()
 
 
+def common_limits(recordings: DataFrame) -> DataFrame:
+    """dataset_id, axis, low, high: full scale in m/s^2 and rad/s; none where the limit or its unit is unknown."""
+    high = {
+        "a": full_scale("accelerometer_range_max", "accelerometer_range_unit", "m/s^2"),
+        "g": full_scale("gyroscope_range_max", "gyroscope_range_unit", "rad/s"),
+    }
+    rows = F.array(*[F.struct(F.lit(a).alias("axis"), high[a[0]].alias("high")) for a in imu_tools.AXES])
+    out = recordings.where("dataset_id IS NOT NULL").select("dataset_id", F.explode(rows).alias("r")).where("r.high > 0")
+    return out.groupBy("dataset_id", "r.axis").agg(F.max("r.high").alias("high")).withColumn("low", -F.col("high"))
+
+
+# The queries of the same names without "_common_units" measure the values as stored, as their SQL does.
+@catalogue.query("imu_saturation_common_units")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(imu_tools.saturation(common_units(spark, d), KEY, common_limits(read(spark, d, "recordings"))))
+
+
+@catalogue.query("imu_accelerometer_bias_common_units")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(imu_tools.accelerometer_bias(common_units(spark, d), KEY))
+
+
+@catalogue.query("imu_gravity_error_common_units")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(imu_tools.gravity_error(common_units(spark, d), KEY))
+
+
+@catalogue.query("imu_gravity_by_orientation_common_units")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(imu_tools.gravity_by_orientation(common_units(spark, d), KEY))
+
+
+def _six_position(spark: SparkSession, d: str) -> DataFrame:
+    return imu_tools.six_position(common_units(spark, d).where("sensor_id IS NOT NULL"), ["sensor_id"])
+
+
+@catalogue.query("imu_six_position_common_units")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    out = _six_position(spark, d)
+    return rounded(out.select([c for c in out.columns if not c.startswith(("raw_", "corrected_"))]))
+
+
+@catalogue.query("imu_six_position_quality")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    out = _six_position(spark, d)
+    return rounded(out.select("sensor_id", *[c for c in out.columns if c.startswith(("raw_", "corrected_"))]))
+
+
 def imu_metrics(samples: DataFrame, recordings: DataFrame) -> DataFrame:
     """The long metric table of the inertial tools."""
     nominal = recordings.groupBy("dataset_id").agg(F.max("nominal_sampling_rate_hz").alias("nominal_rate"))

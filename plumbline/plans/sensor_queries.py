@@ -412,7 +412,7 @@ def _(spark, d):
 
 
 def _limits(spark: SparkSession, d: str) -> DataFrame:
-    """Full scale as stored; a limit in another unit than the values shows as no sample near it."""
+    """Full scale as stored, whatever the unit of the values; ``imu_saturation_common_units`` compares like with like."""
     rec = read(spark, d, "recordings").where("sensor_type = 'imu'")
     rows = F.array(*[F.struct(F.lit(a).alias("axis"), F.col("accelerometer_range_max" if a[0] == "a" else "gyroscope_range_max").alias("high")) for a in imu_tools.AXES])
     return rec.select("dataset_id", F.explode(rows).alias("r")).select("dataset_id", "r.axis", (-F.col("r.high")).alias("low"), F.col("r.high").alias("high")).where("high IS NOT NULL")
@@ -467,12 +467,6 @@ def _(spark, d):
     return out.select([c for c in out.columns if not c.startswith(("raw_", "corrected_"))])
 
 
-@tool("imu_six_position_quality")
-def _(spark, d):
-    out = imu_tools.six_position(imu(spark, d).where("sensor_id IS NOT NULL"), ["sensor_id"], min_samples=20, min_span_fraction=0.025)
-    return out.select("sensor_id", *[c for c in out.columns if c.startswith(("raw_", "corrected_"))])
-
-
 def _imu_series(spark: SparkSession, d: str, axes: tuple[str, ...]) -> DataFrame:
     return spectral.longest_segment(imu(spark, d), KEY, list(axes))
 
