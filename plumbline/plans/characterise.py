@@ -166,6 +166,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """What the spectra, correlations, temperature fits and saturation counts of each recording support."""
     samples = common_units(spark, d)
     out = diagnostics.temperature_association(imu_tools.temperature_stability(samples, KEY, min_samples=IMU_SAMPLES), KEY)
+    clipped = imu_tools.saturation(samples, KEY, common_limits(read(spark, d, "recordings")))
+    out = out.unionByName(diagnostics.boundary_clipping(clipped, KEY))
     for axes in (imu_tools.ACCEL, imu_tools.GYRO):
         series = spectral.longest_segment(samples, KEY, list(axes))
         spectra = spectral.spectrum_metrics(spectral.welch(series, KEY, list(axes), segment_length=64), KEY)

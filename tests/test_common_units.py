@@ -55,3 +55,8 @@ def test_gravity_is_gravity_in_every_recording(spark, recorded, name, column):
     rows = run(spark, f"{name}_common_units", recorded)
     assert len(rows) == 6
     assert all(r[column] == pytest.approx(G * 1.02, rel=0.02) for r in rows)
+
+
+def test_clipping_is_a_hypothesis(spark, recorded):
+    rows = [r for r in run(spark, "imu_hypotheses", recorded) if r["hypothesis"] == "range_boundary_clipping"]
+    assert sorted((r["dataset_id"], r["axes"], r["strength"], r["evidence"]) for r in rows) == [(i, f"a{'xyz'[i // 2]}", "strong", 4.0) for i in range(6)]
