@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from plumbline.chunks import map_whole_groups
 from plumbline.columns import finite
 from plumbline.joins import attach
-from plumbline.operators.ordered import with_position, with_previous, with_running_sum
+from plumbline.operators.ordered import BLOCK_ROWS, with_position, with_previous, with_running_sum
 from plumbline.session import shared_folder
 
 CONTINUITY = 1.5
@@ -67,6 +67,39 @@ def longest_segment(df: DataFrame, keys: Sequence[str], axes: Sequence[str], ord
     return with_position(chosen.select(*keys, order, *axes, "dt", "dt_cv", "n"), keys, order).drop(order).checkpoint()
 
 
+def ordered_by_time(df: DataFrame, keys: Sequence[str], axes: Sequence[str], order: str = "row_ord", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """keys, pos, axes, dt, dt_cv, n: all valid rows of each group in order of time, equal times in file order.
+
+    ``dt`` is the median positive step between these rows and ``dt_cv`` the variation of the positive steps.  Rows are
+    numbered in blocks of time, about ``block_rows`` rows each, and the numbers of earlier blocks added.
+    """
+    valid = reduce(lambda a, b: a & b, [finite(a) for a in axes], finite("timestamp"))
+    rows = df.where(valid).select(*keys, order, F.col("timestamp").cast("double").alias("t"), *[F.col(a).cast("double").alias(a) for a in axes])
+    span = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("t").alias("_low"), F.max("t").alias("_high"))
+    rows = attach(rows, span, list(keys), "inner")
+    share = F.coalesce(F.try_divide(F.col("t") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    rows = rows.withColumn("_block", F.floor(share * F.ceil(F.col("n") / block_rows)).cast("bigint")).drop("_low", "_high")
+    counts = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("t", order)
+    shared_folder(df.sparkSession)
+    rows = rows.withColumn("_in", F.row_number().over(inside)).join(counts, [*keys, "_block"])
+    rows = rows.select(*keys, (F.col("_base") + F.col("_in") - 1).cast("bigint").alias("pos"), "t", *axes, "n").checkpoint()
+    steps = with_previous(rows.select(*keys, "pos", "t"), keys, "pos", ["t"])
+    dt = F.col("t") - F.col("prev_t")
+    # The generic tool takes the sample deviation of the steps, the inertial ones that of the population.
+    step = steps.where(dt > 0).groupBy(*keys).agg(F.median(dt).alias("dt"), F.coalesce(F.stddev_samp(dt), F.lit(0.0)).alias("_std"), F.avg(dt).alias("_mean"))
+    step = step.select(*keys, "dt", (F.col("_std") / F.col("_mean")).alias("dt_cv"))
+    return attach(rows.drop("t"), step, list(keys), "inner")
+
+
+def regularity(series: DataFrame, keys: Sequence[str], limit: float = 0.02) -> DataFrame:
+    """keys, sampling_cv, regular, duration of each series: irregular ones keep their results, marked as such."""
+    out = series.groupBy(*keys).agg(F.first("dt_cv").alias("sampling_cv"), F.first((F.col("n") - 1) * F.col("dt")).alias("duration"))
+    return out.withColumn("regular", F.col("sampling_cv") <= limit)
+
+
 def welch(series: DataFrame, keys: Sequence[str], axes: Sequence[str], segment_length: int = 2048, overlap: float = 0.5, window: str = "hann", even: bool = True, least: int = 32) -> DataFrame:
     """keys, axis, bin, frequency, psd, segments, length: the averaged one-sided spectral density.
 

@@ -170,7 +170,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     out = out.unionByName(diagnostics.boundary_clipping(clipped, KEY))
     for axes in (imu_tools.ACCEL, imu_tools.GYRO):
         series = spectral.longest_segment(samples, KEY, list(axes))
-        spectra = spectral.spectrum_metrics(spectral.welch(series, KEY, list(axes), segment_length=64), KEY)
+        spectra = spectral.spectrum_metrics(spectral.welch(series, KEY, list(axes)), KEY)
         linked = imu_tools.axis_correlation(samples, KEY, axes, min_samples=IMU_SAMPLES).checkpoint()
         out = out.unionByName(diagnostics.shared_periodic(spectra, linked, KEY, axes)).unionByName(diagnostics.unexplained_covariance(linked, KEY, axes))
     return rounded(out)

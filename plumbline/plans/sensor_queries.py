@@ -204,15 +204,12 @@ def _(spark, d):
     return generic_tools.revision_comparison(generic(spark, d).where("sensor_id IS NOT NULL"), ["sensor_id"])
 
 
-def _generic_series(spark: SparkSession, d: str) -> DataFrame:
-    rows = generic_tools.pairs(generic(spark, d), KEY, "row_ord", "timestamp")
-    return spectral.longest_segment(rows, KEY, ["e"])
-
-
 @tool("generic_psd")
 def _(spark, d):
-    spectrum = spectral.welch(_generic_series(spark, d), KEY, ["e"], segment_length=64, even=False)
-    return spectral.spectrum_metrics(spectrum, KEY, min_frequency=0.0)
+    rows = generic_tools.pairs(generic(spark, d), KEY, "row_ord", "timestamp")
+    series = spectral.ordered_by_time(rows, KEY, ["e"]).checkpoint()
+    found = spectral.spectrum_metrics(spectral.welch(series, KEY, ["e"], segment_length=1024, even=False), KEY, min_frequency=0.0)
+    return found.join(spectral.regularity(series, KEY).drop("duration"), KEY)
 
 
 _STEPS = """SELECT *, t - lag(t) OVER (PARTITION BY dataset_id ORDER BY row_ord) AS dt FROM (SELECT dataset_id, row_ord, timestamp AS t FROM {table} WHERE isfinite(timestamp))"""
@@ -473,14 +470,28 @@ def _imu_series(spark: SparkSession, d: str, axes: tuple[str, ...]) -> DataFrame
 
 @tool("imu_psd")
 def _(spark, d):
-    parts = [spectral.spectrum_metrics(spectral.welch(_imu_series(spark, d, g), KEY, list(g), segment_length=64), KEY) for g in (_A, _G)]
+    parts = []
+    for g in (_A, _G):
+        series = _imu_series(spark, d, g)
+        found = spectral.spectrum_metrics(spectral.welch(series, KEY, list(g)), KEY)
+        parts.append(found.join(spectral.regularity(series, KEY).drop("duration"), KEY))
     return parts[0].unionByName(parts[1])
 
 
+#: Seconds a series must last for its flat region to be called a bias instability.
+BIAS_SECONDS = 300.0
+
+
 @tool("imu_allan_deviation")
 def _(spark, d):
-    # The test recordings are short: 60 samples and half a second instead of 2000 and 30 s.
-    return spectral.allan_metrics(spectral.allan_curve(_imu_series(spark, d, _G), KEY, list(_G), points=20, min_samples=60, min_duration=0.5), KEY)
+    parts = []
+    for g in (_A, _G):
+        # The test recordings are short: 60 samples and half a second instead of 2000 and 30 s.
+        series = _imu_series(spark, d, g)
+        found = spectral.allan_metrics(spectral.allan_curve(series, KEY, list(g), min_samples=60, min_duration=0.5), KEY)
+        found = found.join(spectral.regularity(series, KEY), KEY)
+        parts.append(found.withColumn("bias_instability", F.when(F.col("duration") >= BIAS_SECONDS, F.col("bias_instability"))))
+    return parts[0].unionByName(parts[1])
 
 
 @tool(
