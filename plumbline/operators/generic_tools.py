@@ -4,9 +4,9 @@ Every tool takes a DataFrame with ``measurement`` and ``reference`` (and what it
 and gives one row per group.  Groups that do not meet the tool's minimum sample counts give no row.  Only rows on which
 all values a tool needs are finite take part.
 
-Pass structure: single-pass tools are one aggregation; tools that need a mean or a fit first attach that small table
-to the rows (:func:`plumbline.joins.attach`: broadcast within a checked bound, salted otherwise) and aggregate again.
-Medians are exact; a group with very many distinct values belongs to :mod:`plumbline.operators.dyadic_quantiles`.
+Pass structure: single-pass tools are one aggregation; tools that need a mean or a fit first write that small table once
+and attach it to the rows (:func:`plumbline.joins.attach`: broadcast within a checked bound, salted otherwise).  Medians
+and other percentiles are exact at any size of a group (:mod:`plumbline.operators.order_statistics`).
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.columns import finite, is_close
-from plumbline.joins import attach
+from plumbline.joins import Written, attach, written
+from plumbline.operators.order_statistics import summary
 
 NEAR_ZERO = 1e-15
 #: 0.75 quantile of the normal distribution: scales a MAD to a z score.
@@ -40,17 +41,18 @@ def accuracy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bias, absolute, squared and percentage errors."""
     e, r = F.col("e"), F.col("r")
     pct = F.when(r != 0, e / F.abs(r) * 100)
-    return pairs(df, keys).groupBy(*keys).agg(
+    rows = pairs(df, keys)
+    aggs = [
         F.count("*").alias("sample_count"),
         F.avg(e).alias("bias"),
         F.avg(F.abs(e)).alias("mean_absolute_error"),
         F.sqrt(F.avg(e * e)).alias("root_mean_squared_error"),
-        F.median(F.abs(e)).alias("median_absolute_error"),
         F.max(F.abs(e)).alias("maximum_absolute_error"),
         F.avg(pct).alias("mean_percentage_error"),
         F.avg(F.abs(pct)).alias("mean_absolute_percentage_error"),
         F.max(F.abs(pct)).alias("maximum_absolute_percentage_error"),
-    )
+    ]
+    return summary(rows, keys, aggs, {"q": F.abs(e)}).withColumn("median_absolute_error", F.col("q")[0]).drop("q")
 
 
 def linearity(df: DataFrame, keys: Sequence[str], min_samples: int = 5, min_levels: int = 3) -> DataFrame:
@@ -64,37 +66,36 @@ def linearity(df: DataFrame, keys: Sequence[str], min_samples: int = 5, min_leve
         F.regr_intercept("m", "r").alias("intercept"),
         F.avg("m").alias("m_mean"),
     )
-    fit = fit.where((F.col("sample_count") >= min_samples) & (F.col("unique_reference_count") >= min_levels) & F.col("slope").isNotNull())
+    fit = written(fit.where((F.col("sample_count") >= min_samples) & (F.col("unique_reference_count") >= min_levels) & F.col("slope").isNotNull()))
     res = F.col("m") - (F.col("slope") * F.col("r") + F.col("intercept"))
-    res_rows = attach(rows, fit.select(*keys, "slope", "intercept", "m_mean"), list(keys), "inner").withColumn("res", res)
-    dev = res_rows.groupBy(*keys).agg(
+    res_rows = attach(rows, fit, list(keys), "inner").withColumn("res", res)
+    aggs = [
         F.sqrt(F.avg(F.col("res") * F.col("res"))).alias("residual_rmse"),
         F.coalesce(F.stddev_samp("res"), F.lit(0.0)).alias("residual_standard_deviation"),
-        F.median(F.abs("res")).alias("median_absolute_deviation"),
         F.max(F.abs("res")).alias("maximum_absolute_deviation"),
         one_minus(F.sum(F.col("res") * F.col("res")), F.sum((F.col("m") - F.col("m_mean")) * (F.col("m") - F.col("m_mean")))).alias("r_squared"),
-    )
+    ]
+    dev = summary(res_rows, keys, aggs, {"q": F.abs("res")}, source=rows)
     span = F.abs("slope") * F.col("reference_span")
-    out = fit.drop("m_mean").join(dev, list(keys)).withColumn("fitted_output_span", span)
+    out = fit.df.drop("m_mean").join(dev, list(keys)).withColumns({"fitted_output_span": span, "median_absolute_deviation": F.col("q")[0]}).drop("q")
     return out.withColumn("maximum_deviation_percent_full_scale", F.when(~is_close(F.col("fitted_output_span"), 0.0), 100 * F.col("maximum_absolute_deviation") / F.col("fitted_output_span")))
 
 
 def precision(df: DataFrame, keys: Sequence[str], min_samples: int = 5) -> DataFrame:
     """Spread of the error: standard, robust, interquartile, and the 95th percentile of the demeaned error."""
-    rows = pairs(df, keys)
-    center = rows.groupBy(*keys).agg(
-        F.count("*").alias("sample_count"), F.avg("e").alias("e_mean"), F.expr("percentile(e, array(0.25D, 0.5D, 0.75D))").alias("q"), F.coalesce(F.stddev_samp("e"), F.lit(0.0)).alias("standard_deviation")
-    )
-    center = center.where(F.col("sample_count") >= min_samples)
-    center = center.select(*keys, "sample_count", "e_mean", F.col("q")[1].alias("e_median"), "standard_deviation", (F.col("q")[2] - F.col("q")[0]).alias("interquartile_range"))
-    out = attach(rows.select(*keys, "e"), center, list(keys), "inner").groupBy(*keys).agg(
-        F.first("sample_count").alias("sample_count"),
-        F.first("standard_deviation").alias("standard_deviation"),
-        (F.lit(MAD_TO_SIGMA) * F.median(F.abs(F.col("e") - F.col("e_median")))).alias("robust_sigma"),
-        F.first("interquartile_range").alias("interquartile_range"),
-        F.expr("percentile(abs(e - e_mean), 0.95D)").alias("p95_absolute_demeaned_error"),
+    rows = pairs(df, keys).select(*keys, "e")
+    aggs = [F.count("*").alias("sample_count"), F.avg("e").alias("e_mean"), F.coalesce(F.stddev_samp("e"), F.lit(0.0)).alias("standard_deviation")]
+    center = written(summary(rows, keys, aggs, {"q": F.col("e")}, (0.25, 0.5, 0.75)).where(F.col("sample_count") >= min_samples))
+    near = attach(rows, center, list(keys), "inner")
+    off = summary(near, keys, [], {"mad": F.abs(F.col("e") - F.col("q")[1]), "far": F.abs(F.col("e") - F.col("e_mean"))}, (0.5, 0.95), source=rows)
+    return center.df.join(off, list(keys)).select(
+        *keys,
+        "sample_count",
+        "standard_deviation",
+        (F.lit(MAD_TO_SIGMA) * F.col("mad")[0]).alias("robust_sigma"),
+        (F.col("q")[2] - F.col("q")[0]).alias("interquartile_range"),
+        F.col("far")[1].alias("p95_absolute_demeaned_error"),
     )
-    return out
 
 
 def cluster_levels(rows: DataFrame, keys: Sequence[str], level: str, tolerance: float) -> DataFrame:
@@ -171,18 +172,18 @@ def sensitivity(df: DataFrame, keys: Sequence[str], min_samples: int = 5, min_le
 
 
 def drift(df: DataFrame, keys: Sequence[str], min_samples: int = 10, min_duration: float = 1.0, order: str = "row_ord") -> DataFrame:
-    """Linear trend of the error over time and the change from the first to the last sample."""
-    t = F.col("timestamp").cast("double")
-    rows = pairs(df.where(finite("timestamp")).withColumn("_t", t), keys, "_t", order)
-    start = rows.groupBy(*keys).agg(F.min("_t").alias("_start"))
-    rows = attach(rows, start, list(keys), "inner").withColumn("x", F.col("_t") - F.col("_start"))
+    """Linear trend of the error over time and the change from the first to the last sample; one pass.
+
+    Time counts from the first sample: slope and R2 do not depend on that, the intercept is moved there afterwards.
+    """
+    rows = pairs(df.where(finite("timestamp")).withColumn("_t", F.col("timestamp").cast("double")), keys, "_t", order)
     first, last = F.min_by("e", F.struct("_t", order)), F.max_by("e", F.struct("_t", order))
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("sample_count"),
-        F.max("x").alias("duration"),
-        F.regr_slope("e", "x").alias("drift_rate"),
-        F.regr_intercept("e", "x").alias("fit_intercept"),
-        F.when(F.regr_syy("e", "x") > NEAR_ZERO, F.regr_r2("e", "x")).alias("fit_r_squared"),
+        (F.max("_t") - F.min("_t")).alias("duration"),
+        F.regr_slope("e", "_t").alias("drift_rate"),
+        (F.avg("e") - F.regr_slope("e", "_t") * (F.avg("_t") - F.min("_t"))).alias("fit_intercept"),
+        F.when(F.regr_syy("e", "_t") > NEAR_ZERO, F.regr_r2("e", "_t")).alias("fit_r_squared"),
         (last - first).alias("endpoint_error_change"),
     )
     out = out.where((F.col("sample_count") >= min_samples) & (F.col("duration") >= min_duration) & F.col("drift_rate").isNotNull())
@@ -215,13 +216,18 @@ def environmental_stability(df: DataFrame, keys: Sequence[str], fields: Sequence
     return out.withColumn("predicted_error_change", F.col("error_coefficient") * F.col("span"))
 
 
+def _centers(rows: DataFrame, keys: Sequence[str]) -> Written:
+    """keys, e_median, e_mad: a small table, written once."""
+    mid = written(summary(rows, keys, [], {"q": F.col("e")}).select(*keys, F.col("q")[0].alias("e_median")))
+    near = attach(rows, mid, list(keys), "inner")
+    mad = summary(near, keys, [F.first("e_median").alias("e_median")], {"q": F.abs(F.col("e") - F.col("e_median"))}, source=rows)
+    return written(mad.select(*keys, "e_median", F.col("q")[0].alias("e_mad")))
+
+
 def outlier_rows(df: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
     """Rows with the modified z score of their error; infinite off the median where the MAD is 0."""
     rows = pairs(df, keys, *more)
-    mid = rows.groupBy(*keys).agg(F.median("e").alias("e_median"))
-    rows = attach(rows, mid, list(keys), "inner")
-    mad = rows.groupBy(*keys).agg(F.median(F.abs(F.col("e") - F.col("e_median"))).alias("e_mad"))
-    rows = attach(rows, mad, list(keys), "inner")
+    rows = attach(rows, _centers(rows, keys), list(keys), "inner")
     off = F.col("e") - F.col("e_median")
     flat = F.when(is_close(off, 0.0), F.lit(0.0)).otherwise(F.lit(float("inf")))
     z = F.when(F.col("e_mad") <= NEAR_ZERO, flat).otherwise(F.lit(NORMAL_QUARTILE) * off / F.col("e_mad"))

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from plumbline.columns import finite, if_finite, safe_corr
 from plumbline.functions.orientation import ORIENTATIONS, gravity_component, orientation
-from plumbline.joins import attach
-from plumbline.operators.ordered import longest_run, with_previous
+from plumbline.joins import Written, attach, written
+from plumbline.operators.order_statistics import summary
+from plumbline.operators.ordered import longest_run, with_previous, with_previous_value
 from plumbline.operators.unit_graph import STANDARD_GRAVITY
 
 ACCEL, GYRO = ("ax", "ay", "az"), ("gx", "gy", "gz")
@@ -43,18 +44,19 @@ def sampling_integrity(df: DataFrame, keys: Sequence[str], order: str = "row_ord
     steps = with_previous(rows, keys, order, ["t"]).withColumn("dt", F.col("t") - F.col("prev_t"))
     dt = F.col("dt")
     plus = F.when(dt > 0, dt)
-    base = steps.groupBy(*keys).agg(
+    aggs = [
         F.count("*").alias("timestamp_count"),
         (F.max_by("t", order) - F.min_by("t", order)).alias("duration"),
         F.count(F.when(dt == 0, 1)).alias("duplicate_count"),
         F.count(F.when(dt < 0, 1)).alias("backward_count"),
-        F.median(plus).alias("median_interval"),
         F.avg(plus).alias("mean_interval"),
         F.stddev_pop(plus).alias("interval_standard_deviation"),
         F.min(plus).alias("minimum_interval"),
         F.max(plus).alias("maximum_interval"),
-    ).where(F.col("median_interval").isNotNull())
-    second = attach(steps.where(dt > 0).select(*keys, "dt"), base.select(*keys, "median_interval"), list(keys), "inner")
+    ]
+    base = summary(steps, keys, aggs, {"q": plus}, source=rows).withColumn("median_interval", F.col("q")[0]).drop("q")
+    base = written(base.where(F.col("median_interval").isNotNull()))
+    second = attach(steps.where(dt > 0).select(*keys, "dt"), Written(base.df.select(*keys, "median_interval"), base.bytes), list(keys), "inner")
     off = F.col("dt") - F.col("median_interval")
     gap = F.col("dt") > gap_multiplier * F.col("median_interval")
     missing = F.greatest(F.rint(F.col("dt") / F.col("median_interval")), F.lit(1.0)) - 1
@@ -66,7 +68,7 @@ def sampling_integrity(df: DataFrame, keys: Sequence[str], order: str = "row_ord
         F.max(F.when(gap, F.col("dt"))).alias("largest_gap"),
         F.sum(missing).cast("bigint").alias("estimated_missing"),
     )
-    out = base.join(more, list(keys))
+    out = base.df.join(more, list(keys))
     out = out.withColumns(
         {
             "sampling_rate": 1 / F.col("median_interval"),
@@ -90,11 +92,15 @@ def _axis_stats(axes: Sequence[str]) -> list[Column]:
             F.stddev_samp(x).alias(f"{a}_std"),
             F.sqrt(F.avg(x * x)).alias(f"{a}_rms"),
             (F.max(x) - F.min(x)).alias(f"{a}_peak_to_peak"),
-            F.median(x).alias(f"{a}_median"),
         ]
     return out
 
 
+def _statistics(df: DataFrame, keys: Sequence[str], axes: Sequence[str], *more: Column) -> DataFrame:
+    out = summary(df, keys, [*_axis_stats(axes), *more], {f"{a}_median": if_finite(a) for a in axes})
+    return out.withColumns({f"{a}_median": F.col(f"{a}_median")[0] for a in axes})
+
+
 def _spread(axes: Sequence[str]) -> dict[str, Column]:
     stds = [F.col(f"{a}_std") for a in axes]
     return {
@@ -106,44 +112,50 @@ def _spread(axes: Sequence[str]) -> dict[str, Column]:
 
 def gyro_bias(df: DataFrame, keys: Sequence[str], min_samples: int = 100) -> DataFrame:
     """Zero-rate output of each gyroscope axis and of the vector."""
-    out = df.groupBy(*keys).agg(*_axis_stats(GYRO)).where(F.least(*[F.col(f"{a}_count") for a in GYRO]) >= min_samples)
+    out = _statistics(df, keys, GYRO).where(F.least(*[F.col(f"{a}_count") for a in GYRO]) >= min_samples)
     return out.withColumns({"bias_vector_magnitude": norm(*[F.col(f"{a}_mean") for a in GYRO]), **_spread(GYRO)})
 
 
 def accelerometer_bias(df: DataFrame, keys: Sequence[str], min_samples: int = 100, gravity: float = STANDARD_GRAVITY) -> DataFrame:
     """Mean output of each axis against gravity; bias where a group has exactly one, recognised orientation."""
     label = F.trim("orientation_label")
-    out = df.groupBy(*keys).agg(*_axis_stats(ACCEL), F.countDistinct(label).alias("labels"), F.max(label).alias("label"))
+    # One label or more: its least and greatest spelling tell, without a set of labels.
+    out = _statistics(df, keys, ACCEL, F.min(label).alias("least_label"), F.max(label).alias("label"))
     out = out.where(F.least(*[F.col(f"{a}_count") for a in ACCEL]) >= min_samples)
     size = norm(*[F.col(f"{a}_mean") for a in ACCEL])
-    pose = F.when(F.col("labels") == 1, orientation("label"))
+    pose = F.when(F.col("least_label") == F.col("label"), orientation("label"))
     out = out.withColumns({"orientation": pose, "mean_vector_magnitude": size, **_spread(ACCEL)})
     bias = {f"{a}_bias": F.col(f"{a}_mean") - gravity_component(F.col("orientation"), a[1].upper(), gravity) for a in ACCEL}
     out = out.withColumns({"gravity_magnitude_error": F.col("mean_vector_magnitude") - gravity, **bias})
     return out.withColumns(
         {"gravity_magnitude_error_percent": 100 * F.col("gravity_magnitude_error") / gravity, "bias_vector_magnitude": norm(*[F.col(f"{a}_bias") for a in ACCEL])}
-    ).drop("labels", "label")
+    ).drop("least_label", "label")
 
 
 def stationary_noise(df: DataFrame, keys: Sequence[str], order: str = "row_ord", min_samples: int = 500, axes: Sequence[str] = AXES) -> DataFrame:
-    """Noise of each axis (one row per group and axis): standard, robust, percentile and successive-difference estimates."""
-    rows = with_previous(unpivot(df, [*keys, order], axes), [*keys, "axis"], order, ["x"])
-    by = [*keys, "axis"]
-    base = rows.groupBy(*by).agg(
-        F.count("*").alias("sample_count"),
-        F.avg("x").alias("x_mean"),
-        F.stddev_samp("x").alias("standard_deviation"),
-        F.var_samp("x").alias("variance"),
-        F.stddev_pop("x").alias("rms"),
-        F.expr("percentile(x, array(0.05D, 0.5D, 0.95D))").alias("q"),
-        F.count("prev_x").alias("differences"),
-        F.stddev_samp(F.col("x") - F.col("prev_x")).alias("d_std"),
-    ).where(F.col("sample_count") >= min_samples)
-    mid = base.select(*by, F.col("q")[1].alias("x_median"))
-    mad = attach(rows.select(*by, "x"), mid, by, "inner").groupBy(*by).agg(F.median(F.abs(F.col("x") - F.col("x_median"))).alias("mad"))
-    out = base.join(mad, by)
+    """Noise of each axis (one row per group and axis): standard, robust, percentile and successive-difference estimates.
+
+    Differences are between an axis' finite values that follow one another; a value that is not finite is passed over.
+    """
+    keys, axes = list(keys), list(axes)
+    wide = df.select(*keys, order, *[if_finite(a).alias(a) for a in axes])
+    rows = with_previous_value(wide, keys, order, axes)
+    aggs = []
+    for a in axes:
+        d = F.col(a) - F.col(f"prev_{a}")
+        aggs.append(
+            F.struct(
+                F.lit(a).alias("axis"), F.count(a).alias("sample_count"), F.stddev_samp(a).alias("standard_deviation"), F.var_samp(a).alias("variance"), F.stddev_pop(a).alias("rms"), F.count(d).alias("differences"), F.stddev_samp(d).alias("d_std")
+            ).alias(f"s_{a}")
+        )
+    base = written(summary(rows, keys, aggs, {f"q_{a}": F.col(a) for a in axes}, (0.05, 0.5, 0.95), source=wide))
+    near = attach(wide, Written(base.df.select(*keys, *[f"q_{a}" for a in axes]), base.bytes), keys, "inner")
+    every = base.df.join(summary(near, keys, [], {f"m_{a}": F.abs(F.col(a) - F.col(f"q_{a}")[1]) for a in axes}, source=wide), keys)
+    long = every.select(*keys, F.explode(F.array(*[F.struct(F.col(f"s_{a}").alias("s"), F.col(f"q_{a}").alias("q"), F.col(f"m_{a}")[0].alias("mad")) for a in axes])).alias("v"))
+    out = long.select(*keys, "v.s.*", "v.q", "v.mad").where(F.col("sample_count") >= min_samples)
     return out.select(
-        *by,
+        *keys,
+        "axis",
         "sample_count",
         "standard_deviation",
         "variance",
@@ -296,42 +308,42 @@ def saturation(
     ``limits`` has keys, ``axis``, ``low`` and ``high``.  Runs follow the file order; a sample that is not finite ends a
     run.
     """
-    by = [*keys, "axis"]
-    wide = df.select(*keys, order, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), if_finite(a).alias("x")) for a in axes])).alias("v"))
-    rows = attach(wide.select(*keys, order, F.col("v.axis").alias("axis"), F.col("v.x").alias("x")), limits.where("high > low").select(*by, "low", "high"), by, "inner")
-    x, low, high = F.col("x"), F.col("low"), F.col("high")
-    span = high - low
-    exact = span * exact_fraction
-    rows = rows.select(
-        *by,
-        order,
-        "x",
-        "low",
-        "high",
-        (F.abs(x - low) <= exact).alias("exact_low"),
-        (F.abs(x - high) <= exact).alias("exact_high"),
-        (x <= low + span * near_fraction).alias("near_low"),
-        (x >= high - span * near_fraction).alias("near_high"),
-        ((x < low - exact) | (x > high + exact)).alias("outside"),
-    )
+    keys, by = list(keys), [*keys, "axis"]
+    pick = lambda a, c: F.max(F.when(F.col("axis") == a, F.col(c)))
+    spans = limits.where("high > low AND axis IS NOT NULL").groupBy(*keys).agg(*[pick(a, c).alias(f"{c}_{a}") for a in axes for c in ("low", "high")])
+    rows = attach(df.select(*keys, order, *[if_finite(a).alias(a) for a in axes]), spans, keys, "inner")
+    aggs, at, near = [], {}, {}
     some = lambda c: F.count(F.when(c, 1))
-    at, near = F.col("exact_low") | F.col("exact_high"), F.col("near_low") | F.col("near_high")
-    out = rows.groupBy(*by).agg(
-        F.count("x").alias("sample_count"),
-        F.first("low").alias("configured_minimum"),
-        F.first("high").alias("configured_maximum"),
-        F.min("x").alias("observed_minimum"),
-        F.max("x").alias("observed_maximum"),
-        some(F.col("exact_low")).alias("exact_lower_count"),
-        some(F.col("exact_high")).alias("exact_upper_count"),
-        some(F.col("near_low")).alias("near_lower_count"),
-        some(F.col("near_high")).alias("near_upper_count"),
-        some(near).alias("near_count"),
-        some(near & ~at).alias("near_not_exact_count"),
-        some(F.col("outside")).alias("outside_count"),
-    ).where("sample_count > 0")
-    runs = longest_run(rows, by, order, {"longest_exact_run": at, "longest_near_run": near})
-    out = out.join(runs, by)
+    for a in axes:
+        x, low, high = F.col(a), F.col(f"low_{a}"), F.col(f"high_{a}")
+        span = high - low
+        exact = span * exact_fraction
+        exact_low, exact_high = F.abs(x - low) <= exact, F.abs(x - high) <= exact
+        near_low, near_high = x <= low + span * near_fraction, x >= high - span * near_fraction
+        at[a], near[a] = exact_low | exact_high, near_low | near_high
+        aggs.append(
+            F.struct(
+                F.lit(a).alias("axis"),
+                F.count(F.when(low.isNotNull(), x)).alias("sample_count"),
+                F.first(low).alias("configured_minimum"),
+                F.first(high).alias("configured_maximum"),
+                F.min(x).alias("observed_minimum"),
+                F.max(x).alias("observed_maximum"),
+                some(exact_low).alias("exact_lower_count"),
+                some(exact_high).alias("exact_upper_count"),
+                some(near_low).alias("near_lower_count"),
+                some(near_high).alias("near_upper_count"),
+                some(near[a]).alias("near_count"),
+                some(near[a] & ~at[a]).alias("near_not_exact_count"),
+                some((x < low - exact) | (x > high + exact)).alias("outside_count"),
+            ).alias(f"s_{a}")
+        )
+    # Wide rows are shuffled once, for the runs; the counts need no order.
+    counts = rows.groupBy(*keys).agg(*aggs)
+    runs = longest_run(rows, keys, order, {f"exact_{a}": at[a] for a in axes} | {f"near_{a}": near[a] for a in axes})
+    every = counts.join(runs, keys, "left")
+    parts = [F.struct(F.col(f"s_{a}").alias("s"), *[F.coalesce(f"{w}_{a}", F.lit(0)).alias(f"longest_{w}_run") for w in ("exact", "near")]) for a in axes]
+    out = every.select(*keys, F.explode(F.array(*parts)).alias("v")).select(*keys, "v.s.*", "v.longest_exact_run", "v.longest_near_run").where("sample_count > 0")
     n = F.col("sample_count")
     enough = F.col("near_count") >= min_near
     return out.withColumns(

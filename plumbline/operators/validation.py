@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.columns import finite
-from plumbline.joins import attach
+from plumbline.joins import Written, attach, written
+from plumbline.operators.order_statistics import summary
 from plumbline.operators.ordered import with_previous
 
 MIN_ROWS = 10
@@ -49,17 +50,19 @@ def sampling_summary(df: DataFrame, keys: Sequence[str], order: str = "row_ord",
     rows = df.where(finite("timestamp")).select(*keys, order, F.col("timestamp").cast("double").alias("t"))
     steps = with_previous(rows, keys, order, ["t"]).withColumn("dt", F.col("t") - F.col("prev_t"))
     plus = F.when(F.col("dt") > 0, F.col("dt"))
-    base = steps.groupBy(*keys).agg(
+    aggs = [
         F.count("*").alias("sample_count"),
         (F.max_by("t", order) - F.min_by("t", order)).alias("duration_seconds"),
-        F.median(plus).alias("median_interval_seconds"),
         F.avg(plus).alias("mean_interval_seconds"),
         F.stddev_pop(plus).alias("std_interval_seconds"),
         F.count(F.when(F.col("dt") == 0, 1)).alias("duplicate_timestamp_count"),
         F.count(F.when(F.col("dt") < 0, 1)).alias("backward_timestamp_count"),
-    )
+    ]
+    base = summary(steps, keys, aggs, {"q": plus}, source=rows)
+    done = written(base.withColumn("median_interval_seconds", F.col("q")[0]).drop("q"))
+    base = done.df
     gap = F.col("dt") > gap_multiplier * F.col("median_interval_seconds")
-    gaps = attach(steps.where("dt > 0").select(*keys, "dt"), base.select(*keys, "median_interval_seconds"), list(keys), "inner")
+    gaps = attach(steps.where("dt > 0").select(*keys, "dt"), Written(base.select(*keys, "median_interval_seconds"), done.bytes), list(keys), "inner")
     gaps = gaps.groupBy(*keys).agg(F.count(F.when(gap, 1)).alias("large_gap_count"), F.max(F.when(gap, F.col("dt"))).alias("largest_gap_seconds"))
     out = base.join(gaps, list(keys), "left")
     return out.withColumns(

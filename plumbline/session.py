@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", name: str = "plumbline", **conf: str) -
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
+        # Checkpoints go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)
@@ -25,12 +27,19 @@ def local_session(cpus: int | str = "*", name: str = "plumbline", **conf: str) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``), made the session's checkpoint folder once.
+
+    Where it is unset a session in one process, as in tests, gets a temporary folder; a cluster has to name one.
+    """
+    sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
-    spark.sparkContext.setCheckpointDir(at)
+    if not (sc.getCheckpointDir() or "").removeprefix("file:").startswith(at.removeprefix("file://").removeprefix("file:").rstrip("/")):
+        sc.setCheckpointDir(at)
     return at
 
 

@@ -20,8 +20,8 @@ def test_blocks_equal_whole_windows(spark):
         prev = {(r["k"], r["o"]): (r["prev_v"], r["prev_o"]) for r in with_previous(df, ["k"], "o", ["v", "o"], block_rows=block).collect()}
         sums = {(r["k"], r["o"]): r["s"] for r in with_running_sum(df, ["k"], "o", {"s": F.coalesce("v", F.lit(0.0))}, block_rows=block).collect()}
         pos = {(r["k"], r["o"]): r["pos"] for r in with_position(df, ["k"], "o", block_rows=block).collect()}
-        runs = {r["k"]: r["run"] for r in longest_run(df.where("k IS NOT NULL AND o IS NOT NULL"), ["k"], "o", {"run": F.col("on")}, block_rows=block).collect()}
-        assert len(prev) == len(sums) == len(pos) == len(rows)
+        runs = {r["k"]: r["run"] for r in longest_run(df, ["k"], "o", {"run": F.col("on")}, block_rows=block).collect()}
+        assert len(prev) == len(sums) == len(pos) == len(rows) + 2 and prev[None, 1] == (None, None) and pos['a', None] is None and sums[None, 1] is None
         for k in "abc":
             mine = [r for r in rows if r[0] == k]
             total, best, run = 0.0, 0, 0
