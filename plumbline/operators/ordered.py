@@ -115,15 +115,15 @@ def longest_run(df: DataFrame, keys: Sequence[str], order: str, flags: dict[str,
     """
     keys, names = list(keys), list(flags)
     in_blocks = _runs_in_blocks
-    rows = df.select(*keys, order, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()])
-    b = _blocks(rows, keys, order, block_rows).where("_spare = 0")
+    block = F.floor(F.col(order) / block_rows).cast("bigint").alias("_block")
+    b = df.where(_placed(keys, order)).select(*keys, block, order, *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()])
     head = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{head}, _block bigint, _flag int, _rows bigint, _head bigint, _tail bigint, _most bigint"
 
     def runs(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         return in_blocks(names, keys, frame, starts, ends)
 
-    blocks = map_whole_groups(b.select(*keys, "_block", order, *names), [*keys, "_block"], [order], runs, schema)
+    blocks = map_whole_groups(b, [*keys, "_block"], [order], runs, schema)
     # Blocks that are on throughout carry a run on: a chain is some of those and the block after them.
     before = Window.partitionBy(*keys, "_flag").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     chain = F.coalesce(F.sum(F.when(F.col("_head") < F.col("_rows"), 1).otherwise(0)).over(before), F.lit(0))
