@@ -1 +1 @@
-"""Preparation of text for language models: packing, mixing and text statistics.  Nothing outside imports it."""
+"""Operators for training data of language models: percentile digests, packing, mixing and text statistics.  Nothing outside imports it."""

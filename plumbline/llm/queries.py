@@ -1,16 +1,101 @@
-"""Queries of the text operators (problems 6 to 8)."""
+"""Queries of the operators tagged llm (problems 4 and 6 to 8)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, packing, text_types, tokens
+from plumbline.columns import finite
+from plumbline.joins import attach, written
+from plumbline.llm import dyadic_quantiles, mixing, packing, text_types, tokens
 from plumbline.plans.catalogue import Catalogue
 from plumbline.session import read, shared_folder
 
 catalogue = Catalogue()
 
+P4_KEYS = ["sensor_id", "revision"]
+P4_PROBABILITIES = (0.05, 0.5, 0.95)
+P4_FACTOR = 2.75
+
+
+def _p4_digest(spark: SparkSession, d: str) -> DataFrame:
+    return dyadic_quantiles.digest(read(spark, d, "generic_samples"), P4_KEYS, "measurement")
+
+
+def _lopsided(p05: Column, p50: Column, p95: Column) -> Column:
+    return F.greatest(p95 - p50, p50 - p05) > P4_FACTOR * F.least(p95 - p50, p50 - p05)
+
+
+@catalogue.query(
+    "p4_found",
+    f"""
+WITH g AS (SELECT sensor_id, revision, quantile_cont(measurement, [0.05, 0.5, 0.95]) AS q FROM generic_samples
+           WHERE isfinite(measurement) AND sensor_id IS NOT NULL AND revision IS NOT NULL GROUP BY ALL)
+SELECT sensor_id, revision FROM g WHERE greatest(q[3] - q[2], q[2] - q[1]) > {P4_FACTOR} * least(q[3] - q[2], q[2] - q[1])
+""",
+)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Groups with one tail of the distribution much longer than the other.
+
+    The digest's intervals decide; only groups they leave open are ranked exactly.
+    """
+    samples = read(spark, d, "generic_samples").where(F.col("sensor_id").isNotNull() & F.col("revision").isNotNull())
+    shared_folder(spark)
+    # A few rows per group, read by both branches below.
+    marks = dyadic_quantiles.percentiles(dyadic_quantiles.digest(samples, P4_KEYS, "measurement"), P4_KEYS, P4_PROBABILITIES).checkpoint()
+    at = lambda p, c: F.max(F.when(F.col("p") == p, F.col(c)))
+    wide = marks.groupBy(*P4_KEYS).agg(*[at(p, c).alias(f"{c}{i}") for i, p in enumerate(P4_PROBABILITIES) for c in ("low", "high")])
+    up_low, up_high = F.col("low2") - F.col("high1"), F.col("high2") - F.col("low1")
+    down_low, down_high = F.col("low1") - F.col("high0"), F.col("high1") - F.col("low0")
+    yes = (up_low > P4_FACTOR * down_high) | (down_low > P4_FACTOR * up_high)
+    no = (up_high <= P4_FACTOR * down_low) & (down_high <= P4_FACTOR * up_low)
+    judged = wide.select(*P4_KEYS, yes.alias("yes"), (~yes & ~no).alias("open"))
+    still = marks.join(judged.where("open").select(*P4_KEYS), P4_KEYS, "left_semi")
+    exact = dyadic_quantiles.exact_percentiles(samples, still, P4_KEYS, "measurement")
+    exact = exact.groupBy(*P4_KEYS).agg(*[F.max(F.when(F.col("p") == p, F.col("exact"))).alias(f"q{i}") for i, p in enumerate(P4_PROBABILITIES)])
+    return judged.where("yes").select(*P4_KEYS).unionByName(exact.where(_lopsided(F.col("q0"), F.col("q1"), F.col("q2"))).select(*P4_KEYS))
+
+
+@catalogue.query("p4_percentiles")
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per sensor and revision with the interval certain to hold each."""
+    return dyadic_quantiles.percentiles(_p4_digest(spark, d), P4_KEYS, (0.05, 0.25, 0.5, 0.75, 0.95))
+
+
+@catalogue.query("p4_merged_days")
+def p4_merged_days(spark: SparkSession, d: str) -> DataFrame:
+    """The same from digests of single days, merged into those of the whole."""
+    by_day = read(spark, d, "generic_samples").withColumn("day", F.to_date("ingested_at"))
+    days = dyadic_quantiles.digest(by_day, [*P4_KEYS, "day"], "measurement")
+    return dyadic_quantiles.percentiles(dyadic_quantiles.merge(days, P4_KEYS), P4_KEYS, (0.05, 0.25, 0.5, 0.75, 0.95))
+
+
+#: Error bound of the coarse digest below: small enough to be useful, large enough that every revision is compressed.
+P4_COARSE = 0.05
+
+
+@catalogue.query(
+    "p4_rank_error",
+    f"""
+WITH v AS (SELECT coalesce(revision, '-') AS revision FROM generic_samples WHERE isfinite(measurement))
+SELECT revision, CAST(p AS DOUBLE) AS p, count(*) AS "rows", true AS within_bound FROM v, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS p) GROUP BY ALL
+""",
+)
+def p4_rank_error(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of a compressed digest per revision, and whether their rank error keeps within eps * n."""
+    samples = read(spark, d, "generic_samples").withColumn("revision", F.coalesce("revision", F.lit("-"))).select("revision", "measurement")
+    marks = dyadic_quantiles.percentiles(dyadic_quantiles.digest(samples, ["revision"], "measurement", P4_COARSE), ["revision"], (0.05, 0.25, 0.5, 0.75, 0.95))
+    marks = written(marks.groupBy("revision").agg(F.collect_list(F.struct("p", "rows", "low", "high")).alias("m")))
+    rows = attach(samples.where(finite("measurement")), marks, ["revision"], "inner").select("revision", "measurement", F.explode("m").alias("m"))
+    count = lambda c: F.count(F.when(c, 1))
+    v = F.col("measurement")
+    got = rows.groupBy("revision", "m.p").agg(F.max("m.rows").alias("rows"), count(v <= F.col("m.low")).alias("upto_low"), count(v < F.col("m.high")).alias("below_high"))
+    # The rank asked for lies between both ends, and neither end is further from it than the bound.
+    rank, slack = F.col("p") * (F.col("rows") - 1), P4_COARSE * F.col("rows") + 2
+    within = (F.col("upto_low") <= rank + 1) & (F.col("below_high") >= rank) & (rank - F.col("upto_low") <= slack) & (F.col("below_high") - rank <= slack)
+    return got.select("revision", "p", "rows", within.alias("within_bound"))
+
+
 #: Slope of a source's weight over training: what is written by experts comes late.
 RAMPS = {"marketplace": -0.4, "field_reports": 0.5, "lab_notes": 0.5}
 
