@@ -4,7 +4,8 @@ A time-varying curriculum: over training progress t from 0 to 1 source s is draw
 
     w_s(t) = share_s * (1 + ramp_s * (2 t - 1)),        -1 <= ramp_s <= 1,
 
-so its demand up to t is total * share_s * ((1 - ramp_s) t + ramp_s t**2), which at t = 1 is the target share.  A
+where the ramps are first centred on their mean (weighted by share) and, should one leave -1 to 1 by that, scaled back:
+so the weights of all sources have the same sum at every t and the mix is equally dense throughout.  The demand of s up to t is total * share_s * ((1 - ramp_s) t + ramp_s t**2), which at t = 1 is the target share.  A
 document that begins after c tokens of its source is placed at the t where that demand reaches c: the integral of the
 schedule, inverted.  Sorting all documents by t gives the training order.
 
@@ -12,7 +13,8 @@ A source is repeated in whole passes, each in an order of its own, until its dem
 are used; the report gives the shares really reached.
 
 The running token count of a source, which may hold a third of all rows, comes from two levels: sums per hash bucket
-(a small table, accumulated in order of the buckets) and running sums inside a bucket.
+(a small table, accumulated in order of the buckets) and running sums inside a bucket, of ``BUCKET_DOCUMENTS`` documents
+about.
 
 Defined results: sources are compared without case, blanks and separators; documents of no target source, without
 source or without tokens take no part; a target source without documents is reported with share 0; max_repeats below 1
@@ -25,8 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Hash buckets the documents of a source are ordered by.
-BUCKETS = 4_096
+from plumbline.joins import Written, attach, written
+
+#: Documents of a source in one hash bucket, about; the number of buckets follows the largest source.
+BUCKET_DOCUMENTS = 20_000
 
 
 def source_key(c: str | Column) -> Column:
@@ -44,12 +48,12 @@ def plan(sized: DataFrame, targets: DataFrame, total: int | None = None, capacit
     wanted = targets.where(F.col("source").isNotNull()).groupBy(source_key("source").alias("key")).agg(
         F.max_by("source", "target_share").alias("source"), F.max("target_share").alias("share"), F.max_by("max_repeats", "target_share").alias("repeats")
     )
-    have = fit.groupBy(source_key("source").alias("key")).agg(F.sum("tokens").alias("available"))
+    have = fit.groupBy(source_key("source").alias("key")).agg(F.sum("tokens").alias("available"), F.count("*").alias("documents"))
     if total is None:
         total = fit.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     df = wanted.join(have.where(F.col("key").isNotNull()), "key", "left").withColumn("total", F.lit(total).cast("bigint"))
     repeats = F.greatest(F.coalesce("repeats", F.lit(0)), F.lit(0))
-    df = df.select("key", "source", "share", repeats.alias("repeats"), F.coalesce("available", F.lit(0)).alias("available"), (F.col("share") * F.col("total")).alias("demand"), "total")
+    df = df.select("key", "source", "share", repeats.alias("repeats"), F.coalesce("available", F.lit(0)).alias("available"), F.coalesce("documents", F.lit(0)).alias("documents"), (F.col("share") * F.col("total")).alias("demand"), "total")
     return df.withColumn("reachable", F.col("available") * F.col("repeats") >= F.col("demand"))
 
 
@@ -57,22 +61,33 @@ def _fitting(sized: DataFrame, capacity: int | None) -> DataFrame:
     return sized if capacity is None else sized.where(F.col("tokens") <= capacity)
 
 
-def mix(sized: DataFrame, targets: DataFrame, ramps: dict[str, float] | None = None, total: int | None = None, capacity: int | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, pass_no, tokens, position: the documents of the mix, range-sorted by position.
-
-    ``ramps`` gives the slope of a source's weight over training, by name as in ``targets``; 0 where absent.
-    """
-    goals = plan(sized, targets, total, capacity)
+def scheduled(goals: DataFrame, ramps: dict[str, float] | None) -> DataFrame:
+    """Sources of ``goals`` that take part, with ``passes`` and ``ramp``: centred, so that all weights sum to the same at every t."""
     slope = F.lit(0.0)
     for name, r in (ramps or {}).items():
         if not -1 <= r <= 1:
             raise ValueError(f"ramp of {name} is not within -1 and 1: {r}")
         slope = F.when(F.col("key") == source_key(F.lit(name)), F.lit(float(r))).otherwise(slope)
+    every = Window.partitionBy()  # one row per source
     passes = F.least(F.col("repeats"), F.ceil(F.try_divide(F.col("demand"), F.col("available")))).cast("int")
-    goals = goals.where("available > 0 AND demand > 0").select("key", F.col("source").alias("name"), "available", "demand", passes.alias("passes"), slope.alias("ramp")).where("passes > 0")
+    df = goals.where("available > 0 AND demand > 0").withColumns({"passes": passes, "ramp": slope}).where("passes > 0")
+    df = df.withColumn("ramp", F.col("ramp") - F.sum(F.col("ramp") * F.col("share")).over(every) / F.sum("share").over(every))
+    return df.withColumn("ramp", F.col("ramp") / F.greatest(F.max(F.abs("ramp")).over(every), F.lit(1.0)))
+
+
+def mix(sized: DataFrame, targets: DataFrame, ramps: dict[str, float] | None = None, total: int | None = None, capacity: int | None = None, bucket_documents: int = BUCKET_DOCUMENTS, goals: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, pass_no, tokens, position: the documents of the mix, range-sorted by position.
+
+    ``ramps`` gives the slope of a source's weight over training, by name as in ``targets``; 0 where absent.  ``goals``
+    is the result of :func:`plan`, where it is at hand.
+    """
+    goals = plan(sized, targets, total, capacity) if goals is None else goals
+    goals = scheduled(goals, ramps)
+    done = written(goals.select("key", F.col("source").alias("name"), "available", "documents", "demand", "passes", "ramp"))
+    most = done.df.agg(F.coalesce(F.max("documents"), F.lit(0))).first()[0]
+    buckets = max(16, -(-most // bucket_documents))
     docs = _fitting(sized, capacity).where("tokens > 0").select("doc_id", "tokens", source_key("source").alias("key"))
-    # One row per source: broadcast keeps the documents where they are.
-    rows = docs.join(F.broadcast(goals), "key").withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    rows = attach(docs, Written(done.df.drop("documents"), done.bytes), ["key"], "inner").withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     rows = rows.withColumn("at", F.xxhash64("doc_id", "pass_no")).withColumn("bucket", F.pmod(F.shiftrightunsigned("at", 20), F.lit(buckets)))
     sums = rows.groupBy("key", "pass_no", "bucket").agg(F.sum("tokens").alias("in_bucket"))
     before = Window.partitionBy("key").orderBy("pass_no", "bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,10 +105,11 @@ def mix(sized: DataFrame, targets: DataFrame, ramps: dict[str, float] | None = N
 
 
 def report(mixed: DataFrame, goals: DataFrame) -> DataFrame:
-    """source, target_share, reached_share, tokens, documents, passes, reachable."""
+    """source, target_share, reached_share, tokens, demand, documents, passes, reached (whether the demand was met)."""
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"), F.max("pass_no").alias("passes"))
-    df = goals.select("source", F.col("share").alias("target_share"), "reachable").join(got, "source", "left")
+    df = goals.select("source", F.col("share").alias("target_share"), "demand").join(got, "source", "left")
     df = df.withColumn("mixed", F.sum("tokens").over(Window.partitionBy()))  # one row per source
     zero = F.lit(0)
     share = F.coalesce(F.try_divide(F.col("tokens"), F.col("mixed")), F.lit(0.0))
-    return df.select("source", "target_share", share.alias("reached_share"), *[F.coalesce(c, zero).alias(c) for c in ("tokens", "documents", "passes")], "reachable")
+    df = df.select("source", "target_share", share.alias("reached_share"), *[F.coalesce(c, zero).alias(c) for c in ("tokens", "documents", "passes")], "demand")
+    return df.withColumn("reached", F.col("tokens") >= F.col("demand"))

@@ -113,8 +113,7 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 @catalogue.query("p6_found")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that no container holds whole: those the packing has to cut."""
-    cut = packing.pieces(tokens.sized(read(spark, d, "documents")), _capacity(spark, d))
-    return cut.where("piece = 1").select("doc_id")
+    return packing.pack(_sized(spark, d), _capacity(spark, d)).where("piece = 1").select("doc_id")
 
 
 @catalogue.query("p6_packed")
@@ -130,24 +129,61 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.pack(_sized(spark, d), size), size)
 
 
+@catalogue.query("p6_invariants", "SELECT count(*) AS documents, 0::BIGINT AS lost_tokens, 0::BIGINT AS overfull, 0::BIGINT AS split_without_need, true AS well_filled FROM documents")
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What a packing must keep: every token once, no container overfull, nothing split that fits, little room unused."""
+    sized, size = _sized(spark, d), _capacity(spark, d)
+    packed = packing.pack(sized, size)
+    shared_folder(spark)
+    packed = packed.checkpoint()
+    per_doc = packed.groupBy("doc_id").agg(F.sum("size").alias("packed"), F.count("*").alias("pieces"))
+    docs = sized.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("tokens")).join(per_doc, "doc_id", "left")
+    docs = docs.agg(F.count("*").alias("documents"), F.sum(F.abs(F.col("tokens") - F.coalesce("packed", F.lit(-1)))).alias("lost_tokens"), F.count(F.when((F.col("pieces") > 1) & (F.col("tokens") <= size), 1)).alias("split_without_need"))
+    bins = packing.containers(packed, size).agg(F.count(F.when(F.col("unused") < 0, 1)).alias("overfull"), (F.sum("tokens") >= 0.9 * size * F.count("*")).alias("well_filled"))
+    # Two tables of one row each meet on a constant.
+    return docs.withColumn("one", F.lit(1)).join(bins.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mix and its goals."""
+    sized, size = _sized(spark, d), _capacity(spark, d)
+    goals = written(mixing.plan(sized, read(spark, d, "mix_targets"), capacity=size)).df
+    return mixing.mix(sized, read(spark, d, "mix_targets"), RAMPS, capacity=size, goals=goals), goals
+
+
 @catalogue.query("p7_found")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that cannot reach their share."""
-    goals = mixing.plan(_sized(spark, d), read(spark, d, "mix_targets"), capacity=_capacity(spark, d))
-    return goals.where(~F.col("reachable")).select("source")
+    """Sources whose part of the mix ends short of their demand."""
+    return mixing.report(*_mixed(spark, d)).where("NOT reached").select("source")
 
 
 @catalogue.query("p7_mix")
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mix in training order."""
-    return mixing.mix(_sized(spark, d), read(spark, d, "mix_targets"), RAMPS, capacity=_capacity(spark, d))
+    return _mixed(spark, d)[0]
 
 
 @catalogue.query("p7_report")
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of each source."""
-    sized, targets, size = _sized(spark, d), read(spark, d, "mix_targets"), _capacity(spark, d)
-    return mixing.report(mixing.mix(sized, targets, RAMPS, capacity=size), mixing.plan(sized, targets, capacity=size))
+    return mixing.report(*_mixed(spark, d))
+
+
+@catalogue.query("p7_invariants", "SELECT max(source) AS source, true AS within_repeats, true AS share_as_due, true AS even FROM mix_targets GROUP BY regexp_replace(lower(source), '[^\\p{L}\\p{N}]+', '', 'g')")
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What a mix must keep, per source: no more repeats than allowed, tokens as due, and its schedule in every tenth of training."""
+    mixed, goals = _mixed(spark, d)
+    shared_folder(spark)
+    mixed = mixed.checkpoint()
+    ramp = F.coalesce(F.col("ramp"), F.lit(0.0))
+    per = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"), F.max("pass_no").alias("passes"), *[F.sum(F.when(F.col("position") < k / 10, F.col("tokens"))).alias(f"u{k}") for k in range(1, 10)])
+    df = goals.join(mixing.scheduled(goals, RAMPS).select("source", "ramp"), "source", "left").join(per, "source", "left")
+    got, due = F.coalesce("tokens", F.lit(0)), F.least(F.col("demand"), F.col("available") * F.col("repeats"))
+    even = F.lit(True)
+    for k in range(1, 10):
+        want = got * ((1 - ramp) * (k / 10) + ramp * (k / 10) ** 2)
+        even = even & (F.abs(F.coalesce(f"u{k}", F.lit(0)) - want) <= F.coalesce("largest", F.lit(0)) + 1)
+    return df.select("source", (F.coalesce("passes", F.lit(0)) <= F.col("repeats")).alias("within_repeats"), ((got >= due) & (got <= due + F.coalesce("largest", F.lit(0)))).alias("share_as_due"), even.alias("even"))
 
 
 def _types(spark: SparkSession, d: str) -> DataFrame:
@@ -171,31 +207,42 @@ def p8_types(spark: SparkSession, d: str) -> DataFrame:
 @catalogue.query("p8_accuracies")
 def p8_accuracies(spark: SparkSession, d: str) -> DataFrame:
     """What was learned of each labelling function."""
-    stats = text_types.statistics(read(spark, d, "documents"), text_types.common_word_table(read(spark, d, "common_words")))
+    stats = text_types.statistics(read(spark, d, "documents"), read(spark, d, "common_words"))
     return text_types.posterior(text_types.votes(stats))[1]
 
 
 _PLAIN = r"""regexp_replace(regexp_replace(text, '(?i)<br\s*/?>|</p>|</li>', chr(10), 'g'), '<[a-zA-Z/][^<>]{0,80}>', ' ', 'g')"""
+_SHARES = [c for c in text_types.STATISTICS if c not in text_types.WHOLE]
 
 
 @catalogue.query(
     "p8_statistics",
     rf"""
 WITH d AS (SELECT doc_id, {_PLAIN} AS plain FROM documents WHERE text IS NOT NULL),
-t AS (SELECT doc_id, list_filter(regexp_split_to_array(plain, '\s+'), lambda w: w <> '') AS tokens,
+t AS (SELECT doc_id, list_filter(regexp_split_to_array(plain, '[ \t\n\v\f\r]+'), lambda w: w <> '') AS tokens,
         list_filter(regexp_split_to_array(lower(plain), '[^\p{{L}}\p{{M}}]+'), lambda w: w <> '') AS words,
-        length(regexp_replace(plain, '\s+', '', 'g')) AS chars,
-        length(regexp_replace(plain, '[\p{{L}}\p{{M}}\p{{N}}\s.,;:!?''"()’“”„«»¿¡-]+', '', 'g')) AS symbols,
-        length(regexp_replace(plain, '[^\p{{N}}]+', '', 'g')) AS digits FROM d),
-c AS (SELECT list(DISTINCT lower(word)) AS listed FROM common_words)
-SELECT doc_id, CAST(len(tokens) AS INTEGER) AS word_count, round(coalesce(chars / nullif(len(tokens), 0), 0), 6) AS mean_word_length,
-       round(coalesce(symbols / nullif(chars, 0), 0), 6) AS symbol_share, round(coalesce(digits / nullif(chars, 0), 0), 6) AS digit_share,
-       round(coalesce(len(list_filter(words, lambda w: list_contains(listed, w))) / nullif(len(words), 0), 0), 6) AS common_share
-FROM t, c
+        list_filter(list_transform(regexp_split_to_array(plain, '[\n\v\f\r\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: trim(x)), lambda x: x <> '') AS lines,
+        length(regexp_replace(plain, '[ \t\n\v\f\r]+', '', 'g')) AS chars,
+        length(regexp_replace(plain, '[\p{{L}}\p{{M}}\p{{N}} \t\n\v\f\r.,;:!?''"()’“”„«»¿¡-]+', '', 'g')) AS symbols,
+        length(regexp_replace(plain, '[^\p{{N}}]+', '', 'g')) AS digits, length(regexp_replace(plain, '[^\p{{L}}\p{{M}}]+', '', 'g')) AS letters,
+        length(regexp_replace(plain, '[^|>#=/\\_{{}}\[\]<;*•~,]+', '', 'g')) AS separators FROM d),
+c AS (SELECT list(DISTINCT lower(word)) AS listed FROM common_words),
+n AS (SELECT *, len(tokens) AS nt, len(words) AS nw, len(lines) AS nl, list_distinct(words) AS kinds,
+        coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) AS in_lines, list_filter(lines, lambda x: regexp_matches(x, '^([-•*·–▪#>|+=~]|\d+[.)][ \t\n\v\f\r]|\[[ xX]\])')) AS items FROM t, c)
+SELECT doc_id, CAST(nt AS INTEGER) AS word_count, round(coalesce(chars / nullif(nt, 0), 0), 6) AS mean_word_length, round(coalesce(symbols / nullif(chars, 0), 0), 6) AS symbol_share,
+       round(coalesce(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…]["''”’»)\]\p{{So}} \t\n\v\f\r]*$'))) / nullif(nl, 0), 0), 6) AS terminal_share,
+       round(coalesce(len(list_filter(words, lambda w: list_contains(listed, w))) / nullif(nw, 0), 0), 6) AS common_share,
+       CAST(nl AS INTEGER) AS line_count, round(coalesce(nt / nullif(nl, 0), 0), 6) AS words_per_line, round(coalesce(digits / nullif(chars, 0), 0), 6) AS digit_share,
+       round(coalesce(letters / nullif(chars, 0), 0), 6) AS letter_share, round(coalesce(list_sum(list_transform(items, lambda x: length(x))) / nullif(in_lines, 0), 0), 6) AS bullet_share,
+       CAST(len(list_filter(kinds, lambda w: list_contains(listed, w))) AS INTEGER) AS common_kinds,
+       round(coalesce(len(list_filter(words, lambda w: regexp_matches(w, '[bcdfghjklmnpqrstvwxz]{{5}}|^[bcdfghjklmnpqrstvwxz]{{3,}}$') OR
+         len(list_filter(range(1, length(w) - 1), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2])) > 0)) / nullif(nw, 0), 0), 6) AS rough_share,
+       CAST(coalesce(list_max(list_transform(words, lambda w: length(w))), 0) AS DOUBLE) AS longest_word, CAST(len(kinds) AS INTEGER) AS distinct_words, CAST(nw AS INTEGER) AS letter_words,
+       round(coalesce(separators / nullif(nt, 0), 0), 6) AS separators_per_word
+FROM n
 """,
 )
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics of every text."""
-    stats = text_types.statistics(read(spark, d, "documents"), text_types.common_word_table(read(spark, d, "common_words")))
-    shares = [F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_share", "digit_share", "common_share")]
-    return stats.where("NOT absent").select("doc_id", "word_count", *shares)
+    """All statistics of every text."""
+    stats = text_types.statistics(read(spark, d, "documents"), read(spark, d, "common_words"))
+    return stats.where("NOT absent").select("doc_id", *[F.round(c, 6).alias(c) if c in _SHARES else c for c in text_types.STATISTICS])

@@ -1,9 +1,15 @@
 """Problem 8: per-document text quality statistics.
 
-Statistics are built-in expressions over the whole text.  Thresholds on them are noisy labelling functions, each voting
-prose, junk or nothing.  Their accuracies are learned without labels by expectation-maximisation on their agreements:
-votes are counted per pattern of votes in Spark (at most 3**12 patterns, whatever the input), the iterations run on
-those counts, and the learned log-odds are applied to every document as one expression.  The posterior is the text type.
+Statistics are computed over whole texts, many texts at once: a task strings the texts of an Arrow batch together as
+code points, looks each code point's class up in a table and counts classes, runs and lines by array operations; words
+are looked at once per distinct word of the batch.  Thresholds on the statistics are noisy labelling functions, each
+voting prose, junk or nothing.  Their accuracies are learned without labels by expectation-maximisation on their
+agreements: votes are counted per pattern of votes in Spark (at most 3**12 patterns, whatever the input), the
+iterations run on those counts, and the learned log-odds are applied to every document as one expression.  The
+posterior is the text type.
+
+Common words go to the tasks as a set where their table is small (``WORD_BYTES``, counted); a larger one is joined with
+the distinct words of each text.
 
 Defined results: a NULL text has no statistics and no type (NULL posterior); an empty or blank text counts as prose
 with the prior's posterior, as nothing speaks against it; very long texts are read whole; repeated documents get equal
@@ -13,73 +19,256 @@ results; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from plumbline.joins import Written, written
 from plumbline.session import shared_folder
 
-#: Terminal punctuation of a line, closing quotes and emoji after it included.
-_TERMINAL = r"[.!?…][\"'”’»)\]\p{So}\s]*$"
-#: Marks of list items, tables and menus at the start of a line.
-_BULLET = r"^([-•*·–▪#>|+=~]|\d+[.)]\s|\[[ xX]\])"
-#: Latin words nobody can pronounce: five consonants in a row, or three letters and more without a vowel.
-_ROUGH = r"[bcdfghjklmnpqrstvwxz]{5}|^[bcdfghjklmnpqrstvwxz]{3,}$|(.)\1\1"
+#: Code points strung together at once; one longer text is a batch of its own.
+BATCH_CHARS = 1 << 21
+#: Bytes of the table of common words that may be sent to every task.
+WORD_BYTES = 4 << 20
+_BREAK = re.compile(r"<br\s*/?>|</p>|</li>", re.IGNORECASE)
+_TAG = re.compile(r"<[a-zA-Z/][^<>]{0,80}>")
+#: Marks that make a list item with what follows them: numbers and boxes; other bullets stand alone.
+_ITEM = re.compile(r"\d+[.)]\s|\[[ xX]\]", re.ASCII)
+#: Latin words nobody can pronounce: five consonants in a row, or three letters and more without a vowel, or a letter three times.
+_ROUGH = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}|^[bcdfghjklmnpqrstvwxz]{3,}$|(.)\1\1")
 PROSE, JUNK, NOTHING = 1, 0, -1
 
+# Classes of code points, one bit each.
+_LETTER, _DIGIT, _SPACE, _MARK, _SEPARATOR, _BREAKS, _ENDS, _CLOSES, _BULLET, _BLANK = (1 << i for i in range(10))
+_SETS = {
+    _SPACE: " \t\n\v\f\r",
+    _MARK: ".,;:!?'\"()’“”„«»¿¡-",
+    _SEPARATOR: "|>#=/\\_{}[]<;*•~,",
+    _BREAKS: "\n\v\f\r\x85\u2028\u2029",
+    _ENDS: ".!?…",
+    _CLOSES: "\"'”’»)] \t\n\v\f\r",
+    _BULLET: "-•*·–▪#>|+=~",
+    _BLANK: " ",
+}
+
+
+class _Classes:
+    """Class bits of code points, filled in as they are met."""
+
+    def __init__(self) -> None:
+        self.bits = np.zeros(0x110000, np.uint16)
+        self.known = np.zeros(0x110000, bool)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        met = np.flatnonzero(np.bincount(points, minlength=1))
+        for c in met[~self.known[met]].tolist():
+            kind = unicodedata.category(chr(c))
+            bit = _LETTER if kind[0] in "LM" else _DIGIT if kind[0] == "N" else 0
+            bit |= _CLOSES if kind == "So" else 0
+            for b, chars in _SETS.items():
+                bit |= b if chr(c) in chars else 0
+            self.bits[c], self.known[c] = bit, True
+        return self.bits[points]
+
+
+def _runs(on: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values; ``first`` is true where a text begins."""
+    edge = on.copy()
+    edge[1:] &= ~on[:-1] | first[1:]
+    start = np.flatnonzero(edge)
+    stop = on.copy()
+    stop[:-1] &= ~on[1:] | first[1:]
+    return start, np.flatnonzero(stop) + 1
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def measure(texts: list[str], common: frozenset[str], classes: _Classes) -> dict[str, np.ndarray]:
+    """The statistics of texts without NULLs, as arrays."""
+    plains = [_TAG.sub(" ", _BREAK.sub("\n", t)) if "<" in t else t for t in texts]
+    n = len(plains)
+    lens = np.fromiter(map(len, plains), np.int64, n)
+    ends = np.cumsum(lens)
+    starts = ends - lens
+    text = "".join(plains)
+    bits = classes.of(_points(text)) if text else np.zeros(0, np.uint16)
+    size = len(bits)
+    first = np.zeros(size, bool)
+    first[starts[lens > 0]] = True
+
+    def per_text(mask: np.ndarray) -> np.ndarray:
+        upto = np.r_[0, np.cumsum(mask)]
+        return upto[ends] - upto[starts]
+
+    def text_of(at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return np.searchsorted(bounds, at, side="right")
+
+    has = lambda b: (bits & b) != 0
+    share = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
+    space = has(_SPACE)
+    chars = per_text(~space)
+    tokens = np.bincount(text_of(_runs(~space, first)[0], ends), minlength=n)
+
+    # Lines: runs between breaks that hold more than blanks.
+    begin, stop = _runs(~has(_BREAKS), first)
+    row = np.arange(size)
+    filled = np.r_[0, np.cumsum(~has(_BLANK))]
+    keep = filled[stop] > filled[begin]
+    begin, stop = begin[keep], stop[keep]
+    line_of = text_of(begin, ends)
+    lines = np.bincount(line_of, minlength=n)
+    finished = long = np.zeros(n)
+    in_lists = np.zeros(n)
+    if len(begin):
+        last = np.maximum.accumulate(np.where(~has(_CLOSES), row, -1))[stop - 1]
+        done = (last >= begin) & ((bits[np.maximum(last, 0)] & _ENDS) != 0)
+        finished = np.bincount(line_of, done, minlength=n)
+        inked = ~has(_BLANK)
+        end = np.maximum.accumulate(np.where(inked, row, -1))[stop - 1] + 1
+        head = np.minimum.accumulate(np.where(inked, row, size)[::-1])[::-1][begin]
+        long = np.bincount(line_of, end - head, minlength=n)
+        bullet = (bits[head] & _BULLET) != 0
+        lead = _points(text)[head]
+        for i in np.flatnonzero(~bullet & ((lead == ord("[")) | ((lead >= 48) & (lead <= 57)))).tolist():
+            bullet[i] = _ITEM.match(text, head[i], end[i]) is not None
+        in_lists = np.bincount(line_of[bullet], (end - head)[bullet], minlength=n)
+
+    # Words: runs of letters of the text in lower case.
+    low = text.lower()
+    if len(low) != size:
+        small = [p.lower() for p in plains]
+        low, low_lens = "".join(small), np.fromiter(map(len, small), np.int64, n)
+        low_ends = np.cumsum(low_lens)
+        low_first = np.zeros(len(low), bool)
+        low_first[(low_ends - low_lens)[low_lens > 0]] = True
+    else:
+        low_ends, low_first = ends, first
+    letters = (classes.of(_points(low)) & _LETTER) != 0 if low else np.zeros(0, bool)
+    w0, w1 = _runs(letters, low_first)
+    word_of = text_of(w0, low_ends)
+    words = np.bincount(word_of, minlength=n)
+    code, kinds = pd.factorize(np.array([low[a:b] for a, b in zip(w0.tolist(), w1.tolist(), strict=True)], object))
+    known = np.fromiter((w in common for w in kinds), bool, len(kinds))
+    rough = np.fromiter((_ROUGH.search(w) is not None for w in kinds), bool, len(kinds))
+    pairs = np.unique(word_of * max(len(kinds), 1) + code)
+    pair_of, pair_code = pairs // max(len(kinds), 1), pairs % max(len(kinds), 1)
+    longest = np.zeros(n)
+    if len(w0):
+        some = np.flatnonzero(words)
+        longest[some] = np.maximum.reduceat(w1 - w0, np.searchsorted(word_of, some))
+    return {
+        "word_count": tokens,
+        "mean_word_length": share(chars, tokens),
+        "symbol_share": share(per_text((bits & (_LETTER | _DIGIT | _SPACE | _MARK)) == 0), chars),
+        "terminal_share": share(finished, lines),
+        "common_share": share(np.bincount(word_of, known[code], minlength=n), words) if len(code) else np.zeros(n),
+        "line_count": lines,
+        "words_per_line": share(tokens, lines),
+        "digit_share": share(per_text(has(_DIGIT)), chars),
+        "letter_share": share(per_text(has(_LETTER)), chars),
+        "bullet_share": share(in_lists, long),
+        "common_kinds": np.bincount(pair_of, known[pair_code], minlength=n) if len(code) else np.zeros(n),
+        "rough_share": share(np.bincount(word_of, rough[code], minlength=n), words) if len(code) else np.zeros(n),
+        "longest_word": longest,
+        "distinct_words": np.bincount(pair_of, minlength=n),
+        "letter_words": words,
+        "separators_per_word": share(per_text(has(_SEPARATOR)), tokens),
+    }
+
+
+WHOLE = ("word_count", "line_count", "common_kinds", "distinct_words", "letter_words")
+STATISTICS = (
+    "word_count",
+    "mean_word_length",
+    "symbol_share",
+    "terminal_share",
+    "common_share",
+    "line_count",
+    "words_per_line",
+    "digit_share",
+    "letter_share",
+    "bullet_share",
+    "common_kinds",
+    "rough_share",
+    "longest_word",
+    "distinct_words",
+    "letter_words",
+    "separators_per_word",
+)
+
+
+def statistics(documents: DataFrame, common_words: DataFrame, word_bytes: int = WORD_BYTES) -> DataFrame:
+    """doc_id, absent and the statistics of ``text``; shares are of the characters, lines or words named.
+
+    ``common_words`` has the column ``word``; words of all languages count alike.
+    """
+    table = written(common_words.where("word IS NOT NULL").select(F.lower("word").alias("word")).distinct())
+    small = table.bytes <= word_bytes
+    common = frozenset(r["word"] for r in table.df.collect()) if small else frozenset()
+    if small:
+        return _measured(documents.select("doc_id", "text"), common)
+    keyed = documents.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    return _with_joined_words(_measured(keyed, common), keyed, table)
+
+
+def _measured(documents: DataFrame, common: frozenset[str]) -> DataFrame:
+    """Columns of ``documents`` but ``text``, absent and the statistics."""
+    keep = [f for f in documents.schema if f.name != "text"]
+    schema = T.StructType([*keep, T.StructField("absent", T.BooleanType())])
+    for c in STATISTICS:
+        schema.add(c, T.IntegerType() if c in WHOLE else T.DoubleType())
+    target = to_arrow_schema(schema)
+    words = documents.sparkSession.sparkContext.broadcast(common)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = _Classes()
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            there = np.fromiter((t is not None for t in texts), bool, len(texts))
+            parts: list[dict[str, np.ndarray]] = []
+            some: list[str] = []
+            held = 0
+            for t in texts:
+                if t is None:
+                    continue
+                if some and held + len(t) > BATCH_CHARS:
+                    parts.append(measure(some, words.value, classes))
+                    some, held = [], 0
+                some.append(t)
+                held += len(t)
+            parts.append(measure(some, words.value, classes))
+            cols = [*[b.column(f.name) for f in keep], pa.array(~there)]
+            for c in STATISTICS:
+                kind = np.int32 if c in WHOLE else np.float64
+                full = np.zeros(len(texts), kind)
+                full[there] = np.concatenate([p[c] for p in parts]).astype(kind)
+                cols.append(pa.array(full))
+            yield pa.RecordBatch.from_arrays(cols, schema=target)
+
+    return documents.mapInArrow(stream, schema)
+
 
-def common_word_table(common_words: DataFrame, limit: int = 20_000) -> list[str]:
-    """The words of all languages; the table is fixed, and refused beyond ``limit`` rows."""
-    rows = common_words.where("word IS NOT NULL").select(F.lower("word").alias("word")).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} common words")
-    return sorted(r["word"] for r in rows)
-
-
-def statistics(documents: DataFrame, common: list[str]) -> DataFrame:
-    """doc_id and the statistics of ``text``; shares are of the characters, lines or words named."""
-    text = F.col("text")
-    plain = F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?>|</p>|</li>", "\n"), r"<[a-zA-Z/][^<>]{0,80}>", " ")
-    df = documents.select("doc_id", plain.alias("plain"))
-    df = df.select(
-        "doc_id",
-        "plain",
-        F.filter(F.split("plain", r"\s+"), lambda w: w != "").alias("tokens"),
-        F.filter(F.split(F.lower("plain"), r"[^\p{L}\p{M}]+"), lambda w: w != "").alias("words"),
-        F.filter(F.transform(F.split("plain", r"\R"), F.trim), lambda x: x != "").alias("lines"),
-    )
-    listed = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
-    # The text's own common words, found by hash; its words are then looked up in those few.  The array of one element
-    # binds them to a name: written out inside the inner function they would be found again for every word.
-    own = F.array_intersect("words", listed)
-    common_words = F.transform(F.array(own), lambda few: F.size(F.filter("words", lambda w: F.array_contains(few, w))))[0]
-    chars = F.length(F.regexp_replace("plain", r"\s+", ""))
-    kept = lambda p: F.length(F.regexp_replace("plain", p, ""))
-    per = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0)).cast("double")
-    n_lines, n_words, n_tokens = F.size("lines"), F.size("words"), F.size("tokens")
-    in_lines = lambda p: F.size(F.filter("lines", lambda x: x.rlike(p)))
-    return df.select(
-        "doc_id",
-        F.col("plain").isNull().alias("absent"),
-        n_tokens.alias("word_count"),
-        per(chars, n_tokens).alias("mean_word_length"),
-        per(kept(r"[\p{L}\p{M}\p{N}\s.,;:!?'\"()’“”„«»¿¡-]+"), chars).alias("symbol_share"),
-        per(in_lines(_TERMINAL), n_lines).alias("terminal_share"),
-        per(common_words, n_words).alias("common_share"),
-        n_lines.alias("line_count"),
-        per(n_tokens, n_lines).alias("words_per_line"),
-        per(kept(r"[^\p{N}]+"), chars).alias("digit_share"),
-        per(kept(r"[^\p{L}\p{M}]+"), chars).alias("letter_share"),
-        per(F.length(F.array_join(F.filter("lines", lambda x: x.rlike(_BULLET)), "")), F.length(F.array_join("lines", ""))).alias("bullet_share"),
-        F.size(own).alias("common_kinds"),
-        per(F.size(F.filter("words", lambda w: w.rlike(_ROUGH))), n_words).alias("rough_share"),
-        per(F.aggregate("words", F.lit(0), lambda a, w: F.greatest(a, F.length(w))), F.lit(1)).alias("longest_word"),
-        F.size(F.array_distinct("words")).alias("distinct_words"),
-        n_words.alias("letter_words"),
-        # Separators of menus, tables and key-word lists per word.
-        per(F.length(F.regexp_replace("plain", r"[^|>#=/\\_{}\[\]<;*•~,]+", "")), n_tokens).alias("separators_per_word"),
-    )
+def _with_joined_words(stats: DataFrame, documents: DataFrame, table: Written) -> DataFrame:
+    """``stats`` with the common-word figures from a join of the distinct words of each text with a large table."""
+    plain = F.regexp_replace(F.regexp_replace("text", r"(?i)<br\s*/?>|</p>|</li>", "\n"), r"<[a-zA-Z/][^<>]{0,80}>", " ")
+    key = F.struct("doc_id", "_hash").alias("_key")
+    words = documents.where("text IS NOT NULL").select(key, F.filter(F.split(F.lower(plain), r"[^\p{L}\p{M}]+"), lambda w: w != "").alias("w")).dropDuplicates(["_key"])
+    words = words.select("_key", F.explode("w").alias("word")).groupBy("_key", "word").agg(F.count("*").alias("times"))
+    found = words.join(table.df, "word").groupBy("_key").agg(F.sum("times").alias("_times"), F.count("*").alias("_kinds"))
+    out = stats.drop("common_share", "common_kinds").withColumn("_key", key).join(found, "_key", "left")
+    share = F.coalesce(F.try_divide(F.col("_times"), F.col("letter_words")), F.lit(0.0)).cast("double")
+    made = {"common_share": share, "common_kinds": F.coalesce("_kinds", F.lit(0)).cast("int")}
+    return out.select("doc_id", "absent", *[made[c].alias(c) if c in made else c for c in STATISTICS])
 
 
 #: Labelling functions: name -> (votes prose where, votes junk where); conditions over the statistics.
@@ -162,6 +351,6 @@ def text_types(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """doc_id, the statistics, the votes, ``junk`` (posterior) and ``text_type`` (prose or junk)."""
     # Written once: texts are read a single time, and no filter on the posterior is pushed down into the statistics.
     shared_folder(documents.sparkSession)
-    voted = votes(statistics(documents, common_word_table(common_words))).checkpoint()
+    voted = votes(statistics(documents, common_words)).checkpoint()
     chance, _ = posterior(voted)
     return voted.withColumn("junk", chance).withColumn("text_type", F.when(F.col("junk") > 0.5, F.lit("junk")).when(F.col("junk").isNotNull(), F.lit("prose")))

@@ -48,8 +48,11 @@ def test_shares_repeats_and_reachability(spark):
 def test_the_schedule_is_followed(spark, ramp):
     rows = [(i, "a" if i % 2 else "b", 10) for i in range(8000)]
     targets = spark.createDataFrame([("a", 0.25, 1), ("b", 0.5, 1)], TARGETS)
-    got = mix(docs(spark, rows), targets, {"a": ramp}).where("source = 'a'").toPandas()
-    t = np.sort(got["position"].to_numpy())
+    every = mix(docs(spark, rows), targets, {"a": ramp}).toPandas()
+    t = np.sort(every[every["source"] == "a"]["position"].to_numpy())
+    # The mix is equally dense throughout.
+    assert np.histogram(every["position"], bins=5, range=(0, 1))[0] == pytest.approx(len(every) / 5, rel=0.01)
+    ramp = ramp - 0.25 * ramp / 0.75  # centred on the mean over both sources
     for at in (0.1, 0.3, 0.5, 0.9):
         expected = (1 - ramp) * at + ramp * at * at  # share of the source's tokens due by then
         assert np.searchsorted(t, at) / len(t) == pytest.approx(expected, abs=2e-3)
@@ -58,8 +61,8 @@ def test_the_schedule_is_followed(spark, ramp):
 def test_buckets_and_partitions_do_not_matter(spark):
     rows = [(i % 500, "a", i % 7) for i in range(1000)]
     targets = spark.createDataFrame([("A", 1.0, 2), ("a", 0.5, 9)], TARGETS)
-    one = mix(docs(spark, rows), targets, buckets=1).toPandas()
-    many = mix(docs(spark, rows).repartition(7), targets, buckets=64).toPandas()
+    one = mix(docs(spark, rows), targets, bucket_documents=10**9).toPandas()
+    many = mix(docs(spark, rows).repartition(7), targets, bucket_documents=5).toPandas()
     assert len(one) == len(many) and one["tokens"].sum() == many["tokens"].sum()
     assert set(one["source"]) == {"A"}
 

@@ -8,11 +8,12 @@ from plumbline.llm.text_types import FUNCTIONS
 from tests.test_entry import compare
 
 
-def test_statistics_against_sql(spark, tables):
-    compare(spark, tables, "p8_statistics")
+@pytest.mark.parametrize("name", ["p4_found", "p4_rank_error", "p6_invariants", "p7_invariants", "p8_statistics"])
+def test_against_sql(spark, tables, name):
+    compare(spark, tables, name)
 
 
-@pytest.mark.parametrize(("name", "columns"), [("p6_found", ["doc_id"]), ("p7_found", ["source"]), ("p8_found", ["doc_id"])])
+@pytest.mark.parametrize(("name", "columns"), [("p4_found", ["sensor_id", "revision"]), ("p6_found", ["doc_id"]), ("p7_found", ["source"]), ("p8_found", ["doc_id"])])
 def test_result_columns(spark, tables, name, columns):
     assert entry.queries()[name](spark, tables).columns == columns
 

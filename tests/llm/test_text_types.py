@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from plumbline.llm import tokens
-from plumbline.llm.text_types import FUNCTIONS, common_word_table, learn, posterior, statistics, text_types, votes
+from plumbline.llm.text_types import FUNCTIONS, STATISTICS, learn, posterior, statistics, text_types, votes
 
 COMMON = ["the", "a", "and", "to", "of", "it", "is", "in", "for", "was", "that", "this", "on", "but", "not", "have", "we", "as", "very", "at"]
 
@@ -19,7 +19,7 @@ def words(spark):
 
 def test_statistics(spark):
     texts = ["The pump is on.\n\nIt was NOT 12 ok", "", None, "   ", "a|b|c", "x" * 300_000, "<b>Hi</b> there<br>you!"]
-    out = {r["doc_id"]: r for r in statistics(docs(spark, texts), common_word_table(words(spark))).collect()}
+    out = {r["doc_id"]: r for r in statistics(docs(spark, texts), words(spark)).collect()}
     r = out[0]
     assert (r["word_count"], r["line_count"], r["letter_words"]) == (9, 2, 8)
     assert r["mean_word_length"] == pytest.approx(24 / 9)
@@ -31,6 +31,18 @@ def test_statistics(spark):
     assert (out[6]["word_count"], out[6]["line_count"]) == (3, 2)
 
 
+def test_any_number_of_common_words(spark):
+    """A table too large to be sent to the tasks is joined and gives the same."""
+    listed = [f"wort{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 1000 % 10]}{'abcdefghij'[i // 10000]}" for i in range(30_000)] + COMMON
+    table = spark.createDataFrame([(w,) for w in listed], "word string")
+    texts = ["The pump is on and on", f"{listed[7]} {listed[29_999]} x {listed[7].upper()}", "", None, "<b>the</b> Pump", "The pump is on and on"]
+    frame = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, texts[3]), (5, texts[4]), (1, texts[5]), (1, "other"), (None, "the one")], "doc_id bigint, text string")
+    rows = lambda limit: sorted((tuple(r) for r in statistics(frame, table, limit).select("doc_id", "absent", *STATISTICS).collect()), key=repr)
+    joined = rows(1000)
+    assert joined == rows(1 << 22)
+    assert {r[0]: r[2 + STATISTICS.index("common_kinds")] for r in joined if r[0] in (2, 5)} == {2: 2, 5: 1}
+
+
 def test_learning_recovers_hidden_classes():
     rng = np.random.default_rng(1)
     n, accuracy = 20_000, np.array([0.95, 0.9, 0.8, 0.7, 0.85])
@@ -81,10 +93,11 @@ def test_prose_and_junk_are_told_apart(spark):
 
 def test_empty_table_and_learned_table(spark):
     assert text_types(docs(spark, []), words(spark)).count() == 0
-    voted = votes(statistics(docs(spark, ["The pump is on."] * 3), common_word_table(words(spark))))
+    voted = votes(statistics(docs(spark, ["The pump is on."] * 3), words(spark)))
     learned = posterior(voted)[1].collect()
     assert {r["function"] for r in learned} == set(FUNCTIONS)
-    assert votes(statistics(docs(spark, ["The pump is on, and it is fine."]), [])).count() == 1
+    none = words(spark).where("false")
+    assert votes(statistics(docs(spark, ["The pump is on, and it is fine."]), none)).count() == 1
 
 
 def test_token_counts(spark):
