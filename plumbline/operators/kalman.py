@@ -10,7 +10,12 @@ Two models, each with two states:
 * ``trend``: y[k] = level[k] + noise, level[k+1] = level[k] + slope[k] * dt, slope a random walk.
 
 The process-to-noise ratio of each source is the maximum-likelihood member of a fixed grid; the noise variance is
-concentrated out.
+concentrated out.  A long source is cut into overlapping segments, columns of their own, whose likelihoods are pooled.
+
+Forecasts run forwards and, the same filter on reversed time, backwards.  A reading is judged by the weaker of its two
+standardised innovations: an excursion is foreseen from neither side, while a lasting change is from one.  The innovation
+variance is adapted to the innovations around (a burst of movement raises them all), and updates of flagged readings
+are withheld, so a forecast's variance grows through an excursion until a change of the source is as plausible.
 """
 
 from __future__ import annotations
@@ -88,37 +93,51 @@ def run_filter(y, use, dt, x, r, ratio, trend, level0, level_sd, second_sd):
     return mean, var
 
 
-def fit_ratio(y, use, dt, x, r, trend, level0, level_sd, second_sd):
-    """Per source: (noise variance, ratio) of greatest concentrated likelihood over the grid."""
+def fit_ratio(y, use, dt, x, r, trend, level0, level_sd, second_sd, owner):
+    """Per column: (noise variance, ratio) of greatest concentrated likelihood over the grid, pooled over columns of one owner."""
     grid = TREND_RATIOS if trend else LEVEL_RATIOS
+    pool = lambda v: np.bincount(owner, v)[owner]
     best = np.full(y.shape[1], np.inf)
     out_r, out_q = r.copy(), np.full(y.shape[1], grid[0])
     n = use.sum(axis=0)
     top = np.floor(0.95 * np.maximum(n - 1, 0)).astype(int)[None, :]
-    for ratio in grid:
-        mean, var = run_filter(y, use, dt, x, r, np.full(y.shape[1], ratio), trend, level0, level_sd, second_sd)
+    # All members of the grid are filtered at once, as columns beside each other.
+    beside = lambda v: np.tile(v, len(grid))
+    wide = [np.tile(v, (1, len(grid))) for v in (y, use, dt, x)]
+    means, variances = run_filter(*wide, beside(r), np.repeat(grid, y.shape[1]), trend, beside(level0), beside(level_sd), beside(second_sd))
+    for k, ratio in enumerate(grid):
+        columns = slice(k * y.shape[1], (k + 1) * y.shape[1])
+        mean, var = means[:, columns], variances[:, columns]
         f = (var + r) / r
         u = np.where(use, (y - mean) ** 2 / (f * r), np.nan)
         # Trimmed: the share of spikes is unknown here and must not choose the model.
         limit = np.take_along_axis(np.sort(u, axis=0), top, axis=0)
         inner = u <= limit
         count = np.maximum(inner.sum(axis=0), 1)
-        s2 = np.maximum(np.where(inner, u, 0.0).sum(axis=0) / count, 1e-30)
-        cost = count * np.log(s2) + np.where(inner, np.log(f), 0.0).sum(axis=0)
-        better = (cost < best - 1e-9) & (n > 4)
+        s2 = np.maximum(pool(np.where(inner, u, 0.0).sum(axis=0)) / pool(count), 1e-30)
+        cost = pool(count) * np.log(s2) + pool(np.where(inner, np.log(f), 0.0).sum(axis=0))
+        better = (cost < best - 1e-9) & (pool(n) > 4)
         best = np.where(better, cost, best)
         out_q = np.where(better, ratio, out_q)
         out_r = np.where(better, r * s2 / 0.8, out_r)
     return out_r, out_q
 
 
-def two_sided(y, use, dt, x, r, ratio, trend, level0, level_sd, second_sd):
-    """Leave-one-out standardised innovations: the forward and the backward prediction of each sample combined."""
-    mf, vf = run_filter(y, use, dt, x, r, ratio, trend, level0, level_sd, second_sd)
+def forecasts(y, use, dt, x, r, ratio, trend, level0, level_sd, second_sd):
+    """Standardised innovations by the weaker of both forecasts, and the forward innovation variances.
+
+    Near an end of a source the forecast from that end knows little; where its variance is over four times the other's
+    the other alone counts.
+    """
     back = np.concatenate([np.zeros((1, y.shape[1])), dt[:0:-1]], axis=0)
-    mb, vb = run_filter(y[::-1], use[::-1], back, x[::-1], r, ratio, trend, level0, level_sd, second_sd)
-    wf, wb = 1 / np.maximum(vf, 1e-300), 1 / np.maximum(vb[::-1], 1e-300)
-    return (y - (mf * wf + mb[::-1] * wb) / (wf + wb)) / np.sqrt(1 / (wf + wb) + r)
+    both = [np.concatenate(v, axis=1) for v in ((y, y[::-1]), (use, use[::-1]), (dt, back), (x, x[::-1]))]
+    m, v = run_filter(*both, *[np.tile(c, 2) for c in (r, ratio)], trend, *[np.tile(c, 2) for c in (level0, level_sd, second_sd)])
+    n = y.shape[1]
+    mf, vf, mb, vb = m[:, :n], v[:, :n], m[:, n:], v[:, n:]
+    ff, fb = vf + r, vb[::-1] + r
+    zf, zb = (y - mf) / np.sqrt(ff), (y - mb[::-1]) / np.sqrt(fb)
+    weaker = np.where(zf * zb <= 0, 0.0, np.where(np.abs(zf) <= np.abs(zb), zf, zb))
+    return np.where(ff > 4 * fb, zb, np.where(fb > 4 * ff, zf, weaker)), ff
 
 
 def _regress(e, h):
@@ -138,15 +157,23 @@ def _regress(e, h):
     return a, b, res, clipped_scale(res)[1]
 
 
-def _suspects(y, longest=3, k=6.0):
-    """Runs of up to ``longest`` samples that lie off the line between their neighbours, all on one side.
+def _suspects(y, lengths=(1, 2, 3, 4, 6, 8, 12, 16, 24, 32), k=6.0):
+    """Runs of samples that lie off the line between their neighbours, all on one side.
 
     "Off" is more than k times what the same statistic usually is in the source; only a start for the filter, which
-    judges these samples again.
+    judges these samples again.  Runs of more than three also need a jump at either end, against the straight
+    continuation of the two samples beyond it: a smooth wave of movement has none.
     """
     length = y.shape[0]
     out = np.zeros(y.shape, bool)
-    for w in range(1, longest + 1):
+    jump_in, jump_out = np.full(y.shape, np.nan), np.full(y.shape, np.nan)
+    if length >= 3:
+        jump_in[2:] = y[2:] - 2 * y[1:-1] + y[:-2]
+        jump_out[:-2] = jump_in[2:]
+    scale = k * clipped_scale(jump_in)[1]
+    leaps_in, leaps_out = np.abs(jump_in) > scale, np.abs(jump_out) > scale
+    may_in, may_out = leaps_in | np.isnan(jump_in), leaps_out | np.isnan(jump_out)
+    for w in lengths:
         if length < w + 2:
             break
         left, right = y[: length - w - 1], y[w + 1 :]
@@ -154,6 +181,9 @@ def _suspects(y, longest=3, k=6.0):
         _, usual = clipped_scale(off[w // 2])
         one_side = (off > 0).all(axis=0) | (off < 0).all(axis=0)
         hit = one_side & (np.abs(off).min(axis=0) > k * np.where(np.isfinite(usual), usual, np.inf))
+        if w > 3:
+            first, last = slice(1, length - w), slice(w, length - 1)
+            hit &= may_in[first] & may_out[last] & (leaps_in[first] | leaps_out[last])
         for j in range(w):
             out[1 + j : length - w + j] |= hit
     return out
@@ -194,14 +224,16 @@ def _fill_reference(y, t, x, x_mean, short=6):
     return np.where(gap, np.where((after - before - 1 <= short) & np.isfinite(best), best, line), x)
 
 
-def standardised_innovations(y, t, x, trend, threshold, rounds=4, span=8):
-    """Standardised leave-one-out innovations of each sample of each source (column), flagged updates withheld.
+def standardised_innovations(y, t, x, trend, threshold, owner=None, rounds=4, span=8):
+    """(standardised innovations, usual innovation variance) of each sample of each source (column), flagged updates withheld.
 
     ``y``, ``t``, ``x``: (time, source) matrices padded with NaN; ``x`` is the reference, NaN where absent; a source that
     has any is compared with references filled from their neighbours where they are missing.
-    Returns z of the same shape (NaN where y is NaN).  Sources of fewer than 8 samples get zeros: nothing is known
+    ``owner`` numbers the source of each column; columns of one source share its model.  The innovations have the shape of
+    y (NaN where y is NaN), the variance is one number a column.  Sources of fewer than 8 samples get zeros: nothing is known
     about their normal behaviour.
     """
+    owner = np.arange(y.shape[1]) if owner is None else owner
     with np.errstate(all="ignore"):
         step = np.diff(t, axis=0)
         ordered = np.sort(np.where(step > 0, step, np.nan), axis=0)
@@ -235,18 +267,25 @@ def standardised_innovations(y, t, x, trend, threshold, rounds=4, span=8):
         second_sd = np.where(np.isfinite(second_sd), second_sd, 0.0)
         level_sd = 10 * np.maximum(np.where(np.isfinite(sd), sd, s), s)
         prior = (trend, center, level_sd, second_sd)
-        r, q = fit_ratio(e, known & ~out, dt, h, s**2, *prior)
+        r, q = fit_ratio(e, known & ~out, dt, h, s**2, *prior, owner)
         r = np.maximum(r, floor**2)
-        z = np.zeros(y.shape)
+        z, usual = np.zeros(y.shape), r
         for _ in range(rounds):
-            z = two_sided(e, known & ~out, dt, h, r, q, *prior)
+            z, f = forecasts(e, known & ~out, dt, h, r, q, *prior)
             size = np.where(known, np.abs(z), 0.0)
             inner = known & (size < 5)
             k = np.sqrt(np.where(inner, z * z, 0.0).sum(axis=0) / np.maximum(inner.sum(axis=0), 1))
             k = np.where(k > 0, k, 1.0)
             z, size = z / k, size / k
-            # A burst of movement raises the innovations of its whole neighbourhood; an excursion stands alone.
-            near = np.sort(np.stack([_shifted(size, j) for j in range(-span, span + 1) if j]), axis=0)[span]
+            ordered = np.sort(np.where(known, f, np.inf), axis=0)
+            usual = np.take_along_axis(ordered, (known.sum(axis=0) // 2)[None, :].clip(max=len(f) - 1), axis=0)[0] * k * k
+            # Adapted variance: a burst of movement raises the innovations of its whole neighbourhood.
+            # Withheld readings do not count among them.
+            others = np.where(out, np.inf, size)
+            near = np.sort(np.stack([_shifted(others, j) for j in range(-span, span + 1) if j]), axis=0)
+            some = np.isfinite(near).sum(axis=0)
+            near = np.where(some > 0, np.take_along_axis(near, np.minimum(some // 2, 2 * span - 1)[None], axis=0)[0], 0.0)
+            near = np.where(np.isfinite(near), near, 0.0)
             z, size = z / np.maximum(1.0, 1.4826 * near), size / np.maximum(1.0, 1.4826 * near)
             peak = size >= np.maximum.reduce([_shifted(size, j) for j in (-3, -2, -1, 1, 2, 3)])
             new = (size > threshold) & (out | peak)
@@ -254,4 +293,4 @@ def standardised_innovations(y, t, x, trend, threshold, rounds=4, span=8):
                 break
             out = new
         z = np.where(np.isfinite(y) & (known.sum(axis=0) >= 8), np.where(known, z, 0.0), np.nan)
-        return np.where(np.isfinite(y), np.nan_to_num(z), np.nan)
+        return np.where(np.isfinite(y), np.nan_to_num(z), np.nan), np.where(np.isfinite(usual), usual, r)

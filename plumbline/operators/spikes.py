@@ -3,21 +3,24 @@
 Each source (one channel of one recording) is forecast by a Kalman filter fitted to that source: a local level plus
 the gain on the reference for generic sensors, a local linear trend for inertial ones.  A reading is flagged
 
-* ``spike``: its standardised innovation, predicted from the readings before and after it, exceeds the threshold; the
-  update of a flagged reading is withheld, and runs of more than ``LONGEST`` flagged readings are a change of the
-  source and not an excursion;
-* ``stuck``: it belongs to a run of equal readings so long that the innovation variance has vanished, judged by how
-  often this source repeats a value anyway;
+* ``spike``: its standardised innovation exceeds the threshold in the forecasts from both sides; the update of a flagged
+  reading is withheld, so whether a run of them is an excursion or a change of the source is left to the forecast's
+  variance, not to its length;
+* ``stuck``: it belongs to a run of equal readings, whose innovation variance has vanished: so many innovations in
+  succession below the source's resolution have practically no chance, neither under the innovation variance the filter
+  predicts nor by how often this source repeats a value anyway;
 * ``impossible``: it lies outside the range the recording gives for it, infinite readings included.
 
 Recordings are cut into blocks of ``block_rows`` rows; each block also sees ``halo_rows`` rows of its neighbours, so a
-recording that holds a third of all rows is spread over many tasks while its edges are judged like its middle.
+recording that holds a third of all rows is spread over many tasks while its edges are judged like its middle.  Within a
+block the filter runs over segments of ``SEGMENT_ROWS`` side by side, again with a halo, all with their source's model.
 
 Defined results: NULL and NaN readings are never flagged; a reading whose reference alone is missing is compared with the
 references around it in time; a delivery repeated with the same time and value gets the
 verdict of the first; sources of fewer than 8 readings have no normal behaviour, so only impossible readings are
-flagged; rows without timestamp take the time of the row before; rows without recording form one source; without a
-range nothing is impossible but infinities; extra columns are ignored.
+flagged; rows without timestamp take the time of the row before; rows without recording have no source to be judged by
+and no range, only their infinities are flagged; without a range nothing is impossible but infinities; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +39,13 @@ from plumbline.operators.unit_graph import channel_units_from_values, conversion
 
 #: Standardised innovation from which a reading is a spike: generic sensors, inertial sensors.
 LEVEL_THRESHOLD, TREND_THRESHOLD = 6.2, 6.2
-#: Most readings of one excursion.
-LONGEST = 6
-#: Shortest stuck run, and the chance of such a run below which it is no ordinary repeat.
-STUCK_RUN, STUCK_CHANCE = 10, 1e-4
+#: Chance of a run of equal readings below which it is no ordinary repeat, and the least chance of one repeat that so few
+#: readings can tell.
+STUCK_CHANCE, LEAST_REPEAT = 1e-4, 0.02
 BLOCK_ROWS, HALO_ROWS = 16_384, 256
-#: Sources filtered side by side; they are sorted by length, so padding stays small.
+#: Rows of a segment and of its halo on either side.
+SEGMENT_ROWS, SEGMENT_HALO = 512, 128
+#: Segments filtered side by side; they are sorted by length, so padding stays small.
 SIDE_BY_SIDE = 256
 
 _SCHEMA = "row_id bigint, dataset_id bigint, field_name string, kind string, score double"
@@ -62,25 +66,73 @@ def _run_lengths(y: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return length, run
 
 
-def _stuck(y: np.ndarray, source: np.ndarray, repeated: np.ndarray) -> np.ndarray:
-    """Rows of runs of equal readings too long for how often the source repeats a value."""
+def _resolution(y: np.ndarray, source: np.ndarray, n_source: int) -> np.ndarray:
+    """Smallest step between two values of each source."""
+    out = np.zeros(n_source)
+    idx = np.flatnonzero(np.isfinite(y))
+    idx = idx[np.lexsort((y[idx], source[idx]))]
+    v, g = y[idx], source[idx]
+    step = v[1:] - v[:-1]
+    real = (g[1:] == g[:-1]) & (step > 1e-12 * np.maximum(np.abs(v[1:]), np.abs(v[:-1])))
+    out[:] = np.inf
+    np.minimum.at(out, g[1:][real], step[real])
+    return np.where(np.isfinite(out), out, 0.0)
+
+
+def _stuck(y: np.ndarray, source: np.ndarray, repeated: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+    """Rows of runs of equal readings too long for chance.
+
+    The chance of one repeat is the share of repeats of the source outside of such runs, at least ``least`` per source.
+    """
+    n_source = int(source.max()) + 1 if len(source) else 0
     once = np.where(repeated, np.nan, y)
     length, run = _run_lengths(once, np.r_[True, source[1:] != source[:-1]])
-    # Chance of a repeat outside long runs, per source.
-    short = (length > 0) & (length < STUCK_RUN)
-    n_source = int(source.max()) + 1 if len(source) else 0
-    rows = np.bincount(source[short], minlength=n_source)
+    there = run >= 0
     firsts = np.zeros(len(y), bool)
-    seen = np.flatnonzero(run >= 0)
+    seen = np.flatnonzero(there)
     if len(seen):
         firsts[seen[np.r_[True, run[seen][1:] != run[seen][:-1]]]] = True
-    runs = np.bincount(source[short & firsts], minlength=n_source)
-    chance = np.clip((rows - runs + 0.5) / np.maximum(rows + 1, 1), 0.02, 0.98)
-    total = np.maximum(np.bincount(source, minlength=n_source), 1)
-    long = (length >= STUCK_RUN) & (total[source] * chance[source] ** np.maximum(length - 1, 0) < STUCK_CHANCE)
+    total = np.maximum(np.bincount(source[there], minlength=n_source), 1)
+    least = np.full(n_source, LEAST_REPEAT) if least is None else np.maximum(least, LEAST_REPEAT)
+    long = np.zeros(len(y), bool)
+    for _ in range(6):
+        rows = np.bincount(source[there & ~long], minlength=n_source)
+        runs = np.bincount(source[there & ~long & firsts], minlength=n_source)
+        chance = np.clip(np.maximum((rows - runs + 0.5) / np.maximum(rows + 1, 1), least), LEAST_REPEAT, 0.98)
+        new = (length > 1) & (total[source] * chance[source] ** np.maximum(length - 1, 0) < STUCK_CHANCE)
+        if (new == long).all():
+            break
+        long = new
     return long
 
 
+def _segments(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, start, end, first and last own row) of overlapping segments; groups little longer than one stay whole."""
+    n = ends - starts
+    parts = np.where(n > SEGMENT_ROWS + 2 * SEGMENT_HALO, -(-n // SEGMENT_ROWS), 1)
+    group = np.repeat(np.arange(len(starts)), parts)
+    nth = np.arange(len(group)) - np.repeat(np.cumsum(parts) - parts, parts)
+    own0 = np.where(parts[group] > 1, starts[group] + nth * SEGMENT_ROWS, starts[group])
+    own1 = np.where(parts[group] > 1, np.minimum(own0 + SEGMENT_ROWS, ends[group]), ends[group])
+    return group, np.maximum(own0 - SEGMENT_HALO, starts[group]), np.minimum(own1 + SEGMENT_HALO, ends[group]), own0, own1
+
+
+def _filtered(y: np.ndarray, t: np.ndarray, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, trend: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Standardised innovation of every row and usual innovation variance of every source."""
+    z, usual = np.full(len(y), np.nan), np.zeros(len(starts))
+    group, s0, s1, own0, own1 = _segments(starts, ends)
+    by_length = np.lexsort((group, s1 - s0))
+    for i in range(0, len(by_length), SIDE_BY_SIDE):
+        some = by_length[i : i + SIDE_BY_SIDE]
+        idx, ym, tm, xm = pad(s0[some], s1[some], y, t, x)
+        owner = np.unique(group[some], return_inverse=True)[1]
+        scores, variance = standardised_innovations(ym, tm, xm, trend, threshold, owner)
+        own = (idx >= own0[some][None, :]) & (idx < own1[some][None, :])
+        z[idx[own]] = scores[own]
+        np.maximum.at(usual, group[some], np.where(np.isfinite(variance), variance, 0.0))
+    return z, usual
+
+
 def _judge(fields: list[str], trend: bool, threshold: float, frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
     source = np.repeat(np.arange(len(starts)), ends - starts)
     t = frame["t"].to_numpy(float)
@@ -105,23 +157,13 @@ def _judge(fields: list[str], trend: bool, threshold: float, frame: pd.DataFrame
         stuck[filed] |= _stuck(usable[filed], source[filed], repeated[filed])
         x = frame[f"{f}_ref"].to_numpy(float) if f"{f}_ref" in frame else np.full(len(y), np.nan)
         feed = np.where(stuck | repeated, np.nan, usable)
-        z = np.full(len(y), np.nan)
-        length = ends - starts
-        by_length = np.argsort(length, kind="stable")
-        for i in range(0, len(by_length), SIDE_BY_SIDE):
-            some = by_length[i : i + SIDE_BY_SIDE]
-            idx, ym, tm, xm = pad(starts[some], ends[some], feed, t, x)
-            scores = standardised_innovations(ym, tm, xm, trend, threshold)
-            inside = idx >= 0
-            z[idx[inside]] = scores[inside]
+        z, usual = _filtered(feed, t, x, starts, ends, trend, threshold)
+        # Runs whose innovations the filter's own variance makes plausible, at the source's resolution, are ordinary.
+        expected = _resolution(usable, source, len(starts)) / np.sqrt(2 * np.pi * np.maximum(usual, 1e-300))
+        sure = _stuck(usable, source, repeated, expected)
+        sure[filed] |= _stuck(usable[filed], source[filed], repeated[filed], expected)
+        stuck &= sure
         spike = np.nan_to_num(np.abs(z)) > threshold
-        # Runs longer than an excursion are a change of the source.
-        known = np.flatnonzero(np.isfinite(z))
-        if len(known):
-            s, g = spike[known], source[known]
-            start = np.r_[True, (s[1:] != s[:-1]) | (g[1:] != g[:-1])]
-            number = np.cumsum(start) - 1
-            spike[known] = s & (np.bincount(number)[number] <= LONGEST)
         # A repeated delivery gets the verdict of the one before it.
         for i in np.flatnonzero(repeated):
             spike[i], stuck[i], z[i] = spike[i - 1], stuck[i - 1], z[i - 1]
@@ -140,13 +182,17 @@ def _in_blocks(df: DataFrame, block_rows: int, halo_rows: int) -> DataFrame:
 
 
 def _flags(df: DataFrame, fields: list[str], trend: bool, threshold: float, block_rows: int, halo_rows: int) -> DataFrame:
-    cut = _in_blocks(df, block_rows, halo_rows)
-    return map_whole_groups(cut, ["source", "block"], ["pos"], partial(_judge, fields, trend, threshold), _SCHEMA)
+    known = df.where(F.col("dataset_id").isNotNull())
+    cut = _in_blocks(known, block_rows, halo_rows)
+    judged = map_whole_groups(cut, ["dataset_id", "block"], ["pos"], partial(_judge, fields, trend, threshold), _SCHEMA)
+    infinite = lambda f: F.abs(f) == F.lit(float("inf"))
+    rows = F.array_compact(F.array(*[F.when(infinite(f), F.lit(f)) for f in fields]))
+    orphans = df.where(F.col("dataset_id").isNull()).select("row_id", "dataset_id", F.explode(rows).alias("field_name"), F.lit("impossible").alias("kind"), F.lit(None).cast("double").alias("score"))
+    return judged.unionByName(orphans)
 
 
 def _base(samples: DataFrame) -> list[Column]:
-    source = F.coalesce("dataset_id", F.lit(-1))
-    return ["row_id", "dataset_id", source.alias("source"), F.coalesce("row_ord", "row_id", F.lit(0)).alias("pos"), F.when(~F.isnan("timestamp"), F.col("timestamp").cast("double")).alias("t")]
+    return ["row_id", "dataset_id", F.coalesce("row_ord", "row_id", F.lit(0)).alias("pos"), F.when(~F.isnan("timestamp"), F.col("timestamp").cast("double")).alias("t")]
 
 
 def flag_generic(samples: DataFrame, recordings: DataFrame, block_rows: int = BLOCK_ROWS, halo_rows: int = HALO_ROWS) -> DataFrame:

@@ -50,6 +50,43 @@ def test_what_is_no_case(spark):
     assert flagged(spark, rows(1, shifted, none)) == {}
 
 
+@pytest.mark.parametrize("n", [6, 7, 8, 12, 20])
+def test_excursions_of_any_length(spark, n):
+    y, r = source(11, n=400)
+    y[150 : 150 + n] += 100  # 500 sigma
+    assert flagged(spark, rows(1, y, r), ranges=[]) == {i: "spike" for i in range(150, 150 + n)}
+
+
+@pytest.mark.parametrize("n", [7, 8, 12])
+def test_long_excursions_of_a_resting_axis(n):
+    rng = np.random.default_rng(12)
+    y = rng.normal(0, 0.02, (400, 3)) + 9.8
+    y[200 : 200 + n, 1] += 10
+    z, _ = kalman.standardised_innovations(y, np.arange(400.0)[:, None] * np.ones((1, 3)), np.full((400, 3), np.nan), True, 6.2)
+    assert np.argwhere(np.abs(z) > 6.2).tolist() == [[i, 1] for i in range(200, 200 + n)]
+
+
+@pytest.mark.parametrize("n", [6, 9, 30])
+def test_stuck_runs_of_any_length(spark, n):
+    y, r = source(13, n=400)
+    y[150 : 150 + n] = y[150]
+    coarse, none = source(14, n=400, coarse=0.1)
+    coarse[40:43] = coarse[40]  # an ordinary repeat of a coarse sensor
+    assert flagged(spark, rows(1, y, r) + rows(2, coarse, none, 1000)) == {i: "stuck" for i in range(150, 150 + n)}
+
+
+def test_a_long_recording_is_judged_in_segments():
+    from plumbline.operators import spikes
+
+    rng = np.random.default_rng(15)
+    n = 16_896
+    y = 50 + np.cumsum(rng.normal(0, 0.05, n)) + rng.normal(0, 0.2, n)
+    at = [0, 511, 512, 5000, n - 1]
+    y[at] += 6
+    z, _ = spikes._filtered(y, np.arange(n, dtype=float), np.full(n, np.nan), np.array([0]), np.array([n]), False, 6.2)
+    assert np.flatnonzero(np.abs(z) > 6.2).tolist() == at and np.isfinite(z).all()
+
+
 def test_blocks_do_not_change_the_verdict(spark):
     y, r = source(5, n=900)
     for i in (10, 255, 256, 300, 511, 512, 700):
@@ -99,7 +136,7 @@ def test_one_sided_noise_is_normal():
     rng = np.random.default_rng(7)
     y = rng.beta(0.4, 2.5, (400, 5)) * 3
     y[100, 2] += 12
-    z = kalman.standardised_innovations(y, np.arange(400.0)[:, None] * np.ones((1, 5)), np.full((400, 5), np.nan), False, 6.2)
+    z, _ = kalman.standardised_innovations(y, np.arange(400.0)[:, None] * np.ones((1, 5)), np.full((400, 5), np.nan), False, 6.2)
     assert np.argwhere(np.abs(z) > 6.2).tolist() == [[100, 2]]
 
 
