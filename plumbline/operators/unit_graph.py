@@ -3,7 +3,7 @@
 Conversions are edges of a graph whose nodes are units: ``value_in_target = scale * value + offset``.  The shortest
 composition from every unit to the canonical unit of its dimension is computed once (breadth first, fewest edges),
 every other path of the graph is checked to give the same function, and the resulting table (one row per unit, a few
-dozen, fixed with the graph) is equi-joined with the data on the source unit.
+dozen, fixed with the graph) is equi-joined with the channels on source unit and canonical target.
 
 Which unit a channel is stored in is decided from its *values* first: the statements in ``units``, ``original_units``,
 column headers and notes contradict each other and the values.  Evidence per recording comes from mergeable
@@ -15,8 +15,9 @@ aggregates (approximate quantiles and counts), so a recording that holds a third
   noise against that of the other two, together with its statement;
 * gyroscope: length of (gx, gy, gz) against what resting and moving recordings show.
 
-A recording whose vector lengths fall into two bands changed unit on the way (``partial``); its rows are converted
-one by one, by the band of the row.
+A recording whose values lie in two bands in stretches of successive rows, with a jump of about the units' ratio
+between them, changed unit on the way (``partial``), however short the stretch; single stray readings are none.  Its rows
+are converted one by one, by the band of the row, or that of the nearest rows where a row itself does not tell.
 
 Defined results: channels without a finite value get no row; NULL or infinite values stay as they are; recordings
 missing from ``recordings`` or ``channel_units`` are judged by values alone, with no nominal period their timestamps
@@ -26,6 +27,7 @@ count as seconds; repeated statement rows count once; extra columns are carried
 from __future__ import annotations
 
 import math
+import re
 from collections import deque
 from functools import reduce
 
@@ -70,7 +72,7 @@ DIMENSION = {
     **dict.fromkeys(("ax", "ay", "az"), "acceleration"),
     **dict.fromkeys(("gx", "gy", "gz"), "rate"),
 }
-#: Spellings of units, lower case, without blanks around.
+# Spellings of units, lower case, without blanks around.
 SPELLINGS = {
     "s": ("s", "sec", "second", "seconds"),
     "ms": ("ms", "msec", "millisecond", "milliseconds"),
@@ -78,16 +80,16 @@ SPELLINGS = {
     "ns": ("ns", "nsec", "nanosecond", "nanoseconds"),
     "min": ("min", "minute", "minutes"),
     "h": ("h", "hr", "hour", "hours"),
-    "m/s^2": ("m/s^2", "m/s2", "m/s²", "mps2", "meters/second^2", "meter/second^2"),
-    "g": ("g", "g0", "g-force", "gravity", "standard gravity"),
+    "m/s^2": ("m/s^2", "m/s2", "m/s²", "mps2", "meters/second^2", "meter/second^2", "meters per second squared"),
+    "g": ("g", "g0", "g-force", "gravity", "standard gravity", "multiples of standard gravity"),
     "mg": ("mg", "milli-g", "milli g", "millig"),
     "cm/s^2": ("cm/s^2", "cm/s2", "cm/s²", "gal"),
-    "rad/s": ("rad/s", "rad/sec", "radians/s", "radians/sec"),
-    "deg/s": ("deg/s", "°/s", "dps", "degrees/sec", "degrees/s", "deg/sec"),
-    "mdeg/s": ("mdeg/s", "mdps", "milli-deg/s", "millideg/s"),
+    "rad/s": ("rad/s", "rad/sec", "radians/s", "radians/sec", "radians per second"),
+    "deg/s": ("deg/s", "°/s", "dps", "degrees/sec", "degrees/s", "deg/sec", "degrees per second"),
+    "mdeg/s": ("mdeg/s", "mdps", "milli-deg/s", "millideg/s", "milli-degrees per second"),
     "rpm": ("rpm",),
-    "degC": ("c", "°c", "degc", "celsius"),
-    "degF": ("f", "°f", "degf", "fahrenheit"),
+    "degC": ("c", "°c", "degc", "deg c", "celsius"),
+    "degF": ("f", "°f", "degf", "deg f", "fahrenheit"),
     "K": ("k", "kelvin"),
     "V": ("v", "volt", "volts"),
     "mV": ("mv", "millivolt", "millivolts"),
@@ -97,8 +99,8 @@ SPELLINGS = {
 ACCEL_BANDS = (3.3, 60.0)
 #: Bands of the gyroscope vector's median length, resting and moving: rad/s, deg/s, mdeg/s.
 RATE_REST, RATE_MOVING = (0.018, 3.0), (2.0, 300.0)
-#: Share of rows in another band from which a recording counts as changing unit.
-PARTIAL_SHARE = 0.06
+#: Successive rows in a band that count as a stretch even where the jump into it was not seen (at a block's edge).
+LONG_STRETCH = 1_000
 #: Rows of a recording handled by one window; steps over the edges of these blocks are not needed.
 BLOCK_ROWS = 65_536
 
@@ -137,6 +139,12 @@ def conversion_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "unit string, target string, scale double, offset double")
 
 
+def target_unit(field: str | Column) -> Column:
+    """The canonical unit of a field."""
+    table = F.create_map(*[F.lit(x) for f, dim in DIMENSION.items() for x in (f, CANONICAL[dim])])
+    return F.try_element_at(table, F.col(field) if isinstance(field, str) else field)
+
+
 def unit_name(c: str | Column) -> Column:
     """Our name of a unit spelled in text, else NULL."""
     pairs = [F.lit(x) for u, names in SPELLINGS.items() for n in names for x in (n, u)]
@@ -151,19 +159,23 @@ def header_unit(c: str | Column) -> Column:
     return unit_name(F.regexp_replace(F.regexp_replace(inner, r"^(\[|\(| / |_in_)", ""), r"[\])]$", ""))
 
 
-#: What a note says of a channel group: (dimension, unit, pattern), read in this order.
-NOTES = (
-    ("rate", "mdeg/s", r"mdps|milli-degrees per second"),
-    ("rate", "deg/s", r"gyro in dps|angular rate columns in degrees"),
-    ("acceleration", "mg", r"milli-g|left as mg"),
-    ("acceleration", "cm/s^2", r"cm/s2|in gal"),
-    ("acceleration", "g", r"accel logged in g|multiples of standard gravity"),
-    ("temperature", "K", r"absolute, k|given in kelvin"),
-    ("temperature", "degF", r"probe reads fahrenheit|column in deg f"),
-    ("time", "us", r"microseconds|counter is in us"),
-    ("time", "ms", r"milliseconds|ticks are ms"),
-    ("voltage", "mV", r"column is mv|logged in millivolts"),
-)
+#: Words by which notes speak of the channels of a dimension.
+CHANNEL_WORDS = {
+    "rate": "gyro|gyroscope|angular|rates?",
+    "acceleration": "acc|accel|accelerometer|acceleration",
+    "temperature": "temp|temperature|probe",
+    "time": "time|clock|counter",
+    "voltage": "supply|rail|voltage",
+}
+#: Clauses with these words speak of something else than the stored values.
+OTHER_MATTER = r"\b(range|sheet|vendor|not)\b"
+
+
+def note_patterns() -> list[tuple[str, str, str]]:
+    """(dimension, unit, pattern): a clause that names a channel and after it a unit of its dimension."""
+    of = {u: dim for dim, target in CANONICAL.items() for u, (t, _, _) in conversions().items() if t == target}
+    quoted = lambda n: re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", n)
+    return [(of[u], u, rf"\b(?:{CHANNEL_WORDS[of[u]]})\b(?:[^;]*[^;\w/°-])?(?:{'|'.join(quoted(n) for n in names)})(?:$|[^\w/^²-])") for u, names in SPELLINGS.items()]
 
 
 def statements(channel_units: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -173,13 +185,32 @@ def statements(channel_units: DataFrame, recordings: DataFrame) -> DataFrame:
         "dataset_id", "field_name", unit_name("units").alias("u"), header_unit("source_column").alias("h"), unit_name("original_units").alias("o")
     )
     cu = cu.groupBy("dataset_id", "field_name").agg(*[F.min(c).alias(c) for c in ("u", "h", "o")])
-    text = F.lower(F.col("notes"))
-    notes = recordings.groupBy("dataset_id").agg(F.max(text).alias("t")).where(F.col("t").isNotNull())
-    said = [F.when(F.col("dim") == dim, F.when(F.col("t").rlike(p), F.lit(u))) for dim, u, p in NOTES]
+    clauses = F.filter(F.split(F.lower(F.max("notes")), ";"), lambda c: ~c.rlike(OTHER_MATTER))
+    notes = recordings.groupBy("dataset_id").agg(F.array_join(clauses, ";").alias("t")).where("t <> ''")
+    said = [F.when(F.col("dim") == dim, F.when(F.col("t").rlike(p), F.lit(u))) for dim, u, p in note_patterns()]
     joined = cu.join(notes, "dataset_id", "left").withColumn("dim", dims[F.col("field_name")]).withColumn("n", F.coalesce(*said))
     return joined.select("dataset_id", "field_name", F.coalesce("u", "h", "n", "o").alias("stated"))
 
 
+#: Bands of a channel's values, lowest first: (name of the band's counts, cuts, least ratio of a jump between bands).
+_BANDS = {"temperature": ((48.0, 150.0), 0.0), "supply_voltage": ((60.0,), 10.0), "a": (ACCEL_BANDS, 3.0)}
+
+
+def _band_of(x: Column, cuts: tuple[float, ...], most: float) -> Column:
+    """Number of the band a value lies in, NULL for none."""
+    band = sum((F.when(x > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return F.when(x.isNotNull() & (F.abs(x) < most), band)
+
+
+def _band_counts(n: str, cuts: tuple[float, ...]) -> list[Column]:
+    """Rows per band, rows that follow one of the same band, and jumps into another one."""
+    out = []
+    for i in range(len(cuts) + 1):
+        here = F.col(f"b_{n}") == i
+        out += [F.count(F.when(here, 1)).alias(f"{n}_{i}"), F.count(F.when(here & (F.col(f"p_{n}") == i), 1)).alias(f"{n}_pair_{i}")]
+    return [*out, F.count(F.when(F.col(f"j_{n}"), 1)).alias(f"{n}_jumps")]
+
+
 def _length(fields: tuple[str, ...]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [if_finite(f) * if_finite(f) for f in fields]))
 
@@ -197,21 +228,28 @@ def evidence(samples: DataFrame, recordings: DataFrame, period: str = "nominal_p
     step = if_finite("timestamp") - F.lag(if_finite("timestamp")).over(block)
     noise = [F.abs(if_finite(f) - F.lag(if_finite(f)).over(block)).alias(f"d_{f}") for g in axes for f in g]
     lengths = [_length(g).alias("a_len" if g[0] == "ax" else "g_len") for g in axes]
-    df = df.select("dataset_id", *fields, F.when(step > 0, step).alias("step"), *noise, *lengths, moving.alias("moving"))
+    banded = {f: if_finite(f) for f in ("temperature", "supply_voltage") if f in have} | ({"a": _length(axes[0])} if ("ax", "ay", "az") in axes else {})
+    bands = []
+    for n, x in banded.items():
+        cuts, ratio = _BANDS[n]
+        b = _band_of(x, cuts, 1e4 if n == "a" else 1e6)
+        # The last row before that has a band: rows without one do not tear a stretch.
+        seen = F.when(b.isNotNull(), F.struct(b.alias("b"), x.alias("x")))
+        before = F.last(seen, ignorenulls=True).over(block.rowsBetween(Window.unboundedPreceding, -1))
+        jump = (before["b"] != b) & (F.greatest(x, before["x"]) >= ratio * F.least(x, before["x"]))
+        bands += [b.alias(f"b_{n}"), before["b"].alias(f"p_{n}"), jump.alias(f"j_{n}")]
+    df = df.select("dataset_id", *fields, F.when(step > 0, step).alias("step"), *noise, *lengths, *bands, moving.alias("moving"))
     q = lambda c, p: F.percentile_approx(c, p, 1000)
     share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
     aggs = [F.count("*").alias("n"), q("step", 0.5).alias("step"), share(F.coalesce("moving", F.lit(False))).alias("moving_share"), F.count("moving").alias("labelled")]
     aggs += [F.count(F.when(finite(f), 1)).alias(f"n_{f}") for f in fields]
     aggs += [q(f"d_{f}", 0.5).alias(f"d_{f}") for g in axes for f in g]
-    for f, cuts in (("temperature", (48.0, 150.0)), ("supply_voltage", (60.0,))):
-        if f in have:
-            edges = (-math.inf, *cuts, math.inf)
-            aggs += [F.count(F.when(finite(f) & (F.abs(f) < 1e6) & (F.col(f) > lo) & (F.col(f) <= hi), 1)).alias(f"{f}_{i}") for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
-    if ("ax", "ay", "az") in axes:
+    for n in banded:
+        aggs += _band_counts(n, _BANDS[n][0])
+    if "a" in banded:
         a = F.col("a_len")
-        aggs += [F.count(F.when(c, 1)).alias(f"a_{i}") for i, c in enumerate((a < ACCEL_BANDS[0], (a >= ACCEL_BANDS[0]) & (a < ACCEL_BANDS[1]), (a >= ACCEL_BANDS[1]) & (a < 1e4)))]
         aggs += [q("a_len", p).alias(n) for p, n in ((0.1, "a_p10"), (0.5, "a_p50"), (0.9, "a_p90"))]
-        aggs += [q(F.when((a >= ACCEL_BANDS[1]) & (a < 1e4), a), 0.5).alias("a_high")]
+        aggs += [q(F.when(F.col("b_a") == 2, a), 0.5).alias("a_high")]
     if ("gx", "gy", "gz") in axes:
         aggs += [q("g_len", 0.5).alias("g_p50")]
     df = df.groupBy("dataset_id").agg(*aggs)
@@ -219,7 +257,7 @@ def evidence(samples: DataFrame, recordings: DataFrame, period: str = "nominal_p
     return df.join(info, "dataset_id", "left")
 
 
-def _moving() -> Column:
+def _is_moving() -> Column:
     spread = (F.col("a_p90") - F.col("a_p10")) / F.col("a_p50")
     return F.coalesce(
         F.when(F.col("labelled") > 0, F.col("moving_share") > 0.5),
@@ -230,12 +268,27 @@ def _moving() -> Column:
     )
 
 
-def _band(counts: list[Column], names: list[str]) -> tuple[Column, Column]:
-    """The name of the fullest band, and whether another band holds more than a stray share."""
-    total = reduce(lambda a, b: a + b, counts)
-    top = F.greatest(*[F.struct(c.alias("n"), F.lit(-i).alias("i"), F.lit(u).alias("u")) for i, (c, u) in enumerate(zip(counts, names, strict=True))])["u"]
-    second = F.array_sort(F.array(*counts), lambda a, b: (b - a).cast("int"))[1]
-    return top, (second >= 5) & (second > PARTIAL_SHARE * total)
+def _ranked(n: str, names: list[str]) -> Column:
+    """The bands of a channel, fullest first."""
+    rows = [F.struct(F.col(f"{n}_{i}").alias("n"), F.lit(-i).alias("i"), F.lit(u).alias("u"), F.col(f"{n}_pair_{i}").alias("pairs")) for i, u in enumerate(names)]
+    return F.slice(F.sort_array(F.array(*rows), asc=False), 1, 2)
+
+
+_BAND_UNITS = {"temperature": ["degC", "degF", "K"], "supply_voltage": ["V", "mV"], "a": ["g", "m/s^2", "high"]}
+
+
+def _with_bands(df: DataFrame, groups: list[str]) -> DataFrame:
+    """``df`` with ``u_<group>``, the unit of the rows that are not canonical or of all, and ``m_<group>``: whether it changes on the way."""
+    canonical = {"temperature": "degC", "supply_voltage": "V", "a": "m/s^2"}
+    df = df.withColumns({f"_r_{n}": _ranked(n, _BAND_UNITS[n]) for n in groups})
+    pairs = lambda n: F.col(f"_r_{n}")[1]["pairs"]
+    df = df.withColumns({f"m_{n}": (pairs(n) >= LONG_STRETCH) | ((pairs(n) >= 1) & (F.col(f"{n}_jumps") >= 1)) for n in groups})
+    first = lambda n: F.col(f"_r_{n}")[0]["u"]
+    return df.withColumns({f"u_{n}": F.when(F.col(f"m_{n}") & (first(n) == canonical[n]), F.col(f"_r_{n}")[1]["u"]).otherwise(first(n)) for n in groups})
+
+
+def _moving() -> Column:
+    return F.col("_moves")
 
 
 def _axis_unit(f: str, others: tuple[str, str], canonical: str, logs: dict[str, float]) -> Column:
@@ -262,6 +315,8 @@ def channel_units_from_values(samples: DataFrame, recordings: DataFrame, channel
     said = statements(channel_units, recordings).groupBy("dataset_id").pivot("field_name", list(DIMENSION)).agg(F.first("stated"))
     df = ev.join(said.select("dataset_id", *[F.col(f).alias(f"s_{f}") for f in DIMENSION]), "dataset_id", "left")
 
+    groups = [n for n, f in (("temperature", "temperature"), ("supply_voltage", "supply_voltage"), ("a", "ax")) if f in have]
+    df = _with_bands(df.withColumn("_moves", _is_moving() if "ax" in have else F.lit(False)), groups)
     no = F.lit(False)
     unit: dict[str, Column] = {}
     partial: dict[str, Column] = dict.fromkeys(fields, no)
@@ -270,28 +325,28 @@ def channel_units_from_values(samples: DataFrame, recordings: DataFrame, channel
     unit["timestamp"] = F.coalesce(F.least(*[F.struct(F.abs(scale - e).alias("d"), F.lit(u).alias("u")) for u, e in times.items()])["u"], F.lit("s"))
     unit["timestamp"] = F.when(scale.isNull(), F.lit("s")).otherwise(unit["timestamp"])
     if "temperature" in have:
-        unit["temperature"], partial["temperature"] = _band([F.col(f"temperature_{i}") for i in range(3)], ["degC", "degF", "K"])
+        unit["temperature"], partial["temperature"] = F.col("u_temperature"), F.col("m_temperature")
     if "supply_voltage" in have:
-        unit["supply_voltage"], partial["supply_voltage"] = _band([F.col(f"supply_voltage_{i}") for i in range(2)], ["V", "mV"])
+        unit["supply_voltage"], partial["supply_voltage"] = F.col("u_supply_voltage"), F.col("m_supply_voltage")
     if "ax" in have:
         a = ("ax", "ay", "az")
         logs = {"g": -math.log10(STANDARD_GRAVITY), "mg": 3 - math.log10(STANDARD_GRAVITY), "cm/s^2": 2.0}
-        own = {f: _axis_unit(f, tuple(o for o in a if o != f), "m/s^2", logs) for f in a}
+        df = df.withColumns({f"_own_{f}": _axis_unit(f, tuple(o for o in a if o != f), "m/s^2", logs) for f in a})
+        own = {f: F.col(f"_own_{f}") for f in a}
         single = F.coalesce(*own.values()).isNotNull()
         stated = F.coalesce(*[F.when(F.col(f"s_{f}").isin("mg", "cm/s^2"), F.col(f"s_{f}")) for f in a])
         # Both lie near 1000 at rest; gravity tells them apart unless the recording moves, then the statement does.
         high = F.when(_moving() & stated.isNotNull(), stated).otherwise(F.when(F.col("a_high") < 990, F.lit("cm/s^2")).otherwise(F.lit("mg")))
-        band, mixed = _band([F.col(f"a_{i}") for i in range(3)], ["g", "m/s^2", "high"])
-        other = F.when(F.col("a_2") >= F.col("a_0"), F.lit("high")).otherwise(F.lit("g"))
-        group = F.when(mixed, other).otherwise(band)
-        group = F.when(group == "high", high).otherwise(group)
+        mixed = F.col("m_a")
+        group = F.when(F.col("u_a") == "high", high).otherwise(F.col("u_a"))
         for f in a:
             unit[f] = F.when(single, F.coalesce(own[f], F.lit("m/s^2"))).otherwise(group)
             partial[f] = ~single & mixed
     if "gx" in have:
         g = ("gx", "gy", "gz")
         logs = {"deg/s": math.log10(180 / math.pi), "mdeg/s": math.log10(180 / math.pi) + 3}
-        own = {f: _axis_unit(f, tuple(o for o in g if o != f), "rad/s", logs) for f in g}
+        df = df.withColumns({f"_own_{f}": _axis_unit(f, tuple(o for o in g if o != f), "rad/s", logs) for f in g})
+        own = {f: F.col(f"_own_{f}") for f in g}
         single = F.coalesce(*own.values()).isNotNull()
         m = F.col("g_p50")
         pick = lambda cuts: F.when(m < cuts[0], F.lit("rad/s")).when(m < cuts[1], F.lit("deg/s")).otherwise(F.lit("mdeg/s"))
@@ -303,9 +358,10 @@ def channel_units_from_values(samples: DataFrame, recordings: DataFrame, channel
 
 
 def with_functions(units: DataFrame) -> DataFrame:
-    """The channel table equi-joined with the conversion table on the source unit: adds target, scale and offset."""
+    """The channel table equi-joined with the conversion table on source unit and canonical target: adds target, scale and offset."""
     table = conversion_table(units.sparkSession)
-    return units.join(F.broadcast(table), "unit", "left")  # the table is as large as the fixed graph
+    # The table is as large as the fixed graph.
+    return units.withColumn("target", target_unit("field_name")).join(F.broadcast(table), ["unit", "target"], "left")
 
 
 def to_common_units(samples: DataFrame, channels: DataFrame) -> DataFrame:
@@ -319,28 +375,38 @@ def to_common_units(samples: DataFrame, channels: DataFrame) -> DataFrame:
         *[F.first(F.when(F.col("field_name") == f, F.struct("scale", "offset", "partial")), ignorenulls=True).alias(f"_f_{f}") for f in fields]
     )
     df = attach(samples, wide, ["dataset_id"])
+    groups = {"a": ("ax", "ay", "az"), "temperature": ("temperature",), "supply_voltage": ("supply_voltage",)}
+    groups = {n: tuple(f for f in g if f in fields) for n, g in groups.items() if set(g) & set(fields) and (n != "a" or set(g) <= have)}
+    changes = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_f_{f}")["partial"], F.lit(False)) for g in groups.values() for f in g], F.lit(False))
+    # Only recordings that change unit need the order of their rows.
+    some, rest = df.where(changes), df.where(~changes)
+    key = F.coalesce(F.col("row_ord"), F.col("row_id"), F.lit(0))
+    block = Window.partitionBy("dataset_id", F.floor(key / BLOCK_ROWS)).orderBy(key)
+    up, down = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(0, Window.unboundedFollowing)
+    own = {n: _row_is_canonical(n) for n in groups}
+    near = {f"_c_{n}": F.coalesce(F.last(c, ignorenulls=True).over(up), F.first(c, ignorenulls=True).over(down), F.lit(True)) for n, c in own.items()}
+    some = some.withColumns(near)
+    rest = rest.withColumns({f"_c_{n}": F.lit(False) for n in groups})
+    df = rest.unionByName(some)
+    group_of = {f: n for n, g in groups.items() for f in g}
     exprs = {}
     for f in fields:
         c, fn = F.col(f).cast("double"), F.col(f"_f_{f}")
         whole = c * fn["scale"] + fn["offset"]
-        stray = _row_is_canonical(f)
-        exprs[f] = F.when(fn.isNull() | (fn["partial"] & stray), c).otherwise(whole)
-    return df.withColumns(exprs).drop(*[f"_f_{f}" for f in fields])
+        stays = fn.isNull() | fn["scale"].isNull()
+        if f in group_of:
+            stays = stays | (fn["partial"] & F.col(f"_c_{group_of[f]}"))
+        exprs[f] = F.when(stays, c).otherwise(whole)
+    return df.withColumns(exprs).drop(*[f"_f_{f}" for f in fields], *near)
 
 
-def _row_is_canonical(f: str) -> Column:
-    """For a channel that changes unit on the way: whether this row's value is in the canonical unit."""
-    if f in ("ax", "ay", "az"):
-        a = _length(("ax", "ay", "az"))
-        return F.coalesce((a >= ACCEL_BANDS[0]) & (a < ACCEL_BANDS[1]), F.lit(True))
-    if f == "temperature":
-        return F.col(f) <= 48
-    if f == "supply_voltage":
-        return F.col(f) <= 60
-    return F.lit(True)
+def _row_is_canonical(n: str) -> Column:
+    """For channels that change unit on the way: whether this row is in the canonical unit, NULL where it does not tell."""
+    x = _length(("ax", "ay", "az")) if n == "a" else if_finite(n)
+    return _band_of(x, _BANDS[n][0], 1e4 if n == "a" else 1e6) == (1 if n == "a" else 0)
 
 
 def not_canonical(channels: DataFrame) -> DataFrame:
-    """dataset_id and field_name of channels that are, wholly or in part, in another unit."""
-    target = F.create_map(*[F.lit(x) for f, dim in DIMENSION.items() for x in (f, CANONICAL[dim])])
-    return channels.where(F.col("partial") | (F.col("unit") != target[F.col("field_name")])).select("dataset_id", "field_name")
+    """dataset_id and field_name of channels whose function into the canonical unit is not the identity, wholly or in part."""
+    changed = F.col("partial") | (F.col("scale") != 1) | (F.col("offset") != 0)
+    return with_functions(channels).where(changed).select("dataset_id", "field_name")

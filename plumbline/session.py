@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", name: str = "plumbline", **conf: str) -
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
+        # Plans here are built from many small expressions; noting where each was written takes longer than making it.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Checkpoints go when nothing refers to them any more.
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
