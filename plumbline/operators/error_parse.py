@@ -9,7 +9,8 @@ The line is first reduced to its *shape* (one symbol per quote or delimiter, one
 and the dynamic program runs once per distinct (shape, field count) of an Arrow batch: well-formed lines share a
 handful of shapes, so almost all of the work is a dictionary lookup.
 
-Defined results: a NULL line is rejected as ``no text``; an empty line is one empty field; a file without a header
+Defined results: a line without a number (NULL or below 1) is rejected as ``no line number``; whole numbers are
+decimal(38,0) and longer ones rejected as ``beyond 38 digits``; a NULL line is rejected as ``no text``; an empty line is one empty field; a file without a header
 line rejects all of its lines as ``no header``; a header without one of the typed columns leaves that column NULL and
 unchecked, except ``dataset_id``, ``issue_id`` and ``severity``, which every valid issue needs; repeated lines are
 judged one by one; extra columns of the input are carried along unless their name clashes with an output column.
@@ -173,14 +174,14 @@ def headers(lines: DataFrame) -> DataFrame:
 
 
 def parse_issues(lines: DataFrame, issue_types: DataFrame) -> DataFrame:
-    """One row per line with line_no > 1: typed issue columns, ``valid``, ``cost``, ``edits`` and ``reason``.
+    """One row per line that is not a header (line_no 1): typed issue columns, ``valid``, ``cost``, ``edits`` and ``reason``.
 
     ``issue_types`` is the fixed catalogue of issue ids; it is joined on equality like any other table.
     """
     own = ["line_id", "file_id", "line_no", "line_text"]
     made = {"delimiter", "header", "parsed", "known_issue", "valid", "reason", "cost", "edits", *_TYPED}
     extra = [c for c in lines.columns if c not in own and c not in made]
-    body = lines.where(F.col("line_no") > 1).select(*own, *extra)
+    body = lines.where(F.col("line_no").isNull() | (F.col("line_no") != 1)).select(*own, *extra)
     df = attach(body, headers(lines), ["file_id"])
     parsed = df.withColumn("parsed", _parse("line_text", "delimiter", F.size("header").cast("double")))
 
@@ -199,7 +200,9 @@ def parse_issues(lines: DataFrame, issue_types: DataFrame) -> DataFrame:
     fraction = F.col("_affected_fraction")
     value = F.when(fraction.rlike(_DECIMAL), fraction.try_cast("double"))
     empty = lambda c: F.coalesce(c == "", F.lit(False))
+    long = lambda c: F.length(F.regexp_replace(c, "^0+", "")) > 38
     faults = [
+        (F.col("line_no").isNull() | (F.col("line_no") < 1), F.lit("no line number")),
         (F.col("line_text").isNull(), F.lit("no text")),
         (F.col("header").isNull(), F.lit("no header")),
         (F.col("cost") > 0, F.concat(F.lit("structure: "), F.array_join("edits", "; "))),
@@ -208,6 +211,8 @@ def parse_issues(lines: DataFrame, issue_types: DataFrame) -> DataFrame:
         (F.col("known_issue").isNull(), F.lit("issue_id is unknown")),
         (~F.col("_severity").isin(*SEVERITIES), F.lit("severity is not info, warning or error")),
         (~(empty(F.col("_affected_rows")) | F.col("_affected_rows").rlike(r"^[0-9]+$")), F.lit("affected_rows is not digits only")),
+        (long(F.col("_dataset_id")), F.lit("dataset_id is beyond 38 digits")),
+        (long(F.col("_affected_rows")), F.lit("affected_rows is beyond 38 digits")),
         (fraction.isNotNull() & ~(empty(fraction) | F.coalesce((value >= 0) & (value <= 1), F.lit(False))), F.lit("affected_fraction is not a number from 0 to 1")),
     ]
     reason = F.coalesce(*[F.when(test, why) for test, why in faults])
@@ -219,9 +224,9 @@ def parse_issues(lines: DataFrame, issue_types: DataFrame) -> DataFrame:
         "reason",
         "cost",
         "edits",
-        F.when(valid, F.col("_dataset_id").try_cast("bigint")).alias("dataset_id"),
+        F.when(valid, F.col("_dataset_id").try_cast("decimal(38,0)")).alias("dataset_id"),
         F.when(valid, F.col("_issue_id")).alias("issue_id"),
         F.when(valid, F.col("_severity")).alias("severity"),
-        F.when(valid, F.col("_affected_rows").try_cast("bigint")).alias("affected_rows"),
+        F.when(valid, F.col("_affected_rows").try_cast("decimal(38,0)")).alias("affected_rows"),
         F.when(valid, value).alias("affected_fraction"),
     )
