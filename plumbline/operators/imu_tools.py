@@ -393,3 +393,10 @@ def six_position(df: DataFrame, keys: Sequence[str], min_samples: int = 50, grav
         checks[f"{name}_mean_angular_deviation"] = F.avg(angle(v, expected))
     quality = poses.groupBy(*keys).agg(*[c.alias(n) for n, c in checks.items()])
     return fit.drop("orientations").join(quality, list(keys))
+
+
+def missing_orientations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, orientation: those of the six static orientations that no label of a group names."""
+    seen = df.groupBy(*keys).agg(F.collect_set(orientation("orientation_label")).alias("seen"))  # at most six entries
+    every = F.array(*[F.lit(o) for o in ORIENTATIONS])
+    return seen.select(*keys, F.explode(F.array_except(every, "seen")).alias("orientation"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import rounded
-from plumbline.operators import diagnostics, generic_tools, imu_tools, spectral, unit_graph
-from plumbline.operators.spikes import full_scale
+from plumbline.operators import diagnostics, generic_tools, imu_tools, spectral
 from plumbline.plans import metrics
 from plumbline.plans.catalogue import Catalogue
+from plumbline.plans.common_units import common_limits, common_units, resting
 from plumbline.plans.sensor_queries import _ACCURACY, IMU_SAMPLES, KEY, PAIRS, generic, imu
 from plumbline.session import read, shared_folder
 from plumbline.streaming.windows import windowed_accuracy
@@ -39,73 +39,30 @@ GENERIC_REQUIREMENTS = metrics.requirements(
 )
 
 
-def common_units(spark: SparkSession, d: str) -> DataFrame:
-    """Inertial samples in s, m/s^2, rad/s and degC, written once for all tools."""
+def written_units(spark: SparkSession, d: str) -> DataFrame:
+    """Inertial samples in common units, written once for all tools."""
     shared_folder(spark)
-    samples, recordings = imu(spark, d), read(spark, d, "recordings")
-    channels = unit_graph.channel_units_from_values(samples, recordings, read(spark, d, "channel_units"))
-    return unit_graph.to_common_units(samples, channels).checkpoint()
-
-
-def common_limits(recordings: DataFrame) -> DataFrame:
-    """dataset_id, axis, low, high: full scale in m/s^2 and rad/s; none where the limit or its unit is unknown."""
-    high = {
-        "a": full_scale("accelerometer_range_max", "accelerometer_range_unit", "m/s^2"),
-        "g": full_scale("gyroscope_range_max", "gyroscope_range_unit", "rad/s"),
-    }
-    rows = F.array(*[F.struct(F.lit(a).alias("axis"), high[a[0]].alias("high")) for a in imu_tools.AXES])
-    out = recordings.where("dataset_id IS NOT NULL").select("dataset_id", F.explode(rows).alias("r")).where("r.high > 0")
-    return out.groupBy("dataset_id", "r.axis").agg(F.max("r.high").alias("high")).withColumn("low", -F.col("high"))
-
-
-# The queries of the same names without "_common_units" measure the values as stored, as their SQL does.
-@catalogue.query("imu_saturation_common_units")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(imu_tools.saturation(common_units(spark, d), KEY, common_limits(read(spark, d, "recordings"))))
-
-
-@catalogue.query("imu_accelerometer_bias_common_units")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(imu_tools.accelerometer_bias(common_units(spark, d), KEY))
-
-
-@catalogue.query("imu_gravity_error_common_units")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(imu_tools.gravity_error(common_units(spark, d), KEY))
-
-
-@catalogue.query("imu_gravity_by_orientation_common_units")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(imu_tools.gravity_by_orientation(common_units(spark, d), KEY))
-
-
-def _six_position(spark: SparkSession, d: str) -> DataFrame:
-    return imu_tools.six_position(common_units(spark, d).where("sensor_id IS NOT NULL"), ["sensor_id"])
-
-
-@catalogue.query("imu_six_position_common_units")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    out = _six_position(spark, d)
-    return rounded(out.select([c for c in out.columns if not c.startswith(("raw_", "corrected_"))]))
-
-
-@catalogue.query("imu_six_position_quality")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    out = _six_position(spark, d)
-    return rounded(out.select("sensor_id", *[c for c in out.columns if c.startswith(("raw_", "corrected_"))]))
+    return common_units(spark, d).checkpoint()
 
 
 def imu_metrics(samples: DataFrame, recordings: DataFrame) -> DataFrame:
-    """The long metric table of the inertial tools."""
+    """The long metric table of the inertial tools; ``samples`` in common units."""
     nominal = recordings.groupBy("dataset_id").agg(F.max("nominal_sampling_rate_hz").alias("nominal_rate"))
     axis_unit = F.when(F.substring("axis", 1, 1) == "a", "m/s^2").otherwise("rad/s")
+    still = resting(samples, recordings)
     parts = [
         metrics.to_metrics(imu_tools.sampling_integrity(samples, KEY, nominal=nominal), KEY, "imu_sampling_integrity", "s"),
-        metrics.to_metrics(imu_tools.gyro_bias(samples, KEY, IMU_SAMPLES), KEY, "imu_gyro_bias", "rad/s"),
-        metrics.to_metrics(imu_tools.stationary_noise(samples, KEY, min_samples=IMU_SAMPLES), KEY, "imu_stationary_noise", axis_unit),
-        metrics.to_metrics(imu_tools.gravity_error(samples, KEY, IMU_SAMPLES), KEY, "imu_gravity_error", "m/s^2"),
-        metrics.to_metrics(imu_tools.temperature_stability(samples, KEY, min_samples=IMU_SAMPLES), KEY, "imu_temperature_stability", axis_unit),
+        metrics.to_metrics(imu_tools.gyro_bias(still, KEY, IMU_SAMPLES), KEY, "imu_gyro_bias", "rad/s"),
+        metrics.to_metrics(imu_tools.accelerometer_bias(still, KEY, IMU_SAMPLES), KEY, "imu_accelerometer_bias", "m/s^2"),
+        metrics.to_metrics(imu_tools.stationary_noise(still, KEY, min_samples=IMU_SAMPLES), KEY, "imu_stationary_noise", axis_unit),
+        metrics.to_metrics(imu_tools.gravity_error(still, KEY, IMU_SAMPLES), KEY, "imu_gravity_error", "m/s^2"),
+        metrics.to_metrics(imu_tools.temperature_stability(still, KEY, min_samples=IMU_SAMPLES), KEY, "imu_temperature_stability", axis_unit),
+        metrics.to_metrics(imu_tools.saturation(samples, KEY, common_limits(recordings)), KEY, "imu_saturation", axis_unit),
+        metrics.to_metrics(imu_tools.six_position(still, KEY), KEY, "imu_six_position_calibration", "m/s^2"),
     ]
+    for axes, unit, group in ((imu_tools.ACCEL, "m/s^2", "Accelerometer"), (imu_tools.GYRO, "rad/s", "Gyroscope")):
+        linked = imu_tools.axis_correlation(samples, KEY, axes, min_samples=IMU_SAMPLES).withColumn("group", F.lit(group))
+        parts.append(metrics.to_metrics(linked, KEY, "imu_axis_correlation", unit))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -114,13 +71,13 @@ def imu_metrics(samples: DataFrame, recordings: DataFrame) -> DataFrame:
 
 @catalogue.query("imu_metrics_common_units")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(imu_metrics(common_units(spark, d), read(spark, d, "recordings")))
+    return rounded(imu_metrics(written_units(spark, d), read(spark, d, "recordings")))
 
 
 @catalogue.query("imu_qualification")
 def imu_qualification(spark: SparkSession, d: str) -> DataFrame:
     """Requirement checks of every inertial recording: conversion to common units, tools, metrics, comparison."""
-    samples = common_units(spark, d)
+    samples = written_units(spark, d)
     found = imu_metrics(samples, read(spark, d, "recordings"))
     return rounded(metrics.qualify(found, samples.select(*KEY), KEY, EXAMPLE_REQUIREMENTS))
 
@@ -164,8 +121,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @catalogue.query("imu_hypotheses")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """What the spectra, correlations, temperature fits and saturation counts of each recording support."""
-    samples = common_units(spark, d)
-    out = diagnostics.temperature_association(imu_tools.temperature_stability(samples, KEY, min_samples=IMU_SAMPLES), KEY)
+    samples = written_units(spark, d)
+    still = resting(samples, read(spark, d, "recordings"))
+    out = diagnostics.temperature_association(imu_tools.temperature_stability(still, KEY, min_samples=IMU_SAMPLES), KEY)
     clipped = imu_tools.saturation(samples, KEY, common_limits(read(spark, d, "recordings")))
     out = out.unionByName(diagnostics.boundary_clipping(clipped, KEY))
     for axes in (imu_tools.ACCEL, imu_tools.GYRO):

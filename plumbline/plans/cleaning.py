@@ -9,6 +9,7 @@ from plumbline.columns import if_finite
 from plumbline.functions.rounding import rounded, rounded_sql
 from plumbline.operators import error_parse, regular_grid, spikes, unit_graph
 from plumbline.plans.catalogue import Catalogue
+from plumbline.plans.common_units import both_channels_sql, both_tables_sql
 from plumbline.session import read
 
 catalogue = Catalogue()
@@ -89,21 +90,30 @@ def _channels(spark: SparkSession, d: str, table: str) -> DataFrame:
 SAMPLE_TABLES = ("generic_samples", "imu_samples")
 
 
-@catalogue.query("p5_found")
+@catalogue.query("p5_found", both_channels_sql('SELECT dataset_id, field_name FROM channels WHERE partial OR scale <> 1 OR "offset" <> 0'))
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Channels stored, wholly or in part, in other than the canonical units."""
     both = [unit_graph.not_canonical(_channels(spark, d, t)) for t in SAMPLE_TABLES]
     return both[0].unionByName(both[1])
 
 
-@catalogue.query("p5_channels")
+@catalogue.query("p5_channels", both_channels_sql("SELECT * FROM channels"))
 def p5_channels(spark: SparkSession, d: str) -> DataFrame:
     """Every channel with its unit, what was stated, and the function into the canonical unit."""
     both = [unit_graph.with_functions(_channels(spark, d, t)) for t in SAMPLE_TABLES]
     return both[0].unionByName(both[1])
 
 
-@catalogue.query("p5_converted")
+def _ranges_sql() -> str:
+    """Both sample tables in common units, per recording and channel the number and range of finite values."""
+    parts = []
+    for t, name in (("generic_samples", "generic_common"), ("imu_samples", "imu_common")):
+        fields = [f for f in unit_graph.DIMENSION if f in (("timestamp", "temperature", "supply_voltage") if t == "generic_samples" else ("timestamp", "temperature", "ax", "ay", "az", "gx", "gy", "gz"))]
+        parts += [f"SELECT dataset_id, '{f}' AS field_name, count(*) AS n, min({f}) AS low, max({f}) AS high FROM {name} WHERE isfinite({f}) GROUP BY 1" for f in fields]
+    return both_tables_sql(" UNION ALL ".join(parts))
+
+
+@catalogue.query("p5_converted", _ranges_sql())
 def p5_converted(spark: SparkSession, d: str) -> DataFrame:
     """Per recording and channel the range of the values in common units."""
     parts = []

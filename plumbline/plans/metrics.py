@@ -74,9 +74,61 @@ NAMES: dict[str, dict[str, tuple[str, str | None]]] = {
     },
     "imu_temperature_stability": {"coefficient": ("{X} Temperature Coefficient", "{u}/degC"), "r_squared": ("{X} Temperature Regression R2", None)},
     "imu_six_position_calibration": {
-        f"{a}_{c}": (f"{a.upper()} {n}", u)
-        for a in ("ax", "ay", "az")
-        for c, n, u in (("bias", "Bias", "{u}"), ("sensitivity", "Raw Sensitivity Ratio", None), ("sensitivity_error_percent", "Sensitivity Error Percent", "%"), ("correction_scale", "Correction Scale Factor", None))
+        **{
+            f"{a}_{c}": (f"{a.upper()} {n}", u)
+            for a in ("ax", "ay", "az")
+            for c, n, u in (("bias", "Bias", "{u}"), ("sensitivity", "Raw Sensitivity Ratio", None), ("sensitivity_error_percent", "Sensitivity Error Percent", "%"), ("correction_scale", "Correction Scale Factor", None), ("plus_minus_span", "Measured Plus-Minus Span", "{u}"))
+        },
+        "bias_vector_magnitude": ("Accelerometer Bias Vector Magnitude", "{u}"),
+        "raw_component_rmse": ("Raw Calibration-Set Component RMSE", "{u}"),
+        "corrected_component_rmse": ("Corrected Calibration-Set Component RMSE", "{u}"),
+        "raw_gravity_magnitude_mae": ("Raw Calibration-Set Gravity Magnitude MAE", "{u}"),
+        "corrected_gravity_magnitude_mae": ("Corrected Calibration-Set Gravity Magnitude MAE", "{u}"),
+        "raw_mean_angular_deviation": ("Raw Calibration-Set Mean Angular Deviation", "deg"),
+        "corrected_mean_angular_deviation": ("Corrected Calibration-Set Mean Angular Deviation", "deg"),
+    },
+    "imu_accelerometer_bias": {
+        **{f"{a}_{c}": (f"{a.upper()} {n}", "{u}") for a in ("ax", "ay", "az") for c, n in (("mean", "Mean Output"), ("std", "Stationary Noise Standard Deviation"), ("rms", "RMS Output"), ("peak_to_peak", "Peak-to-Peak Output"), ("median", "Median Output"), ("bias", "Bias"))},
+        "mean_vector_magnitude": ("Mean Acceleration Vector Magnitude", "{u}"),
+        "gravity_magnitude_error": ("Gravity Magnitude Error", "{u}"),
+        "gravity_magnitude_error_percent": ("Gravity Magnitude Error Percent", "%"),
+        "bias_vector_magnitude": ("Accelerometer Bias Vector Magnitude", "{u}"),
+        "mean_axis_std": ("Mean Axis Noise Standard Deviation", "{u}"),
+        "maximum_axis_std": ("Maximum Axis Noise Standard Deviation", "{u}"),
+        "noise_spread_ratio": ("Accelerometer Axis Noise Spread Ratio", None),
+    },
+    "imu_axis_correlation": {
+        "maximum_absolute_correlation": ("{G} Maximum Absolute Axis Correlation", None),
+        "maximum_absolute_difference_correlation": ("{G} Maximum Absolute First-Difference Axis Correlation", None),
+        "dominant_variance_percent": ("{G} Dominant Covariance Variance Fraction", "%"),
+        **{
+            f"{c}_{a}_{b}": (f"{a.upper()}-{b.upper()} {n}", u)
+            for g in ("a", "g")
+            for a, b in ((f"{g}x", f"{g}y"), (f"{g}x", f"{g}z"), (f"{g}y", f"{g}z"))
+            for c, n, u in (("covariance", "Covariance", "({u})^2"), ("correlation", "Correlation", None), ("difference_correlation", "First-Difference Correlation", None))
+        },
+    },
+    "imu_psd": {
+        "segment_length": ("{G} Welch Segment Length", None),
+        "segment_count": ("{G} Welch Segment Count", None),
+        "frequency_resolution": ("{G} Frequency Resolution", "Hz"),
+        "integrated_rms": ("{X} PSD Integrated RMS", "{u}"),
+        "median_psd": ("{X} Median Spectral Density", "({u})^2/Hz"),
+        "median_amplitude_density": ("{X} Median Amplitude Spectral Density", "{u}/sqrt(Hz)"),
+        "dominant_frequency": ("{X} Dominant Spectral Frequency", "Hz"),
+        "dominant_psd": ("{X} Dominant Spectral PSD", "({u})^2/Hz"),
+        "dominant_to_median_ratio": ("{X} Dominant Peak-to-Median PSD Ratio", None),
+        "peak_count": ("{X} Prominent Spectral Peak Count", None),
+        "first_peak_frequency": ("{X} Spectral Peak 1 Frequency", "Hz"),
+    },
+    "imu_allan_deviation": {
+        "duration": ("{G} Allan Segment Duration", "s"),
+        "minimum_deviation": ("{X} Minimum Allan Deviation", "{u}"),
+        "tau_at_minimum": ("{X} Tau at Minimum Allan Deviation", "s"),
+        "maximum_averaging_time": ("{X} Maximum Allan Averaging Time", "s"),
+        "random_walk_coefficient": ("{X} {W} Random Walk Coefficient", "{w}"),
+        "white_slope": ("{X} White-Noise Region Median Slope", None),
+        "bias_instability": ("{X} Bias Instability Estimate", "{u}"),
     },
 }
 OPERATORS = ("<", "<=", ">", ">=", "==", "abs<", "abs<=", "between")
@@ -90,13 +142,19 @@ def to_metrics(result: DataFrame, keys: Sequence[str], tool_id: str, unit: str |
     def named(of: str | None) -> Column:
         if of is None:
             return F.lit(None).cast("string")
+        if of == "{w}":
+            return F.when(F.upper("axis").startswith("A"), "m/s/sqrt(s)").otherwise("rad/sqrt(s)")
         return F.replace(F.lit(of), F.lit("{u}"), u) if "{u}" in of else F.lit(of)
 
     axis = F.upper("axis") if "axis" in result.columns else F.lit("")
+    group = F.col("group") if "group" in result.columns else F.when(axis.startswith("A"), "Accelerometer").otherwise("Gyroscope")
+    walk = F.when(axis.startswith("A"), "Velocity").otherwise("Angle")
     rows = []
     for i, (c, (name, of)) in enumerate(NAMES[tool_id].items()):
         if c in result.columns:
-            text = F.replace(F.lit(name), F.lit("{X}"), axis)
+            text = F.lit(name)
+            for mark, value in (("{X}", axis), ("{G}", group), ("{W}", walk)):
+                text = F.replace(text, F.lit(mark), value) if mark in name else text
             rows.append(F.struct(F.lit(i).alias("seq"), text.alias("name"), F.col(c).cast("double").alias("value"), named(of).alias("unit")))
     out = result.select(*keys, F.lit(tool_id).alias("tool_id"), F.explode(F.array(*rows)).alias("m"))
     return out.select(*keys, "tool_id", "m.*").where(F.col("value").isNotNull())

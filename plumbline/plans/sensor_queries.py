@@ -1,6 +1,7 @@
 """Queries of the characterisation tools over the sample tables, keyed by recording, with their SQL.
 
-Values are rounded to six significant digits on both sides: sums depend on the order of rows.
+Inertial samples are converted to common units first, here and in the SQL, and tools of resting sensors skip recordings
+known to move.  Values are rounded to six significant digits on both sides: sums depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.rounding import rounded, rounded_sql
 from plumbline.operators import calibration, generic_tools, imu_tools, spectral, validation
 from plumbline.plans.catalogue import Catalogue
+from plumbline.plans.common_units import RANGE_SQL, common_limits, common_sql, common_units, resting, states
 from plumbline.session import read
 
 catalogue = Catalogue()
@@ -25,7 +27,8 @@ def tool(name: str, select: str | None = None, doubles: str = "", others: str =
     """Registers a query whose result is rounded; ``select`` is the unrounded SQL, with its double and other columns."""
 
     def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        sql = None if select is None else rounded_sql(select, doubles.split(), others.split())
+        text = None if select is None else common_sql(select) if "imu_common" in select or "imu_resting" in select else select
+        sql = None if text is None else rounded_sql(text, doubles.split(), others.split())
         catalogue.query(name, sql)(lambda spark, d: rounded(fn(spark, d)))
         return fn
 
@@ -37,7 +40,11 @@ def generic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def imu(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "imu_samples")
+    return common_units(spark, d)
+
+
+def imu_resting(spark: SparkSession, d: str) -> DataFrame:
+    return resting(common_units(spark, d), read(spark, d, "recordings"))
 
 
 PAIRS = "SELECT *, measurement AS m, reference AS r, measurement - reference AS e FROM generic_samples WHERE isfinite(measurement) AND isfinite(reference)"
@@ -219,7 +226,7 @@ _SAMPLING = """count(*) AS {n}, arg_max(t, row_ord) - arg_min(t, row_ord) AS {du
 
 @tool(
     "imu_sampling_integrity",
-    f"""WITH s AS ({_STEPS.format(table="imu_samples")}),
+    f"""WITH s AS ({_STEPS.format(table="imu_common")}),
 b AS (SELECT dataset_id, {_SAMPLING.format(n="timestamp_count", duration="duration", median="median_interval", mean="mean_interval", std="interval_standard_deviation", dup="duplicate_count", back="backward_count")},
              min(dt) FILTER (dt > 0) AS minimum_interval, max(dt) FILTER (dt > 0) AS maximum_interval FROM s GROUP BY 1 HAVING count(*) FILTER (dt > 0) > 0),
 g AS (SELECT dataset_id, sqrt(avg((dt - median_interval) ** 2)) AS rms_jitter, avg(abs(dt - median_interval)) AS mean_absolute_jitter, max(abs(dt - median_interval)) AS maximum_absolute_jitter,
@@ -264,13 +271,13 @@ def _at_least(axes: tuple[str, ...]) -> str:
 
 @tool(
     "imu_gyro_bias",
-    f"""WITH g AS (SELECT dataset_id, {_axis_sql(_G)} FROM imu_samples GROUP BY 1)
+    f"""WITH g AS (SELECT dataset_id, {_axis_sql(_G)} FROM imu_resting GROUP BY 1)
 SELECT *, sqrt(gx_mean ** 2 + gy_mean ** 2 + gz_mean ** 2) AS bias_vector_magnitude, {_spread_sql(_G)} FROM g WHERE {_at_least(_G)}""",
     f"{_axis_columns(_G)} bias_vector_magnitude {_SPREAD}",
     "dataset_id " + " ".join(f"{a}_count" for a in _G),
 )
 def _(spark, d):
-    return imu_tools.gyro_bias(imu(spark, d), KEY, IMU_SAMPLES)
+    return imu_tools.gyro_bias(imu_resting(spark, d), KEY, IMU_SAMPLES)
 
 
 _POSE = r"""CASE WHEN regexp_full_match(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[ _]', '', 'g'), '^(plus|positive)', '+'), '^(minus|negative)', '-'), '^([xyz])([+-])$', '\2\1'), '[+-][xyz]')
@@ -283,18 +290,18 @@ def _expected(a: str, pose: str = "orientation") -> str:
 
 @tool(
     "imu_accelerometer_bias",
-    f"""WITH g AS (SELECT dataset_id, {_axis_sql(_A)}, CASE WHEN count(DISTINCT trim(orientation_label)) = 1 THEN {_POSE.format("max(trim(orientation_label))")} END AS orientation FROM imu_samples GROUP BY 1),
+    f"""WITH g AS (SELECT dataset_id, {_axis_sql(_A)}, CASE WHEN count(DISTINCT trim(orientation_label)) = 1 THEN {_POSE.format("max(trim(orientation_label))")} END AS orientation FROM imu_resting GROUP BY 1),
 h AS (SELECT *, sqrt(ax_mean ** 2 + ay_mean ** 2 + az_mean ** 2) AS mean_vector_magnitude, {_spread_sql(_A)}, {", ".join(f"{a}_mean - {_expected(a)} AS {a}_bias" for a in _A)} FROM g WHERE {_at_least(_A)})
 SELECT *, mean_vector_magnitude - 9.80665 AS gravity_magnitude_error, 100 * (mean_vector_magnitude - 9.80665) / 9.80665 AS gravity_magnitude_error_percent, sqrt(ax_bias ** 2 + ay_bias ** 2 + az_bias ** 2) AS bias_vector_magnitude FROM h""",
     f"{_axis_columns(_A)} mean_vector_magnitude {_SPREAD} ax_bias ay_bias az_bias gravity_magnitude_error gravity_magnitude_error_percent bias_vector_magnitude",
     "dataset_id orientation " + " ".join(f"{a}_count" for a in _A),
 )
 def _(spark, d):
-    return imu_tools.accelerometer_bias(imu(spark, d), KEY, IMU_SAMPLES)
+    return imu_tools.accelerometer_bias(imu_resting(spark, d), KEY, IMU_SAMPLES)
 
 
 def _long_sql(extra: str = "") -> str:
-    return " UNION ALL ".join(f"SELECT dataset_id, row_ord, '{a}' AS axis, {a} AS x{extra} FROM imu_samples WHERE isfinite({a})" for a in imu_tools.AXES)
+    return " UNION ALL ".join(f"SELECT dataset_id, row_ord, '{a}' AS axis, {a} AS x{extra} FROM imu_resting WHERE isfinite({a})" for a in imu_tools.AXES)
 
 
 @tool(
@@ -307,10 +314,10 @@ SELECT *, 1.4826 * mad AS robust_sigma, CASE WHEN mad > 0 THEN standard_deviatio
     "dataset_id axis sample_count",
 )
 def _(spark, d):
-    return imu_tools.stationary_noise(imu(spark, d), KEY, min_samples=IMU_SAMPLES)
+    return imu_tools.stationary_noise(imu_resting(spark, d), KEY, min_samples=IMU_SAMPLES)
 
 
-_VECTORS = "SELECT *, sqrt(ax * ax + ay * ay + az * az) AS a FROM imu_samples WHERE isfinite(ax) AND isfinite(ay) AND isfinite(az)"
+_VECTORS = "SELECT *, sqrt(ax * ax + ay * ay + az * az) AS a FROM imu_resting WHERE isfinite(ax) AND isfinite(ay) AND isfinite(az)"
 
 
 @tool(
@@ -323,7 +330,7 @@ SELECT *, {", ".join(f"100 * {c} / 9.80665 AS {c}_percent" for c in ("mean_error
     "dataset_id sample_count",
 )
 def _(spark, d):
-    return imu_tools.gravity_error(imu(spark, d), KEY, IMU_SAMPLES)
+    return imu_tools.gravity_error(imu_resting(spark, d), KEY, IMU_SAMPLES)
 
 
 @tool(
@@ -338,7 +345,7 @@ SELECT dataset_id, label, orientation, sample_count, size AS mean_vector_magnitu
     "dataset_id label orientation sample_count",
 )
 def _(spark, d):
-    return imu_tools.gravity_by_orientation(imu(spark, d), KEY)
+    return imu_tools.gravity_by_orientation(imu_resting(spark, d), KEY)
 
 
 def _correlation_sql(axes: tuple[str, ...]) -> str:
@@ -353,7 +360,7 @@ def _correlation_sql(axes: tuple[str, ...]) -> str:
     size = [f"abs(correlation_{x}_{y})" for x, y in pairs]
     diff = ", ".join(f"abs(difference_correlation_{x}_{y})" for x, y in pairs)
     strongest = " ".join(f"WHEN {size[k]} = greatest({', '.join(size)}) THEN '{x}_{y}'" for k, (x, y) in enumerate(pairs))
-    return f"""WITH p AS (SELECT *, {", ".join(f"{x} - lag({x}) OVER w AS d{x}" for x in axes)} FROM imu_samples WHERE {ok} WINDOW w AS (PARTITION BY dataset_id ORDER BY row_ord)),
+    return f"""WITH p AS (SELECT *, {", ".join(f"{x} - lag({x}) OVER w AS d{x}" for x in axes)} FROM imu_common WHERE {ok} WINDOW w AS (PARTITION BY dataset_id ORDER BY row_ord)),
 g AS (SELECT dataset_id, count(*) AS sample_count, {aggs} FROM p GROUP BY 1 HAVING count(*) >= {IMU_SAMPLES} AND least({", ".join(f"var_samp({x})" for x in axes)}) > 0)
 SELECT *, greatest({", ".join(size)}) AS maximum_absolute_correlation, CASE {strongest} END AS strongest, greatest({diff}) AS maximum_absolute_difference_correlation FROM g"""
 
@@ -393,7 +400,7 @@ SELECT *, temperature_maximum - temperature_minimum AS temperature_span, CASE WH
     "dataset_id axis sample_count",
 )
 def _(spark, d):
-    return imu_tools.temperature_stability(imu(spark, d), KEY, min_samples=IMU_SAMPLES)
+    return imu_tools.temperature_stability(imu_resting(spark, d), KEY, min_samples=IMU_SAMPLES)
 
 
 @tool(
@@ -405,20 +412,13 @@ SELECT dataset_id, axis, bin, count(*) AS sample_count, avg(t) AS temperature_me
     "dataset_id axis bin sample_count",
 )
 def _(spark, d):
-    return imu_tools.temperature_bins(imu(spark, d), KEY)
-
-
-def _limits(spark: SparkSession, d: str) -> DataFrame:
-    """Full scale as stored, whatever the unit of the values; ``imu_saturation_common_units`` compares like with like."""
-    rec = read(spark, d, "recordings").where("sensor_type = 'imu'")
-    rows = F.array(*[F.struct(F.lit(a).alias("axis"), F.col("accelerometer_range_max" if a[0] == "a" else "gyroscope_range_max").alias("high")) for a in imu_tools.AXES])
-    return rec.select("dataset_id", F.explode(rows).alias("r")).select("dataset_id", "r.axis", (-F.col("r.high")).alias("low"), F.col("r.high").alias("high")).where("high IS NOT NULL")
+    return imu_tools.temperature_bins(imu_resting(spark, d), KEY)
 
 
 _SAT_AXES = " UNION ALL ".join(
-    f"SELECT dataset_id, row_ord, '{a}' AS axis, CASE WHEN isfinite({a}) THEN {a} END AS x, -{r} AS low, {r} AS high FROM imu_samples JOIN (SELECT * FROM recordings WHERE sensor_type = 'imu') USING (dataset_id) WHERE {r} > 0"
+    f"SELECT dataset_id, row_ord, '{a}' AS axis, CASE WHEN isfinite({a}) THEN {a} END AS x, -{r} AS low, {r} AS high FROM imu_common JOIN ({RANGE_SQL}) USING (dataset_id) WHERE {r} > 0"
     for a in imu_tools.AXES
-    for r in [("accelerometer" if a[0] == "a" else "gyroscope") + "_range_max"]
+    for r in ["a_high" if a[0] == "a" else "g_high"]
 )
 
 
@@ -445,23 +445,56 @@ FROM g LEFT JOIN {_run_sql("at_limit", "longest_exact_run")} USING (dataset_id,
     "dataset_id axis sample_count exact_lower_count exact_upper_count exact_count near_lower_count near_upper_count near_count near_not_exact_count outside_count longest_exact_run longest_near_run",
 )
 def _(spark, d):
-    return imu_tools.saturation(imu(spark, d), KEY, _limits(spark, d))
+    return imu_tools.saturation(imu(spark, d), KEY, common_limits(read(spark, d, "recordings")))
+
+
+def _six_sql(key: str, rows: str) -> str:
+    return f"""WITH v AS (SELECT *, {_POSE.format("orientation_label")} AS pose FROM ({rows})),
+m AS (SELECT {key}, pose, count(*) AS n, avg(ax) AS ax, avg(ay) AS ay, avg(az) AS az FROM v WHERE pose IS NOT NULL GROUP BY ALL HAVING count(*) >= 50),
+s AS (SELECT {key}, CAST(sum(n) AS BIGINT) AS sample_count, {", ".join(f"max({a}) FILTER (pose = '+{a[1].upper()}') AS p_{a}, max({a}) FILTER (pose = '-{a[1].upper()}') AS m_{a}" for a in _A)} FROM m GROUP BY 1 HAVING count(*) = 6),
+f AS (SELECT {key}, sample_count, {", ".join(f"(p_{a} + m_{a}) / 2 AS {a}_bias, (p_{a} - m_{a}) / 2 / 9.80665 AS {a}_sensitivity, p_{a} - m_{a} AS {a}_plus_minus_span" for a in _A)} FROM s
+      WHERE {" AND ".join(f"abs(p_{a} - m_{a}) >= 9.80665" for a in _A)}),
+c AS (SELECT *, {", ".join(f"100 * ({a}_sensitivity - 1) AS {a}_sensitivity_error_percent, 1 / {a}_sensitivity AS {a}_correction_scale" for a in _A)}, sqrt(ax_bias ** 2 + ay_bias ** 2 + az_bias ** 2) AS bias_vector_magnitude FROM f),
+e AS (SELECT {key}, {", ".join(f"{a}, {a}_correction_scale * ({a} - {a}_bias) AS c_{a}, {_expected(a, 'pose')} AS e_{a}" for a in _A)} FROM m JOIN c USING ({key})),
+q AS (SELECT {key}, {", ".join(_six_quality(n, v) for n, v in (("raw", _A), ("corrected", tuple(f"c_{a}" for a in _A))))} FROM e GROUP BY 1)
+SELECT * FROM c JOIN q USING ({key})"""
+
+
+def _six_quality(name: str, v: tuple[str, ...]) -> str:
+    error = " + ".join(f"({x} - e_{a}) ** 2" for x, a in zip(v, _A, strict=True))
+    size = f"sqrt({' + '.join(f'{x} ** 2' for x in v)})"
+    dot = " + ".join(f"{x} * e_{a}" for x, a in zip(v, _A, strict=True))
+    return (
+        f"sqrt(avg(({error}) / 3)) AS {name}_component_rmse, avg(abs({size} - 9.80665)) AS {name}_gravity_magnitude_mae, "
+        f"avg(degrees(acos(greatest(-1, least(1, ({dot}) / ({size} * 9.80665)))))) AS {name}_mean_angular_deviation"
+    )
+
+
+_SIX = " ".join(f"{a}_{c}" for a in _A for c in ("bias", "sensitivity", "plus_minus_span", "sensitivity_error_percent", "correction_scale")) + " bias_vector_magnitude"
+_SIX += " " + " ".join(f"{n}_{c}" for n in ("raw", "corrected") for c in ("component_rmse", "gravity_magnitude_mae", "mean_angular_deviation"))
+
+
+@tool("imu_six_position", _six_sql("sensor_id", _VECTORS + " AND sensor_id IS NOT NULL"), _SIX, "sensor_id sample_count")
+def _(spark, d):
+    return imu_tools.six_position(imu_resting(spark, d).where("sensor_id IS NOT NULL"), ["sensor_id"])
+
+
+# No sensor of the smaller test tables was turned to all six orientations: the whole bench was.
+@tool("imu_six_position_bench", _six_sql("bench", f"SELECT *, 'all' AS bench FROM ({_VECTORS})"), _SIX, "bench sample_count")
+def _(spark, d):
+    return imu_tools.six_position(imu_resting(spark, d).withColumn("bench", F.lit("all")), ["bench"])
 
 
 @tool(
-    "imu_six_position",
-    f"""WITH v AS (SELECT *, {_POSE.format("orientation_label")} AS pose FROM ({_VECTORS}) WHERE sensor_id IS NOT NULL),
-m AS (SELECT sensor_id, pose, count(*) AS n, avg(ax) AS ax, avg(ay) AS ay, avg(az) AS az FROM v WHERE pose IS NOT NULL GROUP BY ALL HAVING count(*) >= 20),
-s AS (SELECT sensor_id, CAST(sum(n) AS BIGINT) AS sample_count, {", ".join(f"max({a}) FILTER (pose = '+{a[1].upper()}') AS p_{a}, max({a}) FILTER (pose = '-{a[1].upper()}') AS m_{a}" for a in _A)} FROM m GROUP BY 1 HAVING count(*) = 6),
-f AS (SELECT sensor_id, sample_count, {", ".join(f"(p_{a} + m_{a}) / 2 AS {a}_bias, (p_{a} - m_{a}) / 2 / 9.80665 AS {a}_sensitivity, p_{a} - m_{a} AS {a}_plus_minus_span" for a in _A)} FROM s
-      WHERE {" AND ".join(f"abs(p_{a} - m_{a}) >= 0.05 * 9.80665" for a in _A)})
-SELECT *, {", ".join(f"100 * ({a}_sensitivity - 1) AS {a}_sensitivity_error_percent, 1 / {a}_sensitivity AS {a}_correction_scale" for a in _A)}, sqrt(ax_bias ** 2 + ay_bias ** 2 + az_bias ** 2) AS bias_vector_magnitude FROM f""",
-    " ".join(f"{a}_{c}" for a in _A for c in ("bias", "sensitivity", "plus_minus_span", "sensitivity_error_percent", "correction_scale")) + " bias_vector_magnitude",
-    "sensor_id sample_count",
+    "imu_missing_orientations",
+    f"""WITH v AS (SELECT DISTINCT sensor_id, {_POSE.format("orientation_label")} AS pose FROM imu_samples WHERE sensor_id IS NOT NULL AND trim(orientation_label) <> '')
+SELECT s.sensor_id, o.pose AS orientation FROM (SELECT DISTINCT sensor_id FROM v) s, (SELECT unnest(['+X', '-X', '+Y', '-Y', '+Z', '-Z']) AS pose) o WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.sensor_id = s.sensor_id AND v.pose = o.pose)""",
+    "",
+    "sensor_id orientation",
 )
 def _(spark, d):
-    out = imu_tools.six_position(imu(spark, d).where("sensor_id IS NOT NULL"), ["sensor_id"], min_samples=20, min_span_fraction=0.025)
-    return out.select([c for c in out.columns if not c.startswith(("raw_", "corrected_"))])
+    labelled = read(spark, d, "imu_samples").where("sensor_id IS NOT NULL AND trim(orientation_label) <> ''")
+    return imu_tools.missing_orientations(labelled, ["sensor_id"])
 
 
 def _imu_series(spark: SparkSession, d: str, axes: tuple[str, ...]) -> DataFrame:

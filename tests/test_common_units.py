@@ -37,7 +37,7 @@ def run(spark, name, d):
 
 
 def test_six_positions_in_mixed_units(spark, recorded):
-    (r,) = run(spark, "imu_six_position_common_units", recorded)
+    (r,) = run(spark, "imu_six_position", recorded)
     assert (r["ax_bias"], r["ay_bias"], r["az_bias"]) == pytest.approx((0.1, -0.05, 0.02), abs=0.01)
     assert r["ax_sensitivity"] == pytest.approx(1.02, abs=0.01)
     (r,) = run(spark, "imu_six_position_quality", recorded)
@@ -45,14 +45,14 @@ def test_six_positions_in_mixed_units(spark, recorded):
 
 
 def test_limits_and_values_meet_in_one_unit(spark, recorded):
-    rows = run(spark, "imu_saturation_common_units", recorded)
+    rows = run(spark, "imu_saturation", recorded)
     assert sum(r["exact_count"] for r in rows) == 6 * 4 and sum(r["outside_count"] for r in rows) == 0
     assert len(rows) == 6 * 6 and max(r["longest_exact_run"] for r in rows) == 4
 
 
 @pytest.mark.parametrize(("name", "column"), [("imu_accelerometer_bias", "mean_vector_magnitude"), ("imu_gravity_error", "mean_magnitude"), ("imu_gravity_by_orientation", "mean_vector_magnitude")])
 def test_gravity_is_gravity_in_every_recording(spark, recorded, name, column):
-    rows = run(spark, f"{name}_common_units", recorded)
+    rows = run(spark, f"{name}", recorded)
     assert len(rows) == 6
     assert all(r[column] == pytest.approx(G * 1.02, rel=0.02) for r in rows)
 
