@@ -104,6 +104,22 @@ def infer(columns: Iterable[str], explicit: Mapping[str, str] | None = None) ->
     return out
 
 
+#: Fields an analysis of a kind of sensor cannot do without.
+REQUIRED: dict[str, tuple[str, ...]] = {"generic": ("measurement",), "imu_accelerometer": ("ax", "ay", "az"), "imu_gyroscope": ("gx", "gy", "gz")}
+
+
+def validate(mapping: FieldMapping, columns: Iterable[str], required: Iterable[str] = ()) -> list[str]:
+    """What keeps a mapping from being used: unknown fields, absent or doubly used columns, missing required fields."""
+    columns = set(columns)
+    problems = [f"unknown field {f}" for f in mapping.fields if f not in FIELDS]
+    problems += [f"{f}: no column {c}" for f, c in mapping.fields.items() if c not in columns]
+    used: dict[str, list[str]] = {}
+    for f, c in mapping.fields.items():
+        used.setdefault(c, []).append(f)
+    problems += [f"column {c} is used for {fs}" for c, fs in used.items() if len(fs) > 1]
+    return problems + [f"required field {f} is not mapped" for f in required if f not in mapping.fields]
+
+
 def apply(df: DataFrame, mapping: FieldMapping, keep_unmapped: bool = True) -> DataFrame:
     """``df`` with mapped columns under their canonical names; a clash with a kept column is an error."""
     rest = [c for c in df.columns if c not in mapping.fields.values()] if keep_unmapped else []

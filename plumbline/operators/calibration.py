@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.joins import attach
+from plumbline.joins import attach, written
 from plumbline.operators.generic_tools import NEAR_ZERO, pairs
 from plumbline.operators.ordered import with_position
 
@@ -28,28 +28,41 @@ def split_sequential(df: DataFrame, keys: Sequence[str], order: str = "row_ord",
     return rows.withColumn("validation", F.col("pos") >= F.col("_n") - _validation_count(F.col("_n"), share)).drop("_n", "pos")
 
 
-def split_hashed(df: DataFrame, keys: Sequence[str], order: str = "row_ord", share: float = VALIDATION_SHARE, seed: int = 0) -> DataFrame:
-    """The same with rows drawn by a hash of (seed, order): reproducible, independent of partitioning, no sort.
+def split_random(df: DataFrame, keys: Sequence[str], order: str = "row_ord", share: float = VALIDATION_SHARE, seed: int = 0) -> DataFrame:
+    """The same with rows drawn at random, in the exact number: those first in order of a hash of (seed, keys, order).
 
-    A row is drawn on its own, so the share holds on average and not to the row.
+    Reproducible and independent of partitioning; a group is ranked in blocks of hash values, never as a whole.
     """
-    rows = pairs(df, keys, order)
-    draw = F.pmod(F.xxhash64(F.lit(seed), *keys, F.col(order)), F.lit(1_000_000)) / 1_000_000
-    return rows.withColumn("validation", draw < share)
+    drawn = F.xxhash64(F.lit(seed), *keys, F.col(order))
+    rows = with_position(pairs(df, keys, order).withColumn("_h", drawn), keys, "_h", block_rows=1 << 52)
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= MIN_TRAIN + MIN_VALIDATION)
+    rows = attach(rows, n, list(keys), "inner")
+    return rows.withColumn("validation", F.col("pos") < _validation_count(F.col("_n"), share)).drop("_n", "pos", "_h")
 
 
 def split_grouped(df: DataFrame, keys: Sequence[str], group: str, order: str = "row_ord", share: float = VALIDATION_SHARE, seed: int = 0) -> DataFrame:
     """No value of ``group`` on both sides: groups in hashed order go to validation until the share is reached.
 
-    Rows without a group take no part; recordings with fewer than two groups give none.
+    Rows without a group take no part; recordings with fewer than two groups, or whose training side would be left with
+    fewer than ``MIN_TRAIN`` rows, give none.  How far the share was missed is told by :func:`split_shares`.
     """
     rows = pairs(df.where(F.col(group).isNotNull()), keys, group, order)
     sizes = rows.groupBy(*keys, group).agg(F.count("*").alias("n"))
     w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), F.col(group)), group)
     every = Window.partitionBy(*keys)
     sizes = sizes.withColumns({"before": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("n").over(every), "groups": F.count("*").over(every), "rank": F.row_number().over(w)})
-    side = (F.col("before") < F.rint(F.col("total") * share)) & (F.col("rank") < F.col("groups"))
-    return attach(rows, sizes.where("groups >= 2").select(*keys, group, side.alias("validation")), [*keys, group], "inner")
+    side = (F.col("before") < F.greatest(F.rint(F.col("total") * share), F.lit(MIN_VALIDATION))) & (F.col("rank") < F.col("groups"))
+    sides = sizes.where("groups >= 2").select(*keys, group, "n", side.alias("validation"))
+    left = F.sum(F.when(~F.col("validation"), F.col("n"))).over(every)
+    sides = sides.withColumn("_left", left).where(F.col("_left") >= MIN_TRAIN)
+    return attach(rows, sides.select(*keys, group, "validation"), [*keys, group], "inner")
+
+
+def split_shares(split: DataFrame, keys: Sequence[str], share: float = VALIDATION_SHARE, tolerance: float = 0.10) -> DataFrame:
+    """keys, training_rows, validation_rows, validation_share, and ``deviates`` where the share is further off than ``tolerance``."""
+    held = F.count(F.when(F.col("validation"), 1))
+    out = split.groupBy(*keys).agg((F.count("*") - held).alias("training_rows"), held.alias("validation_rows"), (held / F.count("*")).alias("validation_share"))
+    return out.withColumn("deviates", F.abs(F.col("validation_share") - share) > tolerance)
 
 
 def fit(split: DataFrame, keys: Sequence[str], model: str = "affine") -> DataFrame:
@@ -65,23 +78,37 @@ def fit(split: DataFrame, keys: Sequence[str], model: str = "affine") -> DataFra
         out = out.where((F.col("_v") > NEAR_ZERO) & (F.col("training_rows") >= MIN_TRAIN)).drop("_v")
     else:
         raise ValueError(f"unknown model {model}")
-    return out
+    found = written(out)
+    # The training errors need the fitted line: a second look at the training rows.
+    rows = attach(train, found, list(keys), "inner").withColumn("_e", F.col("gain") * F.col("m") + F.col("offset") - F.col("r"))
+    total = F.var_pop("r") * F.count("*")
+    errors = rows.groupBy(*keys).agg(
+        F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("training_rmse"),
+        F.avg(F.abs("_e")).alias("training_mae"),
+        F.avg("_e").alias("training_bias"),
+        F.when(total > NEAR_ZERO, 1 - F.sum(F.col("_e") * F.col("_e")) / total).alias("training_r2"),
+    )
+    return found.df.join(errors, list(keys))
 
 
 def apply(df: DataFrame, keys: Sequence[str], model: DataFrame, column: str = "m", to: str = "corrected") -> DataFrame:
+    """``df`` with the corrected value."""
     rows = attach(df, model.select(*keys, "gain", "offset"), list(keys), "inner")
     return rows.withColumn(to, F.col("gain") * F.col(column) + F.col("offset")).drop("gain", "offset")
 
 
+def evaluated_rows(split: DataFrame, keys: Sequence[str], model: DataFrame) -> DataFrame:
+    """The validation rows with the corrected value, and the error before (``raw_error``) and after (``corrected_error``)."""
+    held = apply(split.where("validation"), keys, model)
+    return held.withColumns({"raw_error": F.col("m") - F.col("r"), "corrected_error": F.col("corrected") - F.col("r")})
+
+
 def evaluate(split: DataFrame, keys: Sequence[str], model: DataFrame) -> DataFrame:
     """Errors on the validation rows before and after, and the improvement in percent.  No training row is used."""
-    held = apply(split.where("validation"), keys, model)
-    mean = held.groupBy(*keys).agg(F.avg("r").alias("r_mean"))
-    held = attach(held, mean, list(keys), "inner")
-    spread = F.sum((F.col("r") - F.col("r_mean")) * (F.col("r") - F.col("r_mean")))
+    held = evaluated_rows(split, keys, model)
+    spread = F.var_pop("r") * F.count("*")
     aggs = [F.count("*").alias("validation_rows")]
-    for name, v in (("before", F.col("m")), ("after", F.col("corrected"))):
-        e = v - F.col("r")
+    for name, e in (("before", F.col("raw_error")), ("after", F.col("corrected_error"))):
         aggs += [
             F.sqrt(F.avg(e * e)).alias(f"rmse_{name}"),
             F.avg(F.abs(e)).alias(f"mae_{name}"),

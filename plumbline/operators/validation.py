@@ -7,6 +7,7 @@ are counted by a hash of all their values first.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,3 +122,21 @@ def validate(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], order:
     else:
         found.append(_issue(F.lit(True), "timestamp_unavailable", "info", None, n, F.lit(1.0)))
     return stats.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("i")).select(*keys, "i.*")
+
+
+def verdict(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], order: str = "row_ord", timestamp: str | None = "timestamp", text: dict[str, Column] | None = None) -> DataFrame:
+    """keys, row_count, total_cells, missing values and their share, duplicate rows, issue and error counts, ``valid``.
+
+    A recording is valid unless one of its issues (:func:`validate`) is an error.
+    """
+    cells = [c for c in df.columns if c not in (*keys, order)]
+    missing = reduce(lambda a, b: a + b, [F.when(_missing(c, c in numeric), 1).otherwise(0) for c in cells], F.lit(0))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("row_count"), F.sum(missing).alias("total_missing_values"))
+    issues = validate(df, keys, numeric, order, timestamp, text)
+    found = issues.groupBy(*keys).agg(
+        F.count("*").alias("issue_count"), F.count(F.when(F.col("severity") == "error", 1)).alias("error_count"), F.coalesce(F.max(F.when(F.col("issue_id") == "duplicate_rows", F.col("affected_rows"))), F.lit(0)).alias("duplicate_row_count")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    out = counts.join(found, list(keys), "left")
+    total = F.col("row_count") * len(cells)
+    return out.select(*keys, "row_count", total.alias("total_cells"), "total_missing_values", (F.col("total_missing_values") / total).alias("overall_missing_fraction"), zero("duplicate_row_count"), zero("issue_count"), zero("error_count"), (F.coalesce("error_count", F.lit(0)) == 0).alias("valid"))

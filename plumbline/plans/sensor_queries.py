@@ -6,16 +6,20 @@ known to move.  Values are rounded to six significant digits on both sides: sums
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.columns import finite
+from plumbline.functions import vocabulary
 from plumbline.functions.rounding import rounded, rounded_sql
 from plumbline.operators import calibration, generic_tools, imu_tools, spectral, validation
 from plumbline.plans.catalogue import Catalogue
 from plumbline.plans.common_units import RANGE_SQL, common_limits, common_sql, common_units, resting, states
-from plumbline.session import read
+from plumbline.session import read, shared_folder
+from plumbline.sources import csv_files
 
 catalogue = Catalogue()
 KEY = ["dataset_id"]
@@ -583,20 +587,45 @@ def _(spark, d):
     return validation.validate(cols, KEY, list(_NUMERIC))
 
 
+_MISSING_CELLS = " + ".join(f"CASE WHEN {c} IS NULL{f' OR isnan({c})' if c in _NUMERIC else ''} THEN 1 ELSE 0 END" for c in (*_NUMERIC, *_LABELS))
+
+
+@tool(
+    "dataset_verdict",
+    f"""WITH c AS (SELECT dataset_id, count(*) AS row_count, count(*) * {len(_NUMERIC) + len(_LABELS)} AS total_cells, CAST(sum({_MISSING_CELLS}) AS BIGINT) AS total_missing_values FROM generic_samples GROUP BY 1),
+i AS (SELECT dataset_id, count(*) AS issue_count, count(*) FILTER (severity = 'error') AS error_count, max(affected_rows) FILTER (issue_id = 'duplicate_rows') AS dup FROM ({_validator_sql()}) GROUP BY 1)
+SELECT c.*, total_missing_values / total_cells AS overall_missing_fraction, coalesce(dup, 0) AS duplicate_row_count, coalesce(issue_count, 0) AS issue_count, coalesce(error_count, 0) AS error_count, coalesce(error_count, 0) = 0 AS valid FROM c LEFT JOIN i USING (dataset_id)""",
+    "overall_missing_fraction",
+    "dataset_id row_count total_cells total_missing_values duplicate_row_count issue_count error_count valid",
+)
+def _(spark, d):
+    cols = generic(spark, d).select("dataset_id", "row_ord", *_NUMERIC, *_LABELS)
+    return validation.verdict(cols, KEY, list(_NUMERIC))
+
+
 _SPLIT = f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY row_ord) - 1 AS pos, count(*) OVER (PARTITION BY dataset_id) AS n FROM ({PAIRS})),
 s AS (SELECT *, pos >= n - greatest(1, least(n - 3, CAST(round_even(n * 0.2, 0) AS BIGINT))) AS held FROM p WHERE n >= 4),
 f AS (SELECT dataset_id, count(*) AS training_rows, regr_slope(r, m) AS gain, regr_intercept(r, m) AS "offset" FROM s WHERE NOT held GROUP BY 1 HAVING count(*) >= 3 AND var_pop(m) > 1e-15)"""
 
 
-@tool("calibration_affine", f'{_SPLIT} SELECT * FROM f', 'gain "offset"', "dataset_id training_rows")
+_TRAINING = """sqrt(avg((k * m + o - r) ** 2)) AS training_rmse, avg(abs(k * m + o - r)) AS training_mae, avg(k * m + o - r) AS training_bias,
+       CASE WHEN var_pop(r) * count(*) > 1e-15 THEN 1 - sum((k * m + o - r) ** 2) / (var_pop(r) * count(*)) END AS training_r2"""
+
+
+@tool(
+    "calibration_affine",
+    f'{_SPLIT} SELECT dataset_id, any_value(training_rows) AS training_rows, any_value(k) AS gain, any_value(o) AS "offset", {_TRAINING} FROM s JOIN (SELECT dataset_id, training_rows, gain AS k, "offset" AS o FROM f) USING (dataset_id) WHERE NOT held GROUP BY 1',
+    'gain "offset" training_rmse training_mae training_bias training_r2',
+    "dataset_id training_rows",
+)
 def _(spark, d):
     return calibration.fit(calibration.split_sequential(generic(spark, d), KEY), KEY)
 
 
 @tool(
     "calibration_offset",
-    f'{_SPLIT} SELECT dataset_id, count(*) AS training_rows, 1.0 AS gain, avg(r - m) AS "offset" FROM s WHERE NOT held GROUP BY 1',
-    'gain "offset"',
+    f'{_SPLIT} SELECT dataset_id, count(*) AS training_rows, 1.0 AS gain, any_value(o) AS "offset", {_TRAINING} FROM (SELECT *, 1.0 AS k, avg(r - m) OVER (PARTITION BY dataset_id) AS o FROM s WHERE NOT held) GROUP BY 1',
+    'gain "offset" training_rmse training_mae training_bias training_r2',
     "dataset_id training_rows",
 )
 def _(spark, d):
@@ -628,11 +657,48 @@ def _(spark, d):
 @tool("calibration_grouped_split")
 def _(spark, d):
     split = calibration.split_grouped(generic(spark, d).where("sensor_id IS NOT NULL"), ["sensor_id"], "dataset_id")
-    count = lambda c: F.count(F.when(c, 1))
-    return split.groupBy("sensor_id").agg(count(F.col("validation")).alias("validation_rows"), count(~F.col("validation")).alias("training_rows"))
+    return calibration.split_shares(split, ["sensor_id"])
+
+
+@tool(
+    "calibration_random_split",
+    f"""WITH n AS (SELECT dataset_id, count(*) AS n FROM ({PAIRS}) GROUP BY 1 HAVING count(*) >= 4),
+v AS (SELECT dataset_id, n, greatest(1, least(n - 3, CAST(round_even(n * 0.2, 0) AS BIGINT))) AS validation_rows FROM n)
+SELECT dataset_id, n - validation_rows AS training_rows, validation_rows, validation_rows / n AS validation_share, abs(validation_rows / n - 0.2) > 0.1 AS deviates FROM v""",
+    "validation_share",
+    "dataset_id training_rows validation_rows deviates",
+)
+def _(spark, d):
+    return calibration.split_shares(calibration.split_random(generic(spark, d), KEY), KEY)
 
 
-@tool("calibration_hashed_split")
+@tool("calibration_random_evaluation")
 def _(spark, d):
-    split = calibration.split_hashed(generic(spark, d), KEY)
+    split = calibration.split_random(generic(spark, d), KEY)
     return calibration.evaluate(split, KEY, calibration.fit(split, KEY))
+
+
+@tool(
+    "csv_import",
+    """SELECT dataset_id, count(*) AS rows_read, count(*) FILTER (isfinite(measurement)) AS measured, min(measurement) FILTER (isfinite(measurement)) AS least, max(measurement) FILTER (isfinite(measurement)) AS greatest,
+    sum(abs(temperature)) FILTER (isfinite(temperature)) AS warmth, max(row_ord) - min(row_ord) AS span FROM generic_samples WHERE dataset_id IS NOT NULL GROUP BY 1""",
+    "least greatest warmth",
+    "dataset_id rows_read measured span",
+)
+def _(spark, d):
+    """The samples written as delimited text in two layouts, found, read, mapped and measured again."""
+    samples = generic(spark, d).where("dataset_id IS NOT NULL")
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    whole = samples.select(F.col("dataset_id").alias("recording"), F.col("row_ord").alias("place"), F.col("timestamp").alias("Time"), F.col("measurement").alias("Sensor Value"), F.col("temperature").alias("Temp °C"))
+    whole.where("recording % 2 = 0").write.option("header", True).csv(f"{folder}/a")
+    other = whole.select("Temp °C", "place", "Sensor Value", "recording", "Time").where("recording % 2 <> 0")
+    other.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(f"{folder}/b")
+    text = csv_files.read_csv(spark, folder)
+    mapping = vocabulary.infer(text.columns, {"temperature": "Temp °C"})
+    if problems := vocabulary.validate(mapping, text.columns, vocabulary.REQUIRED["generic"]):
+        raise ValueError(problems)
+    df = csv_files.numbers(vocabulary.apply(text, mapping), ["recording", "place", "timestamp", "measurement", "temperature"])
+    ok = lambda c: F.when(finite(c), F.col(c))
+    return df.groupBy(F.col("recording").cast("bigint").alias("dataset_id")).agg(
+        F.count("*").alias("rows_read"), F.count(ok("measurement")).alias("measured"), F.min(ok("measurement")).alias("least"), F.max(ok("measurement")).alias("greatest"), F.sum(F.abs(ok("temperature"))).alias("warmth"), (F.max("place") - F.min("place")).cast("bigint").alias("span")
+    )

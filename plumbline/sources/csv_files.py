@@ -1,12 +1,22 @@
 """Delimited text files as tables of text with their file order.
 
-The header line is sniffed on the driver from the first bytes of one file (encoding and delimiter); the rows are read
-by the executors in splits.  ``row_ord`` numbers the rows of each file in order without bringing them together: splits
-are counted, the counts accumulated, and rows numbered within their split.
+Each file's layout (encoding, delimiter, header) is sniffed by tasks from its first bytes; files of one layout are read
+together in splits, and layouts are brought together by column name.  ``row_ord`` numbers the rows of each file in order
+without bringing them together: splits are counted, the counts accumulated, and rows numbered within their split.
+
+Defined results: a column that a file does not have is NULL there; empty files and files without a readable header give
+no rows and are reported by :func:`layouts`; header names are trimmed, unnamed columns numbered, repeated names suffixed.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,21 +56,68 @@ def sniff(head: bytes, delimiter: str | None = None) -> tuple[str, str, list[str
     return encoding, delimiter, warnings
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = False) -> DataFrame:
-    """Columns as text under their trimmed header names (repeated ones numbered), NULL for missing, plus ``source_file`` and ``row_ord``."""
-    first = spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", 1, SNIFF_BYTES).alias("head")).orderBy("path").limit(1).collect()
-    if not first or not first[0]["length"]:
-        raise ValueError(f"no data in {path}")
-    encoding, delimiter, _ = sniff(bytes(first[0]["head"]), delimiter)
-    reader = spark.read.option("sep", delimiter).option("encoding", "UTF-8" if encoding.startswith("utf") else encoding).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    header = reader.option("header", False).csv(first[0]["path"]).first()
+#: Bytes within which a header line must end, and the most layouts a folder may have.
+HEADER_BYTES, LAYOUTS = 1 << 20, 1_000
+
+
+def _names(header: list[str]) -> list[str]:
     names, seen = [], {}
     for i, raw in enumerate(header):
-        name = (raw or "").lstrip("﻿").strip() or f"column_{i + 1}"
+        name = raw.lstrip("\ufeff").strip() or f"column_{i + 1}"
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}.{seen[name] - 1}")
+    return names
+
+
+def layouts(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    """path, length, encoding, delimiter, header, problem of every file below ``path``; no content is read but the heads."""
+    # Without their content binary files are a listing.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for at, length in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True):
+                system, inner = fs.FileSystem.from_uri(at)
+                with system.open_input_stream(inner) as f:
+                    head = f.read(SNIFF_BYTES)
+                    while b"\n" not in head and len(head) < min(length, HEADER_BYTES):
+                        head += f.read(SNIFF_BYTES)
+                if not head.strip():
+                    out.append((at, length, None, None, None, "empty"))
+                    continue
+                encoding, cut, warnings = sniff(head, delimiter)
+                try:
+                    first = next(csv.reader(io.StringIO(head.decode("utf-8" if encoding.startswith("utf") else "latin-1", "ignore")), delimiter=cut))
+                except (csv.Error, StopIteration) as e:
+                    out.append((at, length, encoding, cut, None, f"no header: {e}"))
+                    continue
+                out.append((at, length, "UTF-8" if encoding.startswith("utf") else "ISO-8859-1", cut, _names(first), "; ".join(warnings) or None))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "length", "encoding", "delimiter", "header", "problem"])
+
+    return files.mapInArrow(look, "path string, length bigint, encoding string, delimiter string, header array<string>, problem string")
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Columns as text under their header names, NULL for missing, plus ``source_file`` and ``row_ord``."""
+    groups = layouts(spark, path, delimiter).where("header IS NOT NULL").groupBy("encoding", "delimiter", "header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    found = sorted(groups.limit(LAYOUTS + 1).collect(), key=lambda r: (r["header"], r["delimiter"], r["encoding"]))  # names of files, which a listing holds anyway
+    if not found:
+        raise ValueError(f"no data in {path}")
+    if len(found) > LAYOUTS:
+        raise ValueError(f"more than {LAYOUTS} layouts in {path}")
+    parts = [_read_layout(spark, r["paths"], r["encoding"], r["delimiter"], r["header"], multi_line) for r in found]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = [c for c in df.columns if c not in ("source_file", "row_ord")]
+    return df.select(*[F.col(f"`{n}`") for n in names], "source_file", "row_ord")
+
+
+def _read_layout(spark: SparkSession, paths: list[str], encoding: str, delimiter: str, names: list[str], multi_line: bool) -> DataFrame:
+    reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    df = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(paths)
     blank = lambda c: F.when(~F.trim(c).isin(*MISSING), c)
     df = df.select(*[blank(F.col(f"`{n}`")).alias(n) for n in names], F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
     splits = df.groupBy("source_file", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
@@ -81,8 +138,29 @@ def non_numeric(column: str) -> tuple[Column, Column]:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, present, missing, distinct: one pass over all columns."""
-    aggs = [x for c in columns for x in (F.count(f"`{c}`").alias(f"p_{c}"), F.countDistinct(f"`{c}`").alias(f"d_{c}"))]
-    one = df.agg(F.count("*").alias("_n"), *aggs)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`p_{c}`").alias("present"), (F.col("_n") - F.col(f"`p_{c}`")).alias("missing"), F.col(f"`d_{c}`").alias("distinct")) for c in columns])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    """column, present, missing, distinct, numeric, least, greatest, kind: one pass over all columns.
+
+    ``kind`` is what all present values could be read as: integer, number, boolean or text; ``empty`` without any.
+    Distinct values are counted approximately (5 %); least and greatest are in order of text.
+    """
+    aggs = []
+    for c in columns:
+        x = F.col(f"`{c}`").cast("string")
+        some = lambda t, x=x: F.count(F.when(t, x))
+        aggs.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count(x).alias("present"),
+                (F.count("*") - F.count(x)).alias("missing"),
+                F.approx_count_distinct(x).alias("distinct"),
+                some(num_text(x).isNotNull()).alias("numeric"),
+                some(x.rlike(r"^\s*[+-]?\d+\s*$")).alias("_whole"),
+                some(F.lower(F.trim(x)).isin("true", "false")).alias("_truth"),
+                F.min(x).alias("least"),
+                F.max(x).alias("greatest"),
+            )
+        )
+    one = df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+    n = F.col("present")
+    kind = F.when(n == 0, "empty").when(F.col("_whole") == n, "integer").when(F.col("numeric") == n, "number").when(F.col("_truth") == n, "boolean").otherwise("text")
+    return one.withColumn("kind", kind).drop("_whole", "_truth")

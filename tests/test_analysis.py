@@ -40,10 +40,12 @@ def test_calibration_edges(spark):
     split = calibration.split_grouped(pairs(spark, np.arange(24.0), np.arange(24.0), g=groups), ["k"], "g", share=0.25, seed=11)
     sides = {r["g"]: r["n"] for r in split.groupBy("g").agg(F.countDistinct("validation").alias("n")).collect()}
     assert set(sides.values()) == {1} and split.where("validation").count() == 6
-    hashed = calibration.split_hashed(pairs(spark, np.arange(1000.0), np.arange(1000.0)), ["k"], seed=1)
+    hashed = calibration.split_random(pairs(spark, np.arange(1000.0), np.arange(1000.0)), ["k"], seed=1)
     first = {r["row_ord"] for r in hashed.where("validation").collect()}
-    again = {r["row_ord"] for r in calibration.split_hashed(pairs(spark, np.arange(1000.0), np.arange(1000.0)).repartition(9), ["k"], seed=1).where("validation").collect()}
-    assert first == again and 150 < len(first) < 250
+    again = {r["row_ord"] for r in calibration.split_random(pairs(spark, np.arange(1000.0), np.arange(1000.0)).repartition(9), ["k"], seed=1).where("validation").collect()}
+    assert first == again and len(first) == 200
+    four = calibration.split_random(pairs(spark, np.arange(4.0), np.arange(4.0)), ["k"], seed=3)
+    assert four.where("validation").count() == 1 and calibration.split_random(pairs(spark, np.arange(3.0), np.arange(3.0)), ["k"]).count() == 0
 
 
 LIMITS = [("<", 4.9, "pass"), ("<", 5, "fail"), ("<=", 5, "pass"), (">", 5.1, "pass"), (">=", 5, "pass"), ("==", 5, "pass"), ("==", 5.0001, "fail"), ("abs<", -4.9, "pass"), ("abs<=", -5.0, "pass"), ("abs<=", -5.1, "fail")]
@@ -185,3 +187,38 @@ def test_stream_equals_table(spark, tmp_path):
     finally:
         q.stop()
     assert got == sorted(map(tuple, windowed_accuracy(df, ["sensor_id"]).collect())) and len(got) == 6
+
+
+def test_csv_files_of_several_layouts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time,value,note\n1,10,x\n2,20,y\n")
+    (tmp_path / "b.csv").write_text("value,time,note\n30,3,z\n")
+    (tmp_path / "c.csv").write_bytes("time;value;Größe\n5;50;e\n".encode("latin-1"))
+    (tmp_path / "d.csv").write_text("")
+    df = csv_files.read_csv(spark, str(tmp_path))
+    got = {(r["time"], r["value"], r["note"], r["Größe"], r["row_ord"]) for r in df.collect()}
+    assert got == {("1", "10", "x", None, 0), ("2", "20", "y", None, 1), ("3", "30", "z", None, 0), ("5", "50", None, "e", 0)}
+    told = {r["path"][-5:]: r for r in csv_files.layouts(spark, str(tmp_path)).collect()}
+    assert told["d.csv"]["problem"] == "empty" and told["c.csv"]["encoding"] == "ISO-8859-1" and told["c.csv"]["delimiter"] == ";"
+    kinds = {r["column"]: r["kind"] for r in csv_files.profile(df, ["time", "note", "Größe"]).collect()}
+    assert kinds == {"time": "integer", "note": "text", "Größe": "text"}
+
+
+def test_mapping_problems():
+    from plumbline.functions import vocabulary
+
+    mapping = vocabulary.FieldMapping({"ax": "a", "ay": "a", "zz": "b", "az": "gone"})
+    problems = vocabulary.validate(mapping, ["a", "b"], vocabulary.REQUIRED["generic"])
+    assert problems == ["unknown field zz", "az: no column gone", "column a is used for ['ax', 'ay']", "required field measurement is not mapped"]
+
+
+def test_exact_percentiles_at_any_size(spark):
+    from plumbline.operators.order_statistics import percentiles
+
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=40_000), "b": np.repeat([1.0, 2.0], 5_000), "c": rng.integers(0, 9, 777).astype(float), "d": np.array([3.0]), None: np.array([1.0, 4.0])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("a", float("nan")), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    ps = (0.0, 0.05, 0.5, 0.95, 1.0)
+    got = {r["k"]: r["q"] for r in percentiles(df, ["k"], {"q": F.col("v")}, ps).collect()}
+    for k, x in groups.items():
+        assert got[k] == pytest.approx(list(np.quantile(x, ps)))

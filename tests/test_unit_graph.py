@@ -92,6 +92,33 @@ def test_units_come_from_the_values(spark):
             assert r["a"] == pytest.approx(9.81, rel=0.01) and r["low"] > 9.4 and r["high"] < 10.2, r
 
 
+def test_short_second_units_and_strays(spark):
+    recs = [list(recording(d, d)) for d in (1, 2, 3)]
+    recs[0][2][233:] /= 9.80665  # 1: the last 3 % in g
+    recs[0][2][235, 1] = np.nan  # a row whose vector has no length
+    recs[1][2][100] *= 20  # 2: a stray reading
+    recs[1][4][50] = 90.0
+    recs[2][4][236:] = recs[2][4][236:] * 1.8 + 32  # 3: the last four rows in degF
+    recs[2][4][236:] += 20  # well above what degC would be
+    args, channels, got = detected(spark, recs)
+    assert got[1, "ax"] == ("g", True) and got[2, "ax"] == ("m/s^2", False) and got[2, "temperature"] == ("degC", False)
+    assert got[3, "temperature"] == ("degF", True)
+    back = {r["row_ord"]: r for r in ug.to_common_units(args[0], channels).where("dataset_id = 1").collect()}
+    plain = {r["row_ord"]: r for r in args[0].where("dataset_id = 1").collect()}
+    assert all(back[i]["az"] == pytest.approx(plain[i]["az"] * (9.80665 if i >= 233 else 1)) for i in range(240))
+
+
+def test_notes_and_the_join_on_unit_and_target(spark):
+    recs = [recording(1, 1)]
+    rec = [(1, 0.01, None, None, "long lead; gyro in dps; data sheet quotes range in g")]
+    units = spark.createDataFrame([(1, f, f, None, None) for f in ("gx", "ax")], UNITS)
+    got = {r["field_name"]: r["stated"] for r in ug.statements(units, spark.createDataFrame(rec, "dataset_id bigint, nominal_period_s double, test_mode string, expected_stationary boolean, notes string")).collect()}
+    assert got == {"gx": "deg/s", "ax": None}
+    odd = spark.createDataFrame([(1, "ax", "g", False, None), (1, "gx", "g", False, None)], "dataset_id bigint, field_name string, unit string, partial boolean, stated string")
+    assert {r["field_name"]: r["scale"] for r in ug.with_functions(odd).collect()} == {"ax": 9.80665, "gx": None}
+    assert len(recs) == 1
+
+
 def test_missing_values_and_empty_tables(spark):
     rec = recording(1, 1)
     rec[2][5, 0] = np.nan
