@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import rounded
-from plumbline.operators import diagnostics, generic_tools, imu_tools, spectral
+from plumbline.operators import diagnostics, generic_tools, imu_tools
 from plumbline.plans import metrics
 from plumbline.plans.catalogue import Catalogue
 from plumbline.plans.common_units import common_limits, common_units, resting
-from plumbline.plans.sensor_queries import _ACCURACY, IMU_SAMPLES, KEY, PAIRS, generic, imu
+from plumbline.plans.sensor_queries import _ACCURACY, IMU_SAMPLES, KEY, PAIRS, generic, imu_spectra
 from plumbline.session import read, shared_folder
 from plumbline.streaming.windows import windowed_accuracy
 
@@ -126,9 +126,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     out = diagnostics.temperature_association(imu_tools.temperature_stability(still, KEY, min_samples=IMU_SAMPLES), KEY)
     clipped = imu_tools.saturation(samples, KEY, common_limits(read(spark, d, "recordings")))
     out = out.unionByName(diagnostics.boundary_clipping(clipped, KEY))
+    spectra = imu_spectra(samples).checkpoint()
     for axes in (imu_tools.ACCEL, imu_tools.GYRO):
-        series = spectral.longest_segment(samples, KEY, list(axes))
-        spectra = spectral.spectrum_metrics(spectral.welch(series, KEY, list(axes)), KEY)
         linked = imu_tools.axis_correlation(samples, KEY, axes, min_samples=IMU_SAMPLES).checkpoint()
         out = out.unionByName(diagnostics.shared_periodic(spectra, linked, KEY, axes)).unionByName(diagnostics.unexplained_covariance(linked, KEY, axes))
     return rounded(out)

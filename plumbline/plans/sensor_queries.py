@@ -215,14 +215,6 @@ def _(spark, d):
     return generic_tools.revision_comparison(generic(spark, d).where("sensor_id IS NOT NULL"), ["sensor_id"])
 
 
-@tool("generic_psd")
-def _(spark, d):
-    rows = generic_tools.pairs(generic(spark, d), KEY, "row_ord", "timestamp")
-    series = spectral.ordered_by_time(rows, KEY, ["e"]).checkpoint()
-    found = spectral.spectrum_metrics(spectral.welch(series, KEY, ["e"], segment_length=1024, even=False), KEY, min_frequency=0.0)
-    return found.join(spectral.regularity(series, KEY).drop("duration"), KEY)
-
-
 _STEPS = """SELECT *, t - lag(t) OVER (PARTITION BY dataset_id ORDER BY row_ord) AS dt FROM (SELECT dataset_id, row_ord, timestamp AS t FROM {table} WHERE isfinite(timestamp))"""
 _SAMPLING = """count(*) AS {n}, arg_max(t, row_ord) - arg_min(t, row_ord) AS {duration}, median(dt) FILTER (dt > 0) AS {median}, avg(dt) FILTER (dt > 0) AS {mean}, stddev_pop(dt) FILTER (dt > 0) AS {std},
   count(*) FILTER (dt = 0) AS {dup}, count(*) FILTER (dt < 0) AS {back}"""
@@ -501,34 +493,127 @@ def _(spark, d):
     return imu_tools.missing_orientations(labelled, ["sensor_id"])
 
 
-def _imu_series(spark: SparkSession, d: str, axes: tuple[str, ...]) -> DataFrame:
-    return spectral.longest_segment(imu(spark, d), KEY, list(axes))
+def _imu_segments(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of the longest stretches of both groups of axes as x0, x1, x2; the table of the stretches)."""
+    groups = [_A, _G]
+    table = spectral.segment_table(samples, KEY, groups)
+    return spectral.segment_rows(samples, KEY, groups, table), table.df
+
+
+_BY_GROUP = [*KEY, "grp"]
+_SLOTS = ["x0", "x1", "x2"]
+
+
+def _named(found: DataFrame, regular: DataFrame) -> DataFrame:
+    """Results by group and slot under the names of the axes, with what is told of the stretch."""
+    names = F.create_map(*[F.lit(x) for g, axes in enumerate((_A, _G)) for j, a in enumerate(axes) for x in (f"{g}x{j}", a)])
+    out = found.withColumn("axis", names[F.concat(F.col("grp").cast("string"), F.col("axis"))])
+    return out.join(regular, _BY_GROUP).drop("grp")
+
+
+def imu_spectra(samples: DataFrame) -> DataFrame:
+    """Spectral metrics of all six axes."""
+    series, table = _imu_segments(samples)
+    found = spectral.spectrum_metrics(spectral.welch(series, _BY_GROUP, _SLOTS), _BY_GROUP)
+    return _named(found, spectral.regularity(table, _BY_GROUP).drop("duration"))
+
+
+def _segments_sql(table: str) -> str:
+    """CTE ``seg``: dataset_id, axis, pos, x, dt, dt_cv, n of the longest continuous stretch of each group of axes."""
+    parts, longs = [], []
+    for g, axes in (("a", _A), ("g", _G)):
+        ok = " AND ".join(f"isfinite({c})" for c in ("timestamp", *axes))
+        parts.append(f"""{g}0 AS (SELECT dataset_id, row_ord, {", ".join(axes)}, CASE WHEN isfinite(timestamp) THEN timestamp END AS t, coalesce({ok}, false) AS ok FROM {table}),
+{g}1 AS (SELECT {g}0.*, dt, dt_cv, coalesce(ok AND lag(ok) OVER w AND t - lag(t) OVER w > 0 AND t - lag(t) OVER w <= {spectral.CONTINUITY} * dt, false) AS linked FROM {g}0 JOIN steps USING (dataset_id) WINDOW w AS (PARTITION BY dataset_id ORDER BY row_ord)),
+{g}2 AS (SELECT *, sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY dataset_id ORDER BY row_ord) AS part FROM {g}1),
+{g}3 AS (SELECT *, count(*) OVER (PARTITION BY dataset_id, part) AS n FROM {g}2 WHERE ok),
+{g}4 AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY row_ord) - 1 AS pos FROM {g}3 JOIN (SELECT dataset_id, arg_max(part, (n, -part)) AS part FROM {g}3 GROUP BY 1) USING (dataset_id, part))""")
+        longs += [f"SELECT dataset_id, '{a}' AS axis, pos, {a} AS x, dt, dt_cv, n FROM {g}4" for a in axes]
+    return f"""steps AS (SELECT dataset_id, median(d) AS dt, stddev_pop(d) / avg(d) AS dt_cv FROM (SELECT dataset_id, timestamp - lag(timestamp) OVER (PARTITION BY dataset_id ORDER BY row_ord) AS d FROM {table} WHERE isfinite(timestamp)) WHERE d > 0 GROUP BY 1),
+{", ".join(parts)},
+seg AS ({" UNION ALL ".join(longs)})"""
+
+
+def _spectrum_sql(source: str, length: int, even: bool, low: float) -> str:
+    """Welch metrics by dataset_id and axis of ``source`` (dataset_id, axis, pos, x, dt, dt_cv, n): the transform written out as sums."""
+    size = f"least({length}, n)"
+    size = f"CASE WHEN {size} > 32 AND {size} % 2 = 1 THEN {size} - 1 ELSE {size} END" if even else size
+    key = "dataset_id, axis"
+    return f"""w0 AS (SELECT *, CAST({size} AS BIGINT) AS len FROM {source} WHERE n >= 32),
+w1 AS (SELECT *, len - least(CAST(round_even(len * 0.5, 0) AS BIGINT), len - 1) AS hop FROM w0),
+w2 AS (SELECT *, 1 + (n - len) // hop AS segments FROM w1),
+w3 AS (SELECT *, unnest(generate_series(0, segments - 1)) AS seg_no FROM w2),
+w4 AS (SELECT *, pos - seg_no * hop AS j, 0.5 - 0.5 * cos(2 * pi() * (pos - seg_no * hop) / (len - 1)) AS taper, x - avg(x) OVER (PARTITION BY {key}, seg_no) AS y FROM w3 WHERE pos >= seg_no * hop AND pos < seg_no * hop + len),
+w5 AS (SELECT *, unnest(generate_series(0, len // 2)) AS bin FROM w4),
+w6 AS (SELECT {key}, seg_no, bin, any_value(segments) AS segments, any_value(len) AS len, any_value(dt) AS dt, any_value(dt_cv) AS dt_cv,
+         (sum(y * taper * cos(2 * pi() * ((bin * j) % len) / len)) ** 2 + sum(y * taper * sin(2 * pi() * ((bin * j) % len) / len)) ** 2) * any_value(dt) / sum(taper * taper) AS p FROM w5 GROUP BY ALL),
+w7 AS (SELECT {key}, bin, segments, len, dt, dt_cv, avg(p) * CASE WHEN bin = 0 OR (len % 2 = 0 AND bin = len // 2) THEN 1 ELSE 2 END AS psd, bin / (len * dt) AS f FROM w6 GROUP BY {key}, bin, segments, len, dt, dt_cv),
+b AS (SELECT {key}, any_value(segments) AS segment_count, any_value(len) AS segment_length, any_value(f) FILTER (bin = 1) AS frequency_resolution, any_value(dt_cv) AS sampling_cv, sqrt(greatest(sum(area), 0)) AS integrated_rms
+      FROM (SELECT *, (psd + lag(psd) OVER v) / 2 * (f - lag(f) OVER v) AS area FROM w7 WINDOW v AS (PARTITION BY {key} ORDER BY bin)) GROUP BY ALL),
+h AS (SELECT *, lag(psd) OVER v AS l, lead(psd) OVER v AS r FROM w7 WHERE f >= {low} WINDOW v AS (PARTITION BY {key} ORDER BY bin)),
+m AS (SELECT {key}, coalesce(median(psd) FILTER (psd > 0), 0) AS median_psd, arg_max(f, (psd, -f)) AS dominant_frequency, max(psd) AS dominant_psd FROM h GROUP BY ALL),
+k AS (SELECT {key}, least(count(*), 5) AS peaks, arg_max(f, (psd, f)) AS first_peak_frequency FROM h JOIN m USING ({key}) WHERE psd > l AND psd >= r AND median_psd > 0 AND psd >= 10 * median_psd GROUP BY ALL)
+SELECT b.*, median_psd, dominant_frequency, dominant_psd, sqrt(median_psd) AS median_amplitude_density, CASE WHEN median_psd > 0 THEN dominant_psd / median_psd END AS dominant_to_median_ratio,
+       CAST(coalesce(peaks, 0) AS INTEGER) AS peak_count, first_peak_frequency, sampling_cv <= 0.02 AS regular FROM b JOIN m USING ({key}) LEFT JOIN k USING ({key})"""
+
 
+_SPECTRUM = "frequency_resolution sampling_cv integrated_rms median_psd dominant_frequency dominant_psd median_amplitude_density dominant_to_median_ratio first_peak_frequency"
+_SPECTRUM_OTHERS = "dataset_id axis segment_count segment_length peak_count regular"
 
-@tool("imu_psd")
+
+@tool("imu_psd", f"WITH {_segments_sql('imu_common')}, {_spectrum_sql('seg', 2048, True, 0.1)}", _SPECTRUM, _SPECTRUM_OTHERS)
 def _(spark, d):
-    parts = []
-    for g in (_A, _G):
-        series = _imu_series(spark, d, g)
-        found = spectral.spectrum_metrics(spectral.welch(series, KEY, list(g)), KEY)
-        parts.append(found.join(spectral.regularity(series, KEY).drop("duration"), KEY))
-    return parts[0].unionByName(parts[1])
+    return imu_spectra(imu(spark, d))
+
+
+_GENERIC_SERIES = f"""s AS (SELECT dataset_id, 'e' AS axis, e AS x, timestamp AS t, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY dataset_id) AS n, timestamp - lag(timestamp) OVER w AS d FROM ({PAIRS}) WHERE isfinite(timestamp) WINDOW w AS (PARTITION BY dataset_id ORDER BY timestamp, row_ord)),
+q AS (SELECT dataset_id, median(d) AS dt, coalesce(stddev_samp(d), 0) / avg(d) AS dt_cv FROM s WHERE d > 0 GROUP BY 1), seg AS (SELECT s.*, dt, dt_cv FROM s JOIN q USING (dataset_id))"""
+
+
+@tool("generic_psd", f"WITH {_GENERIC_SERIES}, {_spectrum_sql('seg', 1024, False, 0.0)}", _SPECTRUM, _SPECTRUM_OTHERS)
+def _(spark, d):
+    rows = generic_tools.pairs(generic(spark, d), KEY, "row_ord", "timestamp")
+    series = spectral.ordered_by_time(rows, KEY, ["e"])
+    found = spectral.spectrum_metrics(spectral.welch(series, KEY, ["e"], segment_length=1024, even=False), KEY, min_frequency=0.0)
+    return found.join(spectral.regularity(series, KEY).drop("duration"), KEY)
 
 
 #: Seconds a series must last for its flat region to be called a bias instability.
 BIAS_SECONDS = 300.0
 
 
-@tool("imu_allan_deviation")
+def imu_allan(samples: DataFrame, min_samples: int = 60, min_duration: float = 0.5) -> DataFrame:
+    """Allan metrics of all six axes.  The test recordings are short: 60 samples and half a second instead of 2000 and 30 s."""
+    series, table = _imu_segments(samples)
+    found = spectral.allan_metrics(spectral.allan_curve(series, _BY_GROUP, _SLOTS, min_samples=min_samples, min_duration=min_duration), _BY_GROUP)
+    out = _named(found, spectral.regularity(table, _BY_GROUP))
+    return out.withColumn("bias_instability", F.when(F.col("duration") >= BIAS_SECONDS, F.col("bias_instability")))
+
+
+# Running sums from the first value; the three of each difference are joined by position.
+_ALLAN_SQL = f"""WITH {_segments_sql("imu_resting")},
+c AS (SELECT dataset_id, axis, n, dt, dt_cv, pos + 1 AS i, sum(x - x0) OVER (PARTITION BY dataset_id, axis ORDER BY pos) AS c FROM (SELECT *, first_value(x) OVER (PARTITION BY dataset_id, axis ORDER BY pos) AS x0 FROM seg WHERE n >= 60 AND (n - 1) * dt >= 0.5)
+      UNION ALL SELECT DISTINCT dataset_id, axis, n, dt, dt_cv, 0, 0.0 FROM seg WHERE n >= 60 AND (n - 1) * dt >= 0.5),
+f AS (SELECT n, unnest(factors) AS m FROM (SELECT n, list_distinct(list_transform(range(40), lambda k: greatest(1, least(most, CAST(round_even(pow(10, log10(most) * k / 39), 0) AS BIGINT))))) AS factors FROM (SELECT DISTINCT n, (n - 19) // 2 AS most FROM c) WHERE most >= 2) WHERE len(factors) >= 3),
+d AS (SELECT a.dataset_id, a.axis, a.n, a.dt, a.dt_cv, m, (e.c - 2 * b.c + a.c) / m AS d FROM c a JOIN f ON a.n = f.n JOIN c b ON b.dataset_id = a.dataset_id AND b.axis = a.axis AND b.i = a.i + m JOIN c e ON e.dataset_id = a.dataset_id AND e.axis = a.axis AND e.i = a.i + 2 * m),
+v AS (SELECT dataset_id, axis, m, m * any_value(dt) AS tau, sqrt(0.5 * avg(d * d)) AS adev, (any_value(n) - 1) * any_value(dt) AS duration, any_value(dt_cv) AS sampling_cv FROM d GROUP BY dataset_id, axis, m),
+x AS (SELECT *, log10(tau) AS lx, CASE WHEN adev > 0 THEN log10(adev) END AS ly FROM v),
+y AS (SELECT *, CASE WHEN count(ly) OVER w >= 3 AND count(ly) OVER w = count(*) OVER w THEN regr_slope(ly, lx) OVER w END AS slope FROM x WINDOW w AS (PARTITION BY dataset_id, axis ORDER BY m ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+g AS (SELECT dataset_id, axis, count(*) AS points, min(adev) AS minimum_deviation, arg_min(tau, (adev, m)) AS tau_at_minimum, max(tau) AS maximum_averaging_time, any_value(duration) AS duration, any_value(sampling_cv) AS sampling_cv, any_value(sampling_cv) <= 0.02 AS regular,
+        count(*) FILTER (abs(slope + 0.5) <= 0.15) AS white, median(adev * sqrt(tau)) FILTER (abs(slope + 0.5) <= 0.15) AS walk, median(slope) FILTER (abs(slope + 0.5) <= 0.15) AS ws, count(*) FILTER (abs(slope) <= 0.15) AS flat, median(adev) FILTER (abs(slope) <= 0.15) / 0.664 AS flat_level
+      FROM y GROUP BY ALL)
+SELECT dataset_id, axis, points, minimum_deviation, tau_at_minimum, maximum_averaging_time, CASE WHEN white >= 2 THEN walk END AS random_walk_coefficient, CASE WHEN white >= 2 THEN ws END AS white_slope,
+       CASE WHEN flat >= 2 AND duration >= 300 THEN flat_level END AS bias_instability, sampling_cv, duration, regular FROM g"""
+
+
+@tool(
+    "imu_allan_deviation",
+    _ALLAN_SQL,
+    "minimum_deviation tau_at_minimum maximum_averaging_time random_walk_coefficient white_slope bias_instability sampling_cv duration",
+    "dataset_id axis points regular",
+)
 def _(spark, d):
-    parts = []
-    for g in (_A, _G):
-        # The test recordings are short: 60 samples and half a second instead of 2000 and 30 s.
-        series = _imu_series(spark, d, g)
-        found = spectral.allan_metrics(spectral.allan_curve(series, KEY, list(g), min_samples=60, min_duration=0.5), KEY)
-        found = found.join(spectral.regularity(series, KEY), KEY)
-        parts.append(found.withColumn("bias_instability", F.when(F.col("duration") >= BIAS_SECONDS, F.col("bias_instability"))))
-    return parts[0].unionByName(parts[1])
+    return imu_allan(imu_resting(spark, d))
 
 
 @tool(

@@ -141,7 +141,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, present, missing, distinct, numeric, least, greatest, kind: one pass over all columns.
 
     ``kind`` is what all present values could be read as: integer, number, boolean or text; ``empty`` without any.
-    Distinct values are counted approximately (5 %); least and greatest are in order of text.
+    Least and greatest are in order of text.
     """
     aggs = []
     for c in columns:
@@ -152,7 +152,7 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
                 F.lit(c).alias("column"),
                 F.count(x).alias("present"),
                 (F.count("*") - F.count(x)).alias("missing"),
-                F.approx_count_distinct(x).alias("distinct"),
+                F.countDistinct(x).alias("distinct"),
                 some(num_text(x).isNotNull()).alias("numeric"),
                 some(x.rlike(r"^\s*[+-]?\d+\s*$")).alias("_whole"),
                 some(F.lower(F.trim(x)).isin("true", "false")).alias("_truth"),
