@@ -16,6 +16,10 @@ BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 
+#: Bytes of the tables written so far, by the number of the data set that holds them.
+_SIZES: dict[int, int] = {}
+
+
 @dataclass
 class Written:
     """A table that was computed once and lies in the shared folder, with its size as rows in memory."""
@@ -48,7 +52,20 @@ def written(small: DataFrame) -> Written:
     width = sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in small.schema), F.lit(16))
     seen = Observation()
     df = small.observe(seen, F.sum(width.cast("bigint")).alias("bytes")).checkpoint()
-    return Written(df, seen.get.get("bytes") or 0)
+    size = seen.get.get("bytes") or 0
+    _SIZES[df._jdf.queryExecution().analyzed().rdd().id()] = size
+    return Written(df, size)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of all tables ``df`` is made of: written ones as counted, others by the optimiser's knowledge."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.length()):
+        leaf = leaves.apply(i)
+        known = _SIZES.get(leaf.rdd().id()) if leaf.nodeName() == "Scan ExistingRDD" or "LogicalRDD" in leaf.getClass().getName() else None
+        total += known if known is not None else int(str(leaf.stats().sizeInBytes()))
+    return total
 
 
 def attach(big: DataFrame, small: DataFrame | Written, on: list[str], how: str = "left", limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:

@@ -11,15 +11,20 @@ and other percentiles are exact at any size of a group (:mod:`plumbline.operator
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
 from plumbline.columns import finite, is_close
 from plumbline.joins import Written, attach, written
 from plumbline.operators.order_statistics import summary
+from plumbline.operators.ordered import with_previous, with_running_sum
 
 NEAR_ZERO = 1e-15
 #: 0.75 quantile of the normal distribution: scales a MAD to a z score.
@@ -98,30 +103,79 @@ def precision(df: DataFrame, keys: Sequence[str], min_samples: int = 5) -> DataF
     )
 
 
+#: Values of a block in multiples of the tolerance.
+_WIDTH = 4_096.0
+
+
+def _chains(levels: DataFrame, keys: Sequence[str], level: str, tolerance: float) -> DataFrame:
+    """``levels`` (sorted by value within a group) with ``_chain``: a new number after every gap wider than ``tolerance``.
+
+    No cluster and no match crosses such a gap.  Values are looked at in blocks, never a group as a whole.
+    """
+    width = tolerance * _WIDTH
+    before = with_previous(levels, keys, level, [level], block_rows=width)
+    gap = F.coalesce(F.col(level) - F.col(f"prev_{level}") > tolerance, F.lit(True))
+    return with_running_sum(before.withColumn("_gap", gap).drop(f"prev_{level}"), keys, level, {"_chain": F.when(F.col("_gap"), 1).otherwise(0).cast("bigint")}, block_rows=width).drop("_gap")
+
+
+def _along_chains(df: DataFrame, keys: Sequence[str], level: str, walk: Callable[[], tuple[Callable, Callable]], columns: Sequence[str], schema: str) -> DataFrame:
+    """Rows of each chain, in order of ``level``, handed one by one to a walker with little state; its results as a table.
+
+    ``walk()`` gives ``(step, end)`` for a new chain: ``step(head, values)`` and ``end()`` return finished result rows.
+    """
+    head = [*keys, "_chain"]
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, step, end = None, None, None
+        for b in batches:
+            done: list[tuple] = []
+            names = list(zip(*[b.column(k).to_pylist() for k in head], strict=True))
+            values = list(zip(*[b.column(c).to_pylist() for c in columns], strict=True))
+            for name, value in zip(names, values, strict=True):
+                if name != here:
+                    if end is not None:
+                        done += [(*here, *r) for r in end()]
+                    here, (step, end) = name, walk()
+                done += [(*here, *r) for r in step(*value)]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), target, strict=True)], schema=target)
+        if end is not None and (rest := [(*here, *r) for r in end()]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rest, strict=True), target, strict=True)], schema=target)
+
+    return df.repartition(*head).sortWithinPartitions(*head, level).mapInArrow(stream, schema)
+
+
+def _head(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", _chain bigint"
+
+
 def cluster_levels(rows: DataFrame, keys: Sequence[str], level: str, tolerance: float) -> DataFrame:
     """``rows`` with ``level`` replaced by the mean of its cluster.
 
     Distinct levels are walked in ascending order; a level joins the running cluster while it lies within ``tolerance``
-    of the mean of the rows already in it.  Only the distinct levels of a group with their counts are gathered.
+    of the mean of the rows already in it.
     """
     if tolerance <= 0:
         return rows
-    counts = rows.groupBy(*keys, level).agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(level).alias("x"), F.col("_n").alias("n")))).alias("_levels"))
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("bigint").alias("rows"), F.lit(-1).alias("id"), F.expr("cast(array() as array<int>)").alias("ids"))
-
-    def step(a: Column, x: Column) -> Column:
-        near = (a["rows"] > 0) & (F.abs(x["x"] - F.try_divide(a["total"], a["rows"])) <= tolerance)
-        ident = F.when(near, a["id"]).otherwise(a["id"] + 1)
-        add = x["x"] * x["n"]
-        return F.struct(
-            F.when(near, a["total"] + add).otherwise(add).alias("total"), F.when(near, a["rows"] + x["n"]).otherwise(x["n"]).alias("rows"), ident.alias("id"), F.concat(a["ids"], F.array(ident)).alias("ids")
-        )
-
-    ids = F.aggregate("_levels", start, step, lambda a: a["ids"])
-    flat = counts.select(*keys, F.explode(F.arrays_zip(F.col("_levels"), ids.alias("id"))).alias("z"))
-    flat = flat.select(*keys, F.col("z._levels.x").alias(level), F.col("z._levels.n").alias("n"), F.col("z.id").alias("id"))
-    cluster = Window.partitionBy(*keys, "id")
-    flat = flat.select(*keys, level, (F.sum(F.col(level) * F.col("n")).over(cluster) / F.sum("n").over(cluster)).alias("_mean"))
+    keys = list(keys)
+    counts = _chains(rows.groupBy(*keys, level).agg(F.count("*").alias("_n")), keys, level, tolerance)
+
+    def walk() -> tuple[Callable, Callable]:
+        state = [0.0, 0, -1]  # sum and number of the cluster's rows, its number
+
+        def step(x: float, n: int) -> list[tuple]:
+            if not state[1] or abs(x - state[0] / state[1]) > tolerance:
+                state[:] = [0.0, 0, state[2] + 1]
+            state[0] += x * n
+            state[1] += n
+            return [(x, n, state[2])]
+
+        return step, list
+
+    flat = _along_chains(counts, keys, level, walk, [level, "_n"], f"{_head(rows, keys)}, `{level}` double, _n bigint, _id bigint")
+    means = flat.groupBy(*keys, "_chain", "_id").agg((F.sum(F.col(level) * F.col("_n")) / F.sum("_n")).alias("_mean"))
+    flat = flat.join(means, [*keys, "_chain", "_id"]).select(*keys, level, "_mean")
     return rows.join(flat, [*keys, level]).drop(level).withColumnRenamed("_mean", level)
 
 
@@ -277,23 +331,51 @@ def hysteresis(df: DataFrame, keys: Sequence[str], min_overlap: int = 3, toleran
 
 
 def _greedy_match(one: DataFrame, two: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
-    """Nearest free level of the second sweep for each level of the first, folded over the levels of a group."""
-    left = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "first_mean"))).alias("a"))
-    right = two.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r2", "second_mean"))).alias("b"))
-    df = left.join(right, list(keys))
-    empty = F.expr("cast(array() as array<struct<r:double,first_mean:double,second_mean:double>>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.filter(acc["free"], lambda y: F.abs(y["r2"] - x["r"]) <= tolerance)
-        ranked = F.array_sort(F.transform(near, lambda y: F.struct(F.abs(y["r2"] - x["r"]).alias("d"), y["r2"].alias("r2"), y["second_mean"].alias("second_mean"))))
-        best = F.try_element_at(ranked, F.lit(1))
-        hit = F.struct(x["r"].alias("r"), x["first_mean"].alias("first_mean"), best["second_mean"].alias("second_mean"))
-        return F.when(F.size(ranked) == 0, acc).otherwise(
-            F.struct(F.filter(acc["free"], lambda y: y["r2"] != best["r2"]).alias("free"), F.concat(acc["got"], F.array(hit)).alias("got"))
-        )
-
-    got = F.aggregate("a", F.struct(F.col("b").alias("free"), empty.alias("got")), step, lambda acc: acc["got"])
-    return df.select(*keys, F.explode(got).alias("g")).select(*keys, "g.*")
+    """Nearest free level of the second sweep for each level of the first, in ascending order of the first."""
+    keys = list(keys)
+    none = F.lit(None).cast("double")
+    a, b = F.col("first_mean"), F.col("second_mean")
+    both = one.select(*keys, "r", a.alias("first_mean"), none.alias("second_mean")).unionByName(two.select(*keys, F.col("r2").alias("r"), none.alias("first_mean"), b.alias("second_mean")))
+    # A level of both sweeps is one entry, so that values are unique within a group.
+    both = both.groupBy(*keys, "r").agg(F.max("first_mean").alias("first_mean"), F.max("second_mean").alias("second_mean"))
+
+    def walk() -> tuple[Callable, Callable]:
+        waiting: deque = deque()  # levels of the first sweep whose neighbourhood is not complete yet
+        free: deque = deque()  # free levels of the second sweep within reach
+
+        def settle() -> list[tuple]:
+            x, mean = waiting.popleft()
+            while free and free[0][0] < x - tolerance:
+                free.popleft()
+            near = [(abs(y - x), y, i) for i, (y, _) in enumerate(free) if abs(y - x) <= tolerance]
+            if not near:
+                return []
+            at = min(near)[2]
+            other = free[at][1]
+            del free[at]
+            return [(x, mean, other)]
+
+        def step(v: float, first: float | None, second: float | None) -> list[tuple]:
+            done = []
+            while waiting and waiting[0][0] + tolerance < v:
+                done += settle()
+            if first is not None:
+                waiting.append((v, first))
+            if second is not None:
+                free.append((v, second))
+            return done
+
+        def end() -> list[tuple]:
+            done = []
+            while waiting:
+                done += settle()
+            return done
+
+        return step, end
+
+    chains = _chains(both, keys, "r", tolerance)
+    out = _along_chains(chains, keys, "r", walk, ["r", "first_mean", "second_mean"], f"{_head(one, keys)}, r double, first_mean double, second_mean double")
+    return out.drop("_chain")
 
 
 def revision_comparison(df: DataFrame, keys: Sequence[str], min_samples: int = 5) -> DataFrame:

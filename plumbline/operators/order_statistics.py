@@ -3,8 +3,8 @@
 ``percentile`` and ``median`` hold every distinct value of a group in one task.  Here a bounded sketch per group
 (``percentile_approx``) first brackets each percentile; then the rows below a bracket are counted, and only the few rows
 inside it are ranked.  The bracket's width is chosen by the group's size, the result never depends on it: a bracket that
-missed its ranks would raise an error.  Where the optimiser's size of the whole input proves that no group can hold many
-values, the plain aggregate does the same in one pass.
+missed its ranks would raise an error.  Where the size of the whole input proves that no group can hold many values,
+the plain aggregate does the same in one pass.
 
 Defined results: NULL and NaN values are left out; a column without values gives NULL; ties count as often as they
 occur; groups with NULL keys are groups like others.
@@ -18,26 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.joins import attach, written
+from plumbline.joins import attach, input_bytes, written
 
 #: Sketch error is at most a share of 1 / ACCURACY of a group's rows.
 ACCURACY = 10_000
 #: (rows from which it holds, half width of the bracket as a share of rows): two ranks and the sketch's error at least.
 WIDTHS = ((20_000, 4 / ACCURACY), (200, 0.0105))
-#: Inputs of at most so many bytes, by the optimiser's estimate, have groups that one task can hold.
+#: Inputs of at most so many bytes have groups that one task can hold.
 SMALL_BYTES = 64 << 20
 
 
-def is_small(df: DataFrame) -> bool:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
-
-
 def summary(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], values: dict[str, Column], probabilities: Sequence[float] = (0.5,), source: DataFrame | None = None) -> DataFrame:
     """keys, ``aggs`` and, per name in ``values``, the array of its percentiles.
 
-    ``source`` is a table at least as large as ``rows`` whose size the optimiser knows better, such as the table read.
+    ``source`` is a table that all values of ``rows`` come from, where that is simpler to look at.
     """
-    if is_small(rows if source is None else source):
+    if input_bytes(rows if source is None else source) <= SMALL_BYTES:
         plain = [F.percentile(F.when(~F.isnan(c.cast("double")), c.cast("double")), F.array(*[F.lit(float(p)) for p in probabilities])).alias(n) for n, c in values.items()]
         return rows.groupBy(*keys).agg(*aggs, *plain)
     found = percentiles(rows, keys, values, probabilities)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import rounded
 from plumbline.operators import diagnostics, generic_tools, imu_tools
+from plumbline.joins import written
 from plumbline.plans import metrics
 from plumbline.plans.catalogue import Catalogue
 from plumbline.plans.common_units import common_limits, common_units, resting
@@ -41,8 +42,7 @@ GENERIC_REQUIREMENTS = metrics.requirements(
 
 def written_units(spark: SparkSession, d: str) -> DataFrame:
     """Inertial samples in common units, written once for all tools."""
-    shared_folder(spark)
-    return common_units(spark, d).checkpoint()
+    return written(common_units(spark, d)).df
 
 
 def imu_metrics(samples: DataFrame, recordings: DataFrame) -> DataFrame:
