@@ -327,7 +327,7 @@ def _is_near(m: int, n: int, block_rows: int, halo_rows: int) -> bool:
 def _far_sums(df: DataFrame, keys: list[str], axes: list[str], points: int, min_pairs: int, block_rows: int, halo_rows: int) -> DataFrame:
     """The sums of squares for factors beyond the halo: C[i], C[i+m] and C[i+2m] meet by a grouped sum on (m, i)."""
 
-    def far(n: int) -> list[int]:
+    def far(n):
         return [m for m in averaging_factors(n, points, min_pairs) if not _is_near(m, n, block_rows, halo_rows)]
 
     # One row per series, not per sample.
@@ -337,7 +337,7 @@ def _far_sums(df: DataFrame, keys: list[str], axes: list[str], points: int, min_
     sums = with_running_sum(df, keys, "pos", {f"c_{a}": F.col(a) - F.col(f"_0_{a}") for a in axes}, block_rows)
     cols = [f"c_{a}" for a in axes]
     zero = sums.where("pos = 0").select(*keys, F.lit(0).cast("bigint").alias("i"), "n", "dt", "factors", *[F.lit(0.0).alias(c) for c in cols])
-    c = zero.unionByName(sums.select(*keys, (F.col("pos") + 1).alias("i"), "n", "dt", "factors", *cols)).withColumn("m", F.explode("factors").cast("bigint"))
+    c = zero.unionByName(sums.select(*keys, (F.col("pos") + 1).alias("i"), "n", "dt", "factors", *cols)).withColumn("m", F.explode(F.col("factors").cast("array<bigint>")))
     places = F.explode(F.array(*[F.struct((F.col("i") - k * F.col("m")).alias("at"), F.lit(w).alias("w")) for k, w in ((0, 1.0), (1, -2.0), (2, 1.0))]))
     c = c.withColumn("p", places).where((F.col("p.at") >= 0) & (F.col("p.at") <= F.col("n") - 2 * F.col("m")))
     d = c.groupBy(*keys, "m", "dt", F.col("p.at").alias("at")).agg(*[(F.sum(F.col(x) * F.col("p.w")) / F.col("m")).alias(x) for x in cols])

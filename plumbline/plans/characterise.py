@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.rounding import rounded
-from plumbline.operators import diagnostics, generic_tools, imu_tools
 from plumbline.joins import written
+from plumbline.operators import diagnostics, generic_tools, imu_tools
 from plumbline.plans import metrics
 from plumbline.plans.catalogue import Catalogue
-from plumbline.plans.common_units import common_limits, common_units, resting
+from plumbline.plans.common_units import common_limits, common_units, resting, states
 from plumbline.plans.sensor_queries import _ACCURACY, IMU_SAMPLES, KEY, PAIRS, generic, imu_spectra
 from plumbline.session import read, shared_folder
 from plumbline.streaming.windows import windowed_accuracy
@@ -82,6 +82,44 @@ def imu_qualification(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.qualify(found, samples.select(*KEY), KEY, EXAMPLE_REQUIREMENTS))
 
 
+#: Inertial tools of the metric table, and whether they need a sensor at rest.
+IMU_TOOLS = (
+    ("imu_sampling_integrity", False),
+    ("imu_gyro_bias", True),
+    ("imu_accelerometer_bias", True),
+    ("imu_stationary_noise", True),
+    ("imu_gravity_error", True),
+    ("imu_temperature_stability", True),
+    ("imu_saturation", False),
+    ("imu_six_position_calibration", True),
+    ("imu_axis_correlation", False),
+)
+
+
+@catalogue.query("imu_evidence")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """What the metrics of each recording show, with severity and the metric that shows it."""
+    return rounded(metrics.evidence(imu_metrics(written_units(spark, d), read(spark, d, "recordings")), KEY))
+
+
+@catalogue.query("imu_tool_outcomes")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Success or the reason for none, per inertial recording and tool."""
+    samples, recordings = written_units(spark, d), read(spark, d, "recordings")
+    here = samples.select(*KEY).distinct().join(states(recordings), KEY, "left")
+    return metrics.outcomes(imu_metrics(samples, recordings), here, KEY, IMU_TOOLS)
+
+
+@catalogue.query("generic_tool_outcomes", f"""WITH a AS (SELECT dataset_id FROM ({PAIRS}) GROUP BY 1)
+SELECT e.dataset_id, 'generic_accuracy' AS tool_id, CASE WHEN a.dataset_id IS NULL THEN 'skipped' ELSE 'success' END AS outcome, CASE WHEN a.dataset_id IS NULL THEN 'fewer usable samples than the tool needs' END AS reason
+FROM (SELECT DISTINCT dataset_id FROM generic_samples) e LEFT JOIN a USING (dataset_id)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the accuracy tool."""
+    samples = generic(spark, d)
+    here = samples.select(*KEY).distinct().withColumn("stationary", F.lit(None).cast("boolean"))
+    return metrics.outcomes(metrics.to_metrics(generic_tools.accuracy(samples, KEY), KEY, "generic_accuracy"), here, KEY, [("generic_accuracy", False)])
+
+
 @catalogue.query("imu_qualification_summary")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return metrics.overall(imu_qualification(spark, d), KEY)

@@ -239,3 +239,56 @@ def overall_by_tool(checks: DataFrame, keys: Sequence[str]) -> DataFrame:
     count = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
     out = checks.groupBy(*keys, "tool_id").agg(count("pass"), count("fail"), count("not_evaluated"))
     return out.withColumn("status", F.when(F.col("fail") > 0, "fail").when(F.col("pass") > 0, "pass").otherwise("not_evaluated"))
+
+
+#: Findings a tool states about a recording: what metric shows it, from which value on, and how severe it is.
+EVIDENCE: list[dict] = [
+    {"tool_id": "imu_sampling_integrity", "metric": "Sample Interval Coefficient of Variation", "operator": ">", "limit": 0.05, "severity": "warning", "statement": "irregular sampling"},
+    {"tool_id": "imu_sampling_integrity", "metric": "Sampling Rate Error", "operator": "abs>", "limit": 2.0, "severity": "warning", "statement": "sampling rate off its nominal value"},
+    {"tool_id": "imu_sampling_integrity", "metric": "Backward Timestamp Count", "operator": ">", "limit": 0.0, "severity": "critical", "statement": "timestamps run backwards"},
+    {"tool_id": "imu_sampling_integrity", "metric": "Duplicate Timestamp Count", "operator": ">", "limit": 0.0, "severity": "warning", "statement": "timestamps repeat"},
+    {"tool_id": "imu_sampling_integrity", "metric": "Large Gap Count", "operator": ">", "limit": 0.0, "severity": "warning", "statement": "large time gaps"},
+    {"tool_id": "imu_gyro_bias", "metric": "Gyroscope Axis Noise Spread Ratio", "operator": ">", "limit": 5.0, "severity": "warning", "statement": "gyroscope axes differ in noise"},
+    {"tool_id": "imu_accelerometer_bias", "metric": "Accelerometer Axis Noise Spread Ratio", "operator": ">", "limit": 5.0, "severity": "warning", "statement": "accelerometer axes differ in noise"},
+    {"tool_id": "imu_accelerometer_bias", "metric": "Gravity Magnitude Error Percent", "operator": "abs>", "limit": 2.0, "severity": "warning", "statement": "mean acceleration is not gravity"},
+    *[{"tool_id": "imu_stationary_noise", "metric": f"{a} Standard-to-Robust Noise Ratio", "operator": ">", "limit": 2.0, "severity": "warning", "statement": "noise has heavy tails"} for a in ("AX", "AY", "AZ", "GX", "GY", "GZ")],
+    *[{"tool_id": "imu_saturation", "metric": f"{a} Exact Limit Count", "operator": ">", "limit": 0.0, "severity": "warning", "statement": "readings at the configured limit"} for a in ("AX", "AY", "AZ", "GX", "GY", "GZ")],
+    *[{"tool_id": "imu_saturation", "metric": f"{a} Out-of-Range Count", "operator": ">", "limit": 0.0, "severity": "critical", "statement": "readings beyond the configured range"} for a in ("AX", "AY", "AZ", "GX", "GY", "GZ")],
+    *[{"tool_id": "imu_temperature_stability", "metric": f"{a} Temperature Regression R2", "operator": ">", "limit": 0.5, "severity": "info", "statement": "output follows temperature"} for a in ("AX", "AY", "AZ", "GX", "GY", "GZ")],
+    *[{"tool_id": "imu_axis_correlation", "metric": f"{g} Maximum Absolute Axis Correlation", "operator": ">", "limit": 0.7, "severity": "info", "statement": "axes are correlated"} for g in ("Accelerometer", "Gyroscope")],
+]
+
+
+def evidence(metrics: DataFrame, keys: Sequence[str], rules: Sequence[dict] = EVIDENCE) -> DataFrame:
+    """keys, tool_id, statement, severity, and the supporting metric with its value: findings that metrics show.
+
+    The rules, a short fixed list, are joined with the metrics on tool and name.
+    """
+    spark = metrics.sparkSession
+    names = ("tool_id", "metric", "operator", "limit", "severity", "statement")
+    table = spark.createDataFrame([tuple(r[n] for n in names) for r in rules], "tool_id string, metric string, operator string, limit double, severity string, statement string")
+    df = metrics.withColumnRenamed("name", "metric").join(F.broadcast(table), ["tool_id", "metric"])  # as large as the list above
+    size = F.when(F.col("operator").startswith("abs"), F.abs("value")).otherwise(F.col("value"))
+    return df.where(size > F.col("limit")).select(*keys, "tool_id", "statement", "severity", F.col("metric").alias("supporting_metric"), "value")
+
+
+def outcomes(metrics: DataFrame, states: DataFrame, keys: Sequence[str], tools: Sequence[tuple[str, bool]]) -> DataFrame:
+    """keys, tool_id, outcome (success or skipped), reason: one row per recording and tool.
+
+    ``states`` has one row per recording with ``stationary``; ``tools`` names each tool and whether it needs rest.
+    """
+    ran = metrics.select(*keys, "tool_id", F.lit(True).alias("ran")).distinct()
+    every = states.withColumn("t", F.explode(F.array(*[F.struct(F.lit(t).alias("tool_id"), F.lit(rest).alias("rest")) for t, rest in tools]))).select(*keys, "stationary", "t.*")
+    df = every.join(ran, [*keys, "tool_id"], "left")
+    reason = F.when(F.col("ran"), None).when(F.col("rest") & ~F.col("stationary"), "recording is known to move").otherwise("fewer usable samples than the tool needs")
+    return df.select(*keys, "tool_id", F.when(F.col("ran"), "success").otherwise("skipped").alias("outcome"), reason.alias("reason"))
+
+
+def messages(checks: DataFrame) -> DataFrame:
+    """``checks`` with a sentence on each requirement."""
+    wanted = F.when(F.col("operator") == "between", F.lit("between its limits")).otherwise(F.concat(F.col("operator"), F.lit(" its limit")))
+    value = F.format_string("%.6g", F.col("value"))
+    said = F.when(F.col("status") == "not_evaluated", F.concat(F.col("metric"), F.lit(" was not evaluated: "), F.col("reason"))).otherwise(
+        F.concat(F.col("metric"), F.lit(" is "), value, F.coalesce(F.concat(F.lit(" "), F.col("metric_unit")), F.lit("")), F.when(F.col("status") == "pass", F.lit(", as required ")).otherwise(F.lit(", not as required ")), wanted)
+    )
+    return checks.withColumn("message", said)

@@ -40,7 +40,6 @@ def test_six_positions_in_mixed_units(spark, recorded):
     (r,) = run(spark, "imu_six_position", recorded)
     assert (r["ax_bias"], r["ay_bias"], r["az_bias"]) == pytest.approx((0.1, -0.05, 0.02), abs=0.01)
     assert r["ax_sensitivity"] == pytest.approx(1.02, abs=0.01)
-    (r,) = run(spark, "imu_six_position_quality", recorded)
     assert r["raw_mean_angular_deviation"] < 1
 
 
