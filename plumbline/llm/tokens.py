@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,14 @@ def encoder(vocabulary: str):
 
 
 def token_count(text: str | Column, vocabulary: str = VOCABULARY) -> Column:
-    """Tokens of the whole text; 0 for an empty text and for NULL."""
+    """Tokens of the whole text; 0 for an empty text and for NULL.
+
+    ``vocabulary`` is a path that executors have, or the name of a file added to the session.
+    """
 
     @F.pandas_udf("int")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary if os.path.isabs(vocabulary) else SparkFiles.get(vocabulary))
         for texts in parts:
             yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts.tolist()], dtype="int32")
 
@@ -40,5 +45,6 @@ def token_count(text: str | Column, vocabulary: str = VOCABULARY) -> Column:
 
 
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``documents`` reduced to doc_id, source and ``tokens``."""
-    return documents.select("doc_id", "source", token_count("text", vocabulary).alias("tokens"))
+    """``documents`` reduced to doc_id, source and ``tokens``; the vocabulary file goes from the driver to the executors."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    return documents.select("doc_id", "source", token_count("text", os.path.basename(vocabulary)).alias("tokens"))
