@@ -4,8 +4,8 @@ Each file's layout (encoding, delimiter, header) is sniffed by tasks from its fi
 together in splits, and layouts are brought together by column name.  ``row_ord`` numbers the rows of each file in order
 without bringing them together: splits are counted, the counts accumulated, and rows numbered within their split.
 
-Defined results: a column that a file does not have is NULL there; empty files and files without a readable header give
-no rows and are reported by :func:`layouts`; header names are trimmed, unnamed columns numbered, repeated names suffixed.
+Defined results: a column that a file does not have is NULL there; blank files and files without a readable header give
+no rows and are reported by :func:`layouts` (files of no bytes are not even listed); header names are trimmed, unnamed columns numbered, repeated names suffixed.
 """
 
 from __future__ import annotations

@@ -193,7 +193,7 @@ def test_csv_files_of_several_layouts(spark, tmp_path):
     (tmp_path / "a.csv").write_text("time,value,note\n1,10,x\n2,20,y\n")
     (tmp_path / "b.csv").write_text("value,time,note\n30,3,z\n")
     (tmp_path / "c.csv").write_bytes("time;value;Größe\n5;50;e\n".encode("latin-1"))
-    (tmp_path / "d.csv").write_text("")
+    (tmp_path / "d.csv").write_text("\n")
     df = csv_files.read_csv(spark, str(tmp_path))
     got = {(r["time"], r["value"], r["note"], r["Größe"], r["row_ord"]) for r in df.collect()}
     assert got == {("1", "10", "x", None, 0), ("2", "20", "y", None, 1), ("3", "30", "z", None, 0), ("5", "50", None, "e", 0)}

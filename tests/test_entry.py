@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-COMPARED = ("p1_found", "p3_found", "generic_linearity", "generic_hysteresis", "imu_saturation", "imu_sampling_integrity", "dataset_validator", "calibration_evaluation")
+COMPARED = ("p1_found", "p1_loaded", "p1_reasons", "p3_found", "p3_values", "p5_channels", "p5_converted", "imu_psd", "imu_allan_deviation", "csv_import", "generic_linearity", "generic_hysteresis", "imu_saturation", "imu_sampling_integrity", "dataset_validator", "calibration_evaluation")
 
 
 def plain(v):

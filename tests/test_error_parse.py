@@ -120,7 +120,15 @@ def test_headers_of_every_kind(spark):
     assert out[4001]["reason"] == "header has no severity"
     assert out[5001]["reason"] == out[9001]["reason"] == "no header"
     assert out[9002]["reason"] == "no text"
-    assert 9003 not in out
+    assert out[9003]["reason"] == "no line number" and not out[9003]["valid"]
+
+
+def test_long_whole_numbers(spark):
+    head = "dataset_id,issue_id,severity,affected_rows"
+    out = parsed(spark, lines("1234567890123456789012345,duplicate_rows,info,98765432109876543210", f"1,duplicate_rows,info,{'9' * 39}", "007,duplicate_rows,info,", head=head))
+    assert out[1001]["valid"] and str(out[1001]["dataset_id"]) == "1234567890123456789012345" and str(out[1001]["affected_rows"]) == "98765432109876543210"
+    assert out[1002]["reason"] == "affected_rows is beyond 38 digits"
+    assert out[1003]["valid"] and out[1003]["dataset_id"] == 7 and out[1003]["affected_rows"] is None
 
 
 def test_clashing_columns_long_lines_and_empty_tables(spark):
